@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnline.llm.common import utf8
+from burnline.llm.common import save, utf8
 
 PRIME = 2**31 - 1
 BASES = (1_000_003, 998_244_353)

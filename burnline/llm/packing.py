@@ -3,8 +3,9 @@
 Documents are cut into pieces of at most `size` ids. Only the histogram of
 piece lengths (at most `size` entries) reaches the driver. Lengths are placed
 longest first: each goes to the packs that are shortest so far, as many at a
-time as share a pattern, starting from as many empty packs as the ids need at
-least; where none has room, new packs open. Patterns meet the pieces again by
+time as share a pattern, starting from about as many empty packs as the ids need
+at least (of a few such numbers, the one that ends with the fewest packs); where
+none has room, new packs open. Patterns meet the pieces again by
 rank: a piece's rank among pieces of its length decides its sequence.
 
 Nulls: a null text is empty and packs its end id alone; a null doc_id packs like
@@ -33,12 +34,18 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
     Slot: the pieces of `length` ranked first rank .. + count go to the sequences
     first sequence .. + count, at `offset`. Work follows the number of patterns,
     not of pieces."""
-    total = sum(n * k for n, k in histogram.items())
-    if not total:
+    least = -(-sum(n * k for n, k in histogram.items()) // size)
+    if not least:
         return []
+    tried = (_place(histogram, size, least + least * extra // 1000) for extra in (0, 2, 5, 10, 15, 20, 30, 40, 60))
+    return min(tried, key=lambda slots: max(s + n for _, _, n, s, _ in slots))
+
+
+def _place(histogram: dict[int, int], size: int, empty: int) -> list[tuple[int, int, int, int, int]]:
+    """The slots when `empty` packs are there from the start."""
     serial = 0
     # (ids so far, serial, count, pattern); a pattern is a chain (length, first rank of its slice, the pattern below).
-    packs: list[tuple[int, int, int, tuple | None]] = [(0, 0, -(-total // size), None)]
+    packs: list[tuple[int, int, int, tuple | None]] = [(0, 0, empty, None)]
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         while left:
