@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: An Arrow batch handed to a Python worker holds at most this many bytes.
 BATCH_BYTES = 16 << 20
@@ -82,11 +81,10 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def arrow_schema(schema: str | T.StructType) -> pa.Schema:
-    """The Arrow schema of a DDL string of simple types."""
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string of simple types; works in Python workers."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
-    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
-    return pa.schema([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields])
+    return pa.schema([pa.field(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,6 +25,12 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(scan(spark, sf_dir, "documents"), 40).drop("group")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.minhash import near_duplicates
+
+    return near_duplicates(scan(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burnline.llm.packing import pack
 
@@ -43,6 +49,7 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_shards": op2_shards,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op9_exact_duplicates": op9_exact_duplicates,
 }
