@@ -38,6 +38,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.bytebpe import round_trip_digests
+
+    return round_trip_digests(scan(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burnline.llm.exact_dedup import exact_duplicates
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_duplicates": op9_exact_duplicates,
 }
 
