@@ -25,6 +25,12 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(scan(spark, sf_dir, "documents"), 40).drop("group")
 
 
+def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(scan(spark, sf_dir, "embeddings"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burnline.llm.minhash import near_duplicates
 
@@ -55,6 +61,7 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_shards": op2_shards,
+    "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op8_byte_bpe": op8_byte_bpe,
