@@ -44,6 +44,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.warc import archive_round_trip
+
+    return archive_round_trip(scan(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burnline.llm.bytebpe import round_trip_digests
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_duplicates": op9_exact_duplicates,
 }
