@@ -50,6 +50,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(scan(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.toxicity import held_out, scored, train
+
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = scored(docs, train(docs, scan(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burnline.llm.bytebpe import round_trip_digests
 
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_duplicates": op9_exact_duplicates,
 }
