@@ -72,6 +72,13 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.secret_scan import learn, span_digests
+
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_digests(docs, learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_shards": op2_shards,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_duplicates": op9_exact_duplicates,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
