@@ -1,8 +1,65 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents in, packed token sequences out.
 
+STAGES lists the stages in order; each takes (spark, docs, sf_dir) and works on
+all rows that its predecessor kept. `run` writes each stage's result to the shared
+folder and reads it back for the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from burnline.llm.common import bound_batches, save, scan
+from burnline.llm.exact_dedup import exact_duplicates
+from burnline.llm.minhash import near_duplicates
+from burnline.llm.packing import pack
+from burnline.llm.secret_scan import learn, redacted
+from burnline.llm.toxicity import scored, train
+
+#: The whole pipeline trains models and follows links, which SQL can't say; tests hold it against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    model = train(docs, scan(spark, sf_dir, "labels"))
+    return scored(docs, model).where("toxicity < 0.5").drop("toxicity")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays."""
+    bound_batches(spark)
+    return exact_duplicates(docs).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays; rows without a doc_id stay."""
+    bound_batches(spark)
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are replaced by a mark; every document stays."""
+    bound_batches(spark)
+    out = redacted(docs, learn(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
+    return out.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their ids and their place in sequences of 4096."""
+    bound_batches(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
