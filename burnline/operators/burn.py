@@ -43,29 +43,28 @@ def percent_per_token() -> Column:
     return F.when(ok, rise / F.col("span_tokens"))
 
 
-def robust_slope(fit: str = "fit") -> Column:
-    """Percent per hour: the median slope between rows a quarter of the fit apart; 0.0 without any."""
-    rows = f"if(size(filter({fit}, x -> x.recent)) >= 2, filter({fit}, x -> x.recent), slice({fit}, greatest(size({fit}) - 1, 1), 2))"
-    k = f"greatest(1, size({rows}) div 4)"
-    slopes = f"filter(transform(sequence(1, greatest(size({rows}) - {k}, 1)), i -> if(size({rows}) > {k} and {rows}[i - 1 + {k}].ts_us > {rows}[i - 1].ts_us, ({rows}[i - 1 + {k}].used - {rows}[i - 1].used) / (({rows}[i - 1 + {k}].ts_us - {rows}[i - 1].ts_us) / {HOUR}.0D), CAST(NULL AS DOUBLE))), s -> s IS NOT NULL)"
-    sorted_ = f"sort_array({slopes})"
-    half = f"(size({sorted_}) div 2)"
-    return F.expr(f"CASE WHEN size({sorted_}) = 0 THEN 0.0D WHEN size({sorted_}) % 2 = 1 THEN {sorted_}[{half}] ELSE ({sorted_}[{half} - 1] + {sorted_}[{half}]) / 2 END")
-
-
-def fit_rows() -> Column:
-    """How many rows the slope is fitted to."""
-    return F.expr("if(size(filter(fit, x -> x.recent)) >= 2, size(filter(fit, x -> x.recent)), least(size(fit), 2))")
+def with_slope(facts: DataFrame) -> DataFrame:
+    """`facts` with slope, percent per hour: the median of slopes between rows a quarter of the fit apart (0.0 without
+    any), and fit_rows, how many rows it is fitted to: those within the lookback, or the last two."""
+    near = F.filter("fit", lambda x: x["recent"])
+    out = facts.withColumn("_rows", F.when(F.size(near) >= 2, near).otherwise(F.slice("fit", F.greatest(F.size("fit") - 1, F.lit(1)), 2)))
+    out = out.withColumn("fit_rows", F.size("_rows")).withColumn("_k", F.expr("CAST(greatest(1, size(_rows) div 4) AS INT)"))
+    out = out.withColumn("_pairs", F.arrays_zip(F.slice("_rows", F.lit(1), F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("a"), F.slice("_rows", F.col("_k") + 1, F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("b")))
+    rise = F.transform("_pairs", lambda p: F.when(p["b"]["ts_us"] > p["a"]["ts_us"], (p["b"]["used"] - p["a"]["used"]) / ((p["b"]["ts_us"] - p["a"]["ts_us"]) / F.lit(float(HOUR)))))
+    out = out.withColumn("_slopes", F.sort_array(F.filter(rise, lambda s: s.isNotNull()))).withColumn("_half", F.expr("CAST(size(_slopes) div 2 AS INT)"))
+    odd = F.size("_slopes") % 2 == 1
+    middle = F.when(F.size("_slopes") == 0, 0.0).when(odd, F.expr("_slopes[_half]")).otherwise(F.expr("(try_element_at(_slopes, greatest(_half, 1)) + try_element_at(_slopes, _half + 1)) / 2"))
+    return out.withColumn("slope", middle).drop("_rows", "_k", "_pairs", "_slopes", "_half")
 
 
 def live_rate(facts: DataFrame) -> DataFrame:
     """`facts` with ratio, slope, token_rate, burn (the live rate), basis and n_rate; burn is null below two block rows."""
     hours = by_kind(LOOKBACK_US) / F.lit(float(HOUR))
-    out = facts.withColumn("ratio", percent_per_token()).withColumn("slope", robust_slope())
+    out = with_slope(facts.withColumn("ratio", percent_per_token()))
     out = out.withColumn("token_rate", F.col("ratio") * F.coalesce(F.col("recent_tokens"), F.lit(0)) / hours)
     by_tokens = F.col("token_rate").isNotNull() & ((F.col("token_rate") > 0) | (F.col("slope") <= 0))
     enough = F.col("n_block") >= 2
-    return out.withColumn("burn", F.when(enough, F.when(by_tokens, F.col("token_rate")).otherwise(F.col("slope")))).withColumn("basis", F.when(enough, F.when(by_tokens, "tokens").otherwise("percent"))).withColumn("n_rate", F.when(enough, F.when(by_tokens, F.coalesce("n_recent", F.lit(0))).otherwise(fit_rows())))
+    return out.withColumn("burn", F.when(enough, F.when(by_tokens, F.col("token_rate")).otherwise(F.col("slope")))).withColumn("basis", F.when(enough, F.when(by_tokens, "tokens").otherwise("percent"))).withColumn("n_rate", F.when(enough, F.when(by_tokens, F.coalesce("n_recent", F.lit(0))).otherwise(F.col("fit_rows"))))
 
 
 def overage_tokens(used: Column) -> Column:

@@ -159,5 +159,192 @@ SQL: dict[str, str] = {
         seen AS (SELECT account, provider, kind, arg_max(used, ts_us) AS used, 'OK' AS status FROM smp WHERE kind = 'w5h' AND ts_us < {1_704_067_200_000_000 + 2 * 3_600_000_000} GROUP BY ALL)
         SELECT account, provider, kind, used, coalesce(status, 'NO_DATA') AS status FROM grid LEFT JOIN seen USING (account, provider, kind)""",
 }
-for _k, _v in SQL.items():
-    SQL[_k] = _v.replace("FROM live)\n\n", "FROM live)\n").replace("\n, days", ", days")
+
+HOUR_OF_WEEK = "((({us}) // 86400000000 + 3) % 7) * 24 + (({us}) % 86400000000) // 3600000000"
+
+
+def profile(source: str) -> str:
+    """Pools of the hour-of-week profile of the origins in `source`."""
+    return f"""
+hourly AS (SELECT a.account, a.provider, a.kind, a.now_us, ratio, t.ts_us // 3600000000 AS slot, sum(total_tokens) AS s FROM {source} a JOIN tok t ON a.account = t.account AND a.provider = t.provider AND t.ts_us <= a.now_us WHERE ratio > 0 GROUP BY ALL),
+reach AS (SELECT {K}, min(slot) AS lo, now_us // 3600000000 AS hi, max(ratio) AS ratio FROM hourly GROUP BY {K}),
+slots AS (SELECT {K}, ratio, unnest(range(lo, hi)) AS slot FROM reach),
+raw AS (SELECT {K}, slot * 3600000000 AS ts_us, r.ratio * coalesce(s, 0) AS v FROM slots r LEFT JOIN (SELECT {K}, slot, s FROM hourly) h USING ({K}, slot)
+        UNION ALL SELECT {K}, prev_ts, (seg.used - prev_used) / ((ts_us - prev_ts) / 3600000000.0::DOUBLE) FROM seg JOIN (SELECT {K} FROM {source} WHERE ratio IS NULL OR ratio <= 0) USING ({K}) WHERE NOT is_reset AND ts_us - prev_ts > 0 AND ts_us - prev_ts <= 10800000000),
+aged AS (SELECT *, {HOUR_OF_WEEK.format(us="ts_us")} AS bucket, pow(0.5, (now_us - ts_us) / 1814400000000.0::DOUBLE) AS w FROM raw),
+pool AS (SELECT *, sum(w) OVER (PARTITION BY {K}, bucket ORDER BY ts_us) AS hi, sum(w) OVER (PARTITION BY {K} ORDER BY bucket, ts_us) AS all_hi FROM aged)"""
+
+
+def futures(source: str, runs: int) -> str:
+    """Outcomes of the futures of the origins in `source` (with used, live, horizon_h, dense_us)."""
+    return f"""
+by_bucket AS (SELECT {K}, bucket, list(struct_pack(hi := hi, v := v) ORDER BY ts_us) AS pool FROM pool GROUP BY ALL),
+by_all AS (SELECT {K}, list(struct_pack(hi := all_hi, v := v) ORDER BY all_hi) AS all_pool FROM pool GROUP BY ALL),
+hours AS (SELECT {K}, used, live_burn, horizon_h, dense_us / 3600000000.0::DOUBLE AS ahead, unnest(range(0, greatest(CAST(ceil(horizon_h) AS BIGINT), 1))) AS i FROM {source} WHERE horizon_h > 0 AND used < 100),
+keyed AS (SELECT *, {HOUR_OF_WEEK.format(us="now_us + i * 3600000000")} AS bucket FROM hours),
+grid AS (SELECT k.*, coalesce(pool, all_pool) AS pool, run, (concat('0x', substr(md5(concat_ws(':', '0', account, provider, kind, now_us, run, i)), 1, 8)))::BIGINT / 4294967296.0::DOUBLE AS u
+         FROM keyed k JOIN by_all USING ({K}) LEFT JOIN by_bucket USING ({K}, bucket) CROSS JOIN range({runs}) r(run)),
+drawn AS (SELECT *, greatest(coalesce(list_filter(pool, lambda x: x.hi > u * pool[-1].hi)[1].v, pool[-1].v), 0.0) AS d, pow(0.5, i / 0.5::DOUBLE) AS w FROM grid),
+rated AS (SELECT *, CASE WHEN live_burn IS NULL THEN d ELSE w * greatest(live_burn, 0.0) + (1 - w) * d END AS rate, least(1.0, horizon_h - i) AS step FROM drawn),
+walked AS (SELECT *, used + coalesce(sum(rate * step) OVER (PARTITION BY {K}, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rated),
+runs AS (SELECT {K}, run, coalesce(min(CASE WHEN rate > 0 AND before < 100 AND rate * step >= 100 - before THEN i + (100 - before) / rate END), max(horizon_h)) AS outcome_h,
+                CASE WHEN max(ahead) <= max(horizon_h) THEN least(100.0, max(used) + sum(rate * greatest(0.0, least(step, ahead - i)))) END AS level FROM walked GROUP BY {K}, run
+         UNION ALL SELECT {K}, run, CASE WHEN used >= 100 AND horizon_h > 0 THEN 0.0 ELSE horizon_h END, CASE WHEN used >= 100 AND dense_us / 3600000000.0::DOUBLE <= horizon_h THEN 100.0 END
+         FROM {source} JOIN by_all USING ({K}) CROSS JOIN range({runs}) r(run) WHERE NOT (horizon_h > 0 AND used < 100))"""
+
+
+def simulated(runs: int) -> list[str]:
+    return [
+        """
+ready AS (SELECT *, CASE WHEN stale AND NOT in_cycle THEN 'IDLE' WHEN started_us IS NOT NULL AND n_block < 2 THEN 'RESET_PENDING' WHEN stale THEN 'IDLE' ELSE 'OK' END AS status,
+                 CASE WHEN NOT stale THEN burn END AS live_burn, coalesce((resets_us - now_us) / 3600000000.0::DOUBLE, dur_us / 3600000000.0::DOUBLE) AS horizon_h FROM judged),
+able AS (SELECT * FROM ready WHERE NOT (stale AND NOT in_cycle) AND NOT (started_us IS NOT NULL AND n_block < 2))""",
+        profile("able"),
+        futures("able", runs),
+        f"""
+seen AS (SELECT {K}, count(*) AS n_observations, sum(v * w) / sum(w) AS mean_burn FROM pool GROUP BY ALL),
+ran AS (SELECT {K}, list(outcome_h ORDER BY outcome_h) AS o, avg(level) AS predicted_used FROM runs GROUP BY ALL),
+spread AS (SELECT {K}, unnest(range(0, greatest(CAST(floor(horizon_h) AS BIGINT), 1))) AS i FROM able),
+covered AS (SELECT {K}, avg(CASE WHEN b.bucket IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage FROM (SELECT *, {HOUR_OF_WEEK.format(us="now_us + i * 3600000000")} AS bucket FROM spread) LEFT JOIN (SELECT DISTINCT {K}, bucket FROM pool) b USING ({K}, bucket) GROUP BY ALL),
+met AS (SELECT *, o[least(len(o) // 2, len(o) - 1) + 1] AS x50, o[least(CAST(floor(len(o) * 0.9::DOUBLE) AS BIGINT), len(o) - 1) + 1] AS x90 FROM ready LEFT JOIN seen USING ({K}) LEFT JOIN ran USING ({K}) LEFT JOIN covered USING ({K})),
+etas AS (SELECT *, CASE WHEN x50 < horizon_h THEN now_us + round(x50 * 3600000000.0::DOUBLE) END AS at50, CASE WHEN x50 < horizon_h AND x90 < horizon_h THEN now_us + round(x90 * 3600000000.0::DOUBLE) END AS at90, coalesce(resets_us, now_us + dur_us) AS horizon_us,
+                CASE WHEN n_observations >= 10 THEN 2 WHEN n_observations >= 3 THEN 1 ELSE 0 END AS r1, CASE WHEN n_rate >= 10 THEN 2 WHEN n_rate >= 3 THEN 1 ELSE 0 END AS r2 FROM met),
+ranks AS (SELECT *, CASE WHEN coverage < 0.5 THEN 0 WHEN coverage < 0.8 THEN least(r1, 1) ELSE r1 END AS r3 FROM etas),
+sim AS (SELECT *, CASE WHEN at50 < horizon_us THEN at50 END AS eta_us, CASE WHEN at90 < horizon_us THEN at90 END AS p90_us,
+               CASE WHEN n_observations IS NOT NULL AND resets_us IS NOT NULL THEN len(list_filter(o, lambda x: x < horizon_h)) / len(o)::DOUBLE END AS risk,
+               CASE WHEN n_observations IS NOT NULL THEN ['low', 'medium', 'high'][CASE WHEN live_burn IS NOT NULL THEN least(r3, r2) ELSE r3 END + 1] END AS confidence,
+               CASE WHEN n_observations IS NULL THEN 0.0 ELSE coalesce(live_burn, mean_burn) END AS burn_per_hour,
+               CASE WHEN n_observations IS NOT NULL THEN CASE WHEN live_burn IS NOT NULL THEN basis WHEN ratio > 0 THEN 'tokens' ELSE 'percent' END END AS burn_basis FROM ranks)""",
+    ]
+
+
+SIM_COLUMNS = f"""SELECT {K}, used, status, round(burn_per_hour, 4) AS burn_per_hour, burn_basis, n_observations, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s, round(risk, 6) AS risk,
+    round(coverage, 6) AS coverage, confidence, round(predicted_used, 4) AS predicted_used, eta_us IS NOT NULL AND resets_us IS NOT NULL AS exhausts FROM sim"""
+
+# All readings in blocks, with what came after: the truths that forecasts are graded by.
+TRUTHS = """
+whole AS (SELECT *, lag(ts_us) OVER w AS prev_ts, lag(used) OVER w AS prev_used, lag(resets_us) OVER w AS prev_resets FROM smp WINDOW w AS (PARTITION BY account, provider, kind ORDER BY ts_us)),
+marks AS (SELECT *, coalesce(CASE WHEN provider = 'codex' AND kind = 'weekly' THEN prev_used - used > 5 AND used < 10 AND ts_us >= prev_resets - 1000000
+                             ELSE coalesce(resets_us > prev_resets + 1000000, false) OR (prev_used - used > 5 AND (NOT is_estimated OR used < 10)) END, false) AS cut FROM whole),
+blocked AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY account, provider, kind ORDER BY ts_us) AS block FROM marks),
+fated AS (SELECT *, min(CASE WHEN used >= 100 THEN ts_us END) OVER (PARTITION BY account, provider, kind, block ORDER BY ts_us ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS full_us,
+                 block < max(block) OVER (PARTITION BY account, provider, kind) OR coalesce(max(ts_us) OVER (PARTITION BY account, provider, kind) > resets_us, false) AS over FROM blocked),
+graded AS (SELECT *, CASE WHEN used < 100 AND (resets_us IS NULL OR full_us <= resets_us) THEN (full_us - ts_us) / 3600000000.0::DOUBLE END AS realized_h FROM fated),
+known AS (SELECT *, CASE WHEN used >= 100 THEN NULL WHEN realized_h IS NOT NULL THEN 1 WHEN over THEN 0 END AS outcome FROM graded)"""
+
+
+def truth(moments: str) -> str:
+    """The level at target_us for (account, provider, kind, made_us, target_us) in `moments`."""
+    return f"""
+o AS (SELECT m.account, m.provider, m.kind, m.made_us, m.target_us, g.ts_us AS origin_us, g.used AS origin_used, g.resets_us AS origin_resets, g.block AS origin_block FROM {moments} m ASOF LEFT JOIN graded g ON m.account = g.account AND m.provider = g.provider AND m.kind = g.kind AND m.made_us >= g.ts_us),
+n AS (SELECT o.*, g.ts_us AS next_us, g.used AS next_used, g.block AS next_block FROM o ASOF LEFT JOIN graded g ON o.account = g.account AND o.provider = g.provider AND o.kind = g.kind AND o.target_us <= g.ts_us),
+p AS (SELECT n.*, g.ts_us AS last_us, g.used AS last_used FROM n ASOF LEFT JOIN graded g ON n.account = g.account AND n.provider = g.provider AND n.kind = g.kind AND n.target_us > g.ts_us),
+truths AS (SELECT *, CASE WHEN origin_us IS NULL OR target_us < origin_us THEN NULL WHEN target_us = origin_us THEN origin_used WHEN origin_resets IS NOT NULL AND target_us > origin_resets THEN NULL
+                     WHEN next_block = origin_block AND next_us > origin_us THEN CASE WHEN next_us = target_us THEN next_used ELSE last_used + (target_us - last_us) / (next_us - last_us)::DOUBLE * (next_used - last_used) END END AS truth FROM p)"""
+
+
+RUNS, LIVE_RUNS = 20, 100
+BOTH = [SEGMENTS, FACTS, LINEAR, *simulated(RUNS), TRUTHS]
+STORED = """
+stored AS (SELECT account, provider, kind, 'linear' AS model, now_us AS made_us, used, status, burn_per_hour, eta_us, NULL::DOUBLE AS p90_us, NULL::DOUBLE AS risk, predicted_used FROM lin
+           UNION ALL SELECT account, provider, kind, 'montecarlo', now_us, used, status, burn_per_hour, eta_us, p90_us, risk, predicted_used FROM sim)"""
+DENSE = f"""
+moments AS (SELECT account, provider, kind, made_us, any_value(made_us + dense_us) AS target_us, count(predicted_used) AS recorded FROM stored JOIN kinds USING (kind)
+            GROUP BY account, provider, kind, made_us HAVING count(*) = 2 AND count(DISTINCT model) = 2 AND count(*) FILTER (status = 'OK' AND used < 100) = 2 AND (count(predicted_used) = 2 OR (count(predicted_used) = 0 AND count(burn_per_hour) = 2))),
+{truth("moments").strip()},
+errors AS (SELECT kind, model, CASE WHEN recorded > 0 THEN predicted_used ELSE least(100.0, greatest(0.0, used + burn_per_hour * dense_us / 3600000000.0::DOUBLE)) END - truth AS e, origin_used - truth AS pe
+           FROM stored JOIN moments USING (account, provider, kind, made_us) JOIN truths USING (account, provider, kind, made_us) JOIN kinds USING (kind) WHERE truth IS NOT NULL),
+dense AS (SELECT kind, model, count(*) AS moments, avg(abs(e)) AS mae, avg(e) AS bias, avg(abs(pe)) AS persistence_mae FROM errors GROUP BY ALL),
+pooled AS (SELECT model, CAST(sum(moments) AS BIGINT) AS moments, sum(mae * moments) / sum(moments) AS mae, sum(bias * moments) / sum(moments) AS bias, sum(persistence_mae * moments) / sum(moments) AS persistence_mae FROM dense GROUP BY model)"""
+CLAIMS = """
+claims AS (SELECT c.*, g.outcome, g.ts_us + g.realized_h * 3600000000.0::DOUBLE AS exhausted_us FROM (SELECT * FROM stored WHERE model = 'montecarlo' AND risk IS NOT NULL) c ASOF LEFT JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us)"""
+
+
+def graded(select: str, *more: str) -> str:
+    return chain(replay(STRIDE), *BOTH, STORED, *more, select=select)
+
+
+def folded(origins: str, parts: list[str], inputs: str, first: str, step: str, select: str) -> str:
+    """A fold in time order: `inputs` has key, n from 1; `step` makes the next state from state f and input i."""
+    return "WITH RECURSIVE " + ",".join([BASE, origins, *parts]) + f""", inputs AS ({inputs}),
+        fold AS (SELECT DISTINCT key, 0::BIGINT AS n, {first} FROM inputs UNION ALL SELECT f.key, i.n, {step} FROM fold f JOIN inputs i ON f.key = i.key AND i.n = f.n + 1)
+        {select}"""
+
+
+READY = "(f.armed OR i.cleared OR (NOT i.rolling AND coalesce(i.resets_us > f.at_us + 1000000, false)))"
+ALERTS = folded(
+    replay(29),
+    [SEGMENTS, FACTS, LINEAR],
+    """SELECT *, row_number() OVER (PARTITION BY key ORDER BY now_us) AS n FROM (
+        SELECT concat_ws('|', account, provider, kind, 'threshold') AS key, account, provider, kind, 'threshold' AS alert, now_us, used, resets_us, provider = 'codex' AND kind = 'weekly' AS rolling, used >= 90 AS cond, used < 80 AS cleared FROM lin WHERE status <> 'IDLE' OR in_cycle
+        UNION ALL SELECT concat_ws('|', account, provider, kind, 'burn'), account, provider, kind, 'burn', now_us, used, resets_us, provider = 'codex' AND kind = 'weekly',
+            coalesce(status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL AND used >= 25 AND (eta_us - now_us) / 3600000000.0::DOUBLE <= 1, false), provider = 'codex' AND kind = 'weekly' AND used < 25 FROM lin WHERE status <> 'IDLE' OR in_cycle)""",
+    "true AS armed, NULL::DOUBLE AS at_us, false AS fired",
+    f"{READY} AND NOT i.cond, CASE WHEN {READY} AND i.cond THEN i.resets_us ELSE f.at_us END, {READY} AND i.cond",
+    "SELECT account, provider, kind, alert, now_us AS fired_us, used FROM fold JOIN inputs USING (key, n) WHERE fired",
+)
+WINS = """CASE WHEN x.resets_us IS NOT NULL AND s.resets_us IS NOT NULL AND abs(x.resets_us - s.resets_us) > 60000000 THEN x.resets_us > s.resets_us WHEN (x.resets_us IS NULL) <> (s.resets_us IS NULL) THEN x.resets_us IS NOT NULL ELSE x.ts_us > s.ts_us END"""
+TRIED = "i.ts_us >= f.next_us"
+WAIT = "CASE WHEN i.ok THEN 180 ELSE least(f.wait_s * 2, 1800) END"
+GOOD = f"CASE WHEN {TRIED} AND i.ok THEN i.ts_us ELSE f.good END"
+DAY0 = 1_704_067_200_000_000
+
+SQL |= {
+    "realized_exhaustion": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, round(realized_h, 6) AS realized_h FROM known",
+    "risk_outcomes": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, outcome FROM known",
+    "used_at_horizon": chain(replay(7), TRUTHS, "\nm0 AS (SELECT account, provider, kind, now_us + 60000000 AS made_us, now_us + 60000000 + dense_us AS target_us FROM orig JOIN kinds USING (kind))", truth("m0"), select="SELECT account, provider, kind, made_us, origin_us, round(truth, 6) AS truth FROM truths"),
+    "dense_score": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
+    "pool_score": graded("SELECT model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM pooled", DENSE),
+    "better_model": graded("""SELECT CASE WHEN reason = 'passes every gate' THEN challenger ELSE 'linear' END AS chosen, challenger, reason, round(gain, 4) AS gain, round(over_persistence, 4) AS over_persistence FROM (
+        SELECT *, CASE WHEN challenger IS NULL THEN 'no challenger has a score' WHEN moments < 500 THEN 'too few moments' WHEN base_mae IS NULL THEN 'the default has no score' WHEN base_mae = 0 THEN 'the default is exact' WHEN gain < 0.15 THEN 'gain over the default is under the margin'
+            WHEN p IS NULL THEN 'no persistence score' WHEN p = 0 THEN 'persistence is exact' WHEN over_persistence < 0.15 THEN 'gain over persistence is under the margin' ELSE 'passes every gate' END AS reason FROM (
+        SELECT max(model) FILTER (model = 'montecarlo') AS challenger, max(moments) FILTER (model = 'montecarlo') AS moments, max(mae) FILTER (model = 'linear') AS base_mae, max(persistence_mae) FILTER (model = 'montecarlo') AS p,
+            (base_mae - max(mae) FILTER (model = 'montecarlo')) / nullif(base_mae, 0) AS gain, (p - max(mae) FILTER (model = 'montecarlo')) / nullif(p, 0) AS over_persistence FROM pooled))""", DENSE),
+    "episode_score": graded("""SELECT model, count(*) AS moments, count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) AS answered, count(e) AS episodes, round(avg(abs(e)), 4) AS mae_h, round(avg(e), 4) AS bias_h, round(count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) / count(*)::DOUBLE, 6) AS coverage FROM (
+        SELECT c.model, c.eta_us, c.risk, (c.eta_us - (g.ts_us + g.realized_h * 3600000000.0::DOUBLE)) / 3600000000.0::DOUBLE AS e FROM (SELECT * FROM stored WHERE status NOT IN ('IDLE', 'NO_DATA', 'RESET_PENDING')) c ASOF JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us) GROUP BY model"""),
+    "brier": graded("SELECT round(base, 6) AS base, count(outcome) AS n, round(avg(pow(risk - outcome, 2)), 4) AS brier, round(avg(CASE WHEN outcome IS NOT NULL THEN pow(base - outcome, 2) END), 4) AS base_brier, round(avg(CASE WHEN p90_us IS NOT NULL AND exhausted_us IS NOT NULL THEN CAST(exhausted_us <= p90_us AS INT) END), 4) AS p90_held FROM claims CROSS JOIN (SELECT avg(outcome) AS base FROM claims WHERE outcome IS NOT NULL) GROUP BY base", CLAIMS),
+    "reliability_table": graded("SELECT low, high, count(*) AS n, round(avg(outcome), 4) AS frequency FROM claims JOIN (VALUES (0.0::DOUBLE, 0.3::DOUBLE), (0.3, 0.6), (0.6, 0.9), (0.9, 1.01)) b(low, high) ON risk >= low AND risk < high WHERE outcome IS NOT NULL GROUP BY ALL", CLAIMS),
+    "hour_of_week_profile": chain(LIVE, SEGMENTS, FACTS, profile("judged"), select=f"SELECT {K}, bucket, count(*) AS n, round(sum(v * w) / sum(w), 6) AS mean_burn FROM pool GROUP BY {K}, bucket"),
+    "mc_outcomes": chain(replay(STRIDE), SEGMENTS, FACTS, "\nstart AS (SELECT *, burn AS live_burn, coalesce((resets_us - now_us) / 3600000000.0::DOUBLE, dur_us / 3600000000.0::DOUBLE) AS horizon_h FROM judged)", profile("start"), futures("start", 5), select=f"SELECT {K}, run, round(outcome_h, 4) AS outcome_h, round(level, 4) AS level FROM runs"),
+    "mc_forecast": chain(LIVE, SEGMENTS, FACTS, *simulated(LIVE_RUNS), select=SIM_COLUMNS),
+    "replay_montecarlo": chain(replay(STRIDE), SEGMENTS, FACTS, *simulated(RUNS), select=SIM_COLUMNS),
+    "alert_log": ALERTS,
+    "retained_prediction": graded("""SELECT account, provider, kind, model, now_us, made_us, used, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s FROM (
+        SELECT i.account, i.provider, i.kind, 'montecarlo' AS model, i.at AS now_us, i.used, i.dur_us, s.made_us, s.status, s.used AS saved_used, s.eta_us, s.p90_us FROM (SELECT account, provider, kind, now_us + 900000000 AS at, used, dur_us FROM lin) i
+        ASOF JOIN (SELECT * FROM stored WHERE model = 'montecarlo' AND status <> 'IDLE') s ON i.account = s.account AND i.provider = s.provider AND i.kind = s.kind AND i.at >= s.made_us)
+        WHERE status = 'OK' AND eta_us IS NOT NULL AND saved_used = used AND made_us >= now_us - dur_us AND eta_us > now_us"""),
+    "latest_non_idle": linear("SELECT account, provider, kind, max(now_us) AS made_us, max(now_us) AS id, arg_max(used, now_us) AS used, arg_max(status, now_us) AS status FROM lin WHERE status <> 'IDLE' AND now_us <= 1705000000000000 GROUP BY ALL"),
+    "snapshot_arbitration": f"""WITH {BASE}, r AS (SELECT *, ts_us // 86400000000 AS day, row_number() OVER (PARTITION BY account, provider, kind, ts_us // 86400000000 ORDER BY ts_us DESC) AS rank FROM smp),
+        c AS (SELECT account, provider, kind, day, rank, ts_us, used, CASE WHEN rank % 2 = 0 THEN resets_us + rank * 45000000 WHEN rank < 5 THEN resets_us END AS resets_us FROM r WHERE rank <= 5),
+        w AS (SELECT account, provider, kind, day, list_reduce(list(struct_pack(rank := rank, ts_us := ts_us, used := used, resets_us := resets_us) ORDER BY rank), lambda s, x: CASE WHEN {WINS} THEN x ELSE s END) AS s FROM c GROUP BY ALL)
+        SELECT account, provider, kind, day, s.rank AS rank, s.ts_us AS ts_us, s.used AS used, s.resets_us AS resets_us FROM w""",
+    "read_throttle": folded(
+        "\nnone AS (SELECT 1 AS x)",
+        [],
+        "SELECT *, account || '|' || day AS key, row_number() OVER (PARTITION BY account, day ORDER BY ts_us) AS n FROM (SELECT account, ts_us // 86400000000 AS day, ts_us, total_tokens % 3 <> 0 AS ok FROM tok)",
+        "-1::BIGINT AS next_us, 180::BIGINT AS wait_s, NULL::BIGINT AS good, false AS tried, false AS served",
+        f"CASE WHEN {TRIED} THEN i.ts_us + {WAIT} * 1000000 ELSE f.next_us END, CASE WHEN {TRIED} THEN {WAIT} ELSE f.wait_s END, {GOOD}, {TRIED}, coalesce({GOOD} > i.ts_us - 900000000, false)",
+        "SELECT account, day, ts_us, tried, wait_s, served FROM fold JOIN inputs USING (key, n)",
+    ),
+    "source_choice": f"""WITH {BASE}, s AS (SELECT account, provider, kind, arg_max(used, ts_us) AS used FROM smp GROUP BY ALL)
+        SELECT account, provider, kind, used, CASE WHEN length(account) % 4 = 0 AND kind = 'w5h' THEN 'cli' WHEN length(account) % 2 = 0 THEN 'desktop' ELSE 'tokens' END AS source FROM s""",
+    "keep_first_insert": f"""WITH {BASE}, h AS (SELECT account, provider, kind, ts_us // 3600000000 * 3600000000 AS ts_us, used, ts_us AS seq FROM smp), f AS (SELECT * FROM h WHERE ts_us >= {DAY0 + 86_400_000_000} AND ts_us >= {DAY0 + 864_000_000_000})
+        SELECT account, provider, kind, ts_us, arg_min(used, seq) AS used, min(seq) AS seq FROM f GROUP BY ALL""",
+    "keep_last_upsert": f"""WITH {BASE}, h AS (SELECT provider, request_id, CAST(ts_us // 3600000000 AS VARCHAR) AS message_id, ts_us, total_tokens FROM tok)
+        SELECT provider, request_id, message_id, max(ts_us) AS ts_us, arg_max(total_tokens, ts_us) AS total_tokens FROM h GROUP BY ALL""",
+    "recent_samples": f"WITH {BASE} SELECT account, provider, kind, ts_us, used FROM smp WHERE provider = 'codex' AND kind = 'w5h' AND ts_us >= 1706000000000000",
+    "recent_token_events": f"WITH {BASE} SELECT account, message_id, ts_us, total_tokens FROM tok WHERE provider = 'claude' AND ts_us >= 1706000000000000",
+    "recent_forecasts": linear("SELECT account, provider, kind, now_us AS made_us, status, round(burn_per_hour, 6) AS burn_per_hour FROM lin WHERE provider = 'codex' AND kind = 'weekly' AND now_us >= 1706000000000000"),
+    "pruned_and_deleted": f"WITH {BASE} SELECT provider, request_id, message_id, ts_us FROM tok WHERE total_tokens % 7 <> 0 AND ts_us >= 1705000000000000",
+    "reset_history_count": f"WITH {BASE} SELECT CAST((SELECT count(*) FROM smp) + (SELECT count(*) FROM tok) AS BIGINT) AS removed",
+    "last_alerts": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us FROM blocked WHERE cut QUALIFY row_number() OVER (PARTITION BY account, provider, kind ORDER BY ts_us DESC) <= 10",
+    "transcript_tokens": "SELECT 'claude' AS provider, CAST(conv_id AS VARCHAR) AS request_id, CAST(turn AS VARCHAR) AS message_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS output_tokens FROM conversations WHERE role = 'assistant'",
+    "rollout_suppression": f"""WITH {BASE}, r AS (SELECT request_id, CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 5 <> 0 THEN total_tokens // 9000 END AS total FROM tok),
+        b AS (SELECT *, last_value(total IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) SELECT request_id, pos, total FROM b WHERE NOT coalesce(total = before, false)""",
+    "rollout_blocks": f"""WITH {BASE} SELECT CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 3 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, total_tokens % 100 + 0.5::DOUBLE AS used, ts_us // 1000000 * 1000000 + total_tokens % 977 * 1000000 AS resets_us, input_tokens FROM tok WHERE total_tokens % 4 <> 0 AND total_tokens % 3 < 2""",
+    "cli_text": f"""WITH {BASE}, n AS (SELECT ts_us AS now_us, total_tokens AS t FROM tok WHERE CAST(message_id AS BIGINT) % 5 = 0),
+        a AS (SELECT *, CASE WHEN t % 31 + 1 <= 29 AND t % 11 <> 0 AND t % 7 <> 0 THEN epoch_us(make_timestamp(2024, 2, CAST(least(t % 31 + 1, 29) AS BIGINT), (t % 12 + 1) % 12 + 12, t % 60, 0.0)) END AS at_us FROM n)
+        SELECT now_us, CASE WHEN t % 2 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, CAST(t % 101 AS DOUBLE) AS used, at_us AS resets_us FROM a WHERE t % 2 = 0 OR t % 3 <> 0""",
+    "rpc_results": f"""WITH {BASE} SELECT ts_us AS now_us, 'w5h' AS kind, CAST(total_tokens % 100 AS DOUBLE) AS used, (total_tokens + 1700000000) * 1000000 AS resets_us FROM tok WHERE total_tokens % 2 = 0 AND total_tokens % 4 <> 0
+        UNION ALL SELECT ts_us, 'weekly', CAST(total_tokens % 99 AS DOUBLE), NULL FROM tok""",
+}

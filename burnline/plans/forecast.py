@@ -42,7 +42,7 @@ def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str =
 
 
 def montecarlo_forecast(samples: DataFrame, tokens: DataFrame, origins: DataFrame, runs: int, tz: str = "UTC", seed: int = 0) -> DataFrame:
-    f = facts(samples, tokens, origins)
+    f = facts(samples, tokens, origins).persist()  # read by the profile, the draws and the result
     return montecarlo.montecarlo(f, segmented(samples, origins), tokens, KEYS, runs, tz, seed)
 
 

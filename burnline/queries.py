@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, SERIES, STALE_US, by_kind
+from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, SERIES, by_kind
 from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, projection, scoring, store, tokens
 from burnline.plans import forecast
 from burnline.plans.forecast import KEYS
@@ -151,7 +151,7 @@ def percent_per_token(spark, d):
 @query
 def robust_slope(spark, d):
     """B3, B4."""
-    return _facts(spark, d).select(*KEYS, burn.fit_rows().alias("fit_rows"), r6("slope").alias("slope"))
+    return _facts(spark, d).select(*KEYS, "fit_rows", r6("slope").alias("slope"))
 
 
 @query
@@ -202,3 +202,314 @@ def no_data_grid(spark, d):
     s, t = _tables(spark, d)
     seen = s.where((F.col("ts_us") < F.lit(1_704_067_200_000_000 + 2 * HOUR)) & (F.col("kind") == "w5h")).groupBy(*SERIES).agg(F.max_by("used", "ts_us").alias("used")).withColumn("status", F.lit("OK"))
     return projection.no_data(forecast.watched(spark, t), seen, SERIES).select(*SERIES, "used", "status")
+
+
+def _forecasts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Replayed moments judged by both models, as stored rows; samples with blocks; both models' full rows."""
+    s, t, o = _replay(spark, d)
+    f = forecast.facts(s, t, o).persist()
+    lin = projection.linear(f)
+    sim = montecarlo.montecarlo(f, forecast.segmented(s, o), t, KEYS, RUNS).persist()
+    return forecast.stored(lin, sim), cycles.segment(s, SERIES), lin, sim
+
+
+@query
+def realized_exhaustion(spark, d):
+    """G2 for every reading."""
+    rows = scoring.with_next_exhaustion(_seg(spark, d), SERIES)
+    return rows.select(*SERIES, "ts_us", r6(scoring.realized_hours()).alias("realized_h"))
+
+
+@query
+def risk_outcomes(spark, d):
+    """X3 for every reading."""
+    return scoring.risk_outcome(_seg(spark, d), SERIES).select(*SERIES, "ts_us", "outcome")
+
+
+@query
+def used_at_horizon(spark, d):
+    """The level one dense horizon after moments a minute past each replayed reading."""
+    s, t, o = _replay(spark, d, 7)
+    m = o.select(*SERIES, (F.col("now_us") + 60_000_000).alias("made_us")).withColumn("target_us", F.col("made_us") + by_kind(DENSE_US))
+    out = scoring.used_at(m, cycles.segment(s, SERIES), SERIES, "made_us", "target_us")
+    return out.select(*SERIES, "made_us", F.col("origin.ts_us").alias("origin_us"), r6("truth").alias("truth"))
+
+
+@query
+def dense_score(spark, d):
+    """G5, X5 by kind."""
+    rows, seg, _, _ = _forecasts(spark, d)
+    out = scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"])
+    return out.select("kind", "model", "moments", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("persistence_mae", 4).alias("persistence_mae"))
+
+
+@query
+def pool_score(spark, d):
+    """G6, G12."""
+    rows, seg, _, _ = _forecasts(spark, d)
+    out = scoring.pool_scores(scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"]))
+    return out.select("model", "moments", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("persistence_mae", 4).alias("persistence_mae"))
+
+
+@query
+def better_model(spark, d):
+    """G10 over the pooled scores, and G11's vetoes."""
+    rows, seg, _, _ = _forecasts(spark, d)
+    per_kind = scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"])
+    return scoring.choose_model(scoring.pool_scores(per_kind)).withColumn("gain", F.round("gain", 4)).withColumn("over_persistence", F.round("over_persistence", 4))
+
+
+@query
+def episode_score(spark, d):
+    """G4, G7."""
+    rows, seg, _, _ = _forecasts(spark, d)
+    out = scoring.episode_scores(rows, scoring.risk_outcome(seg, SERIES)).withColumn("coverage", F.round(scoring.answer_coverage(), 6))
+    return out.withColumn("mae_h", F.round("mae_h", 4)).withColumn("bias_h", F.round("bias_h", 4))
+
+
+def _claims(spark, d) -> DataFrame:
+    rows, seg, _, _ = _forecasts(spark, d)
+    claims = rows.where("model = 'montecarlo' AND risk IS NOT NULL")
+    return scoring.as_of(claims, scoring.risk_outcome(seg, SERIES), SERIES, "made_us", ["outcome", "realized_h"], "o").select(*SERIES, "made_us", "risk", "p90_us", F.col("o.outcome").alias("outcome"), (F.col("o.ts_us") + F.col("o.realized_h") * HOUR).alias("exhausted_us"))
+
+
+@query
+def brier(spark, d):
+    """The claims' Brier score and that of always claiming the base rate; X4: how often P90 held."""
+    c = _claims(spark, d)
+    held = F.when(F.col("p90_us").isNotNull() & F.col("exhausted_us").isNotNull(), (F.col("exhausted_us") <= F.col("p90_us")).cast("double"))
+    base = c.where("outcome IS NOT NULL").agg(F.avg("outcome").alias("base"))
+    out = c.crossJoin(F.broadcast(base)).groupBy(F.round("base", 6).alias("base")).agg(F.count("outcome").alias("n"), F.round(scoring.brier(F.col("risk"), F.col("outcome")), 4).alias("brier"), F.round(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(F.col("base") - F.col("outcome"), 2))), 4).alias("base_brier"), F.round(F.avg(held), 4).alias("p90_held"))  # base: one row
+    return out
+
+
+@query
+def reliability_table(spark, d):
+    """G9."""
+    return scoring.reliability(_claims(spark, d).where("outcome IS NOT NULL")).withColumn("frequency", F.round("frequency", 4))
+
+
+@query
+def hour_of_week_profile(spark, d):
+    """M1-M7 at the latest moment."""
+    s, t, o = _live(spark, d)
+    f = forecast.facts(s, t, o).persist()
+    rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
+    return montecarlo.profile(montecarlo.pools(rows, KEYS), KEYS).select(*KEYS, "bucket", "n", r6("mean_burn").alias("mean_burn"))
+
+
+@query
+def mc_forecast(spark, d):
+    """Every series at the latest moment, LIVE_RUNS futures each."""
+    s, t, o = _live(spark, d)
+    return _mc_columns(forecast.montecarlo_forecast(s, t, o, LIVE_RUNS))
+
+
+@query
+def replay_montecarlo(spark, d):
+    """X1 for the simulating model, RUNS futures at each moment."""
+    return _mc_columns(_forecasts(spark, d)[3])
+
+
+def _mc_columns(f: DataFrame) -> DataFrame:
+    eta = lambda c: F.round(F.col(c) / 1e6, 2)
+    return f.select(*KEYS, "used", "status", F.round("burn_per_hour", 4).alias("burn_per_hour"), "burn_basis", "n_observations", eta("eta_us").alias("eta_s"), eta("p90_us").alias("p90_s"), F.round("risk", 6).alias("risk"), F.round("coverage", 6).alias("coverage"), "confidence", F.round("predicted_used", 4).alias("predicted_used"), "exhausts")
+
+
+@query
+def mc_outcomes(spark, d):
+    """The futures themselves, at replayed moments."""
+    s, t, o = _replay(spark, d)
+    f = forecast.facts(s, t, o).withColumn("live", F.col("burn")).withColumn("horizon_h", F.coalesce((F.col("resets_us") - F.col("now_us")) / float(HOUR), by_kind(DURATION_US) / float(HOUR))).persist()
+    rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
+    return montecarlo.simulate(f, montecarlo.pools(rows, KEYS), KEYS, 5, "UTC").select(*KEYS, F.col("run").cast("bigint").alias("run"), F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
+
+
+@query
+def alert_log(spark, d):
+    """Alerts of the linear model over a denser replay."""
+    ticks = forecast.linear(*_replay(spark, d, 29))
+    return alerts.alert_log(ticks)
+
+
+@query
+def retained_prediction(spark, d):
+    """Saved bands of idle series, a day's ticks being judged two hours on."""
+    rows, _, lin, _ = _forecasts(spark, d)
+    saved = rows.withColumn("id", F.col("made_us"))
+    idle = lin.select(*SERIES, F.lit("montecarlo").alias("model"), (F.col("now_us") + HOUR // 4).alias("now_us"), "used", F.lit(None).cast("double").alias("resets_us"), F.lit("IDLE").alias("status"), F.lit(None).cast("bigint").alias("eta_us"), F.lit(None).cast("string").alias("confidence"))
+    out = alerts.retained(idle, saved, by_kind(DURATION_US))
+    return out.select(*SERIES, "model", "now_us", "made_us", "used", F.round(F.col("eta_us") / 1e6, 2).alias("eta_s"), F.round(F.col("p90_us") / 1e6, 2).alias("p90_s"))
+
+
+@query
+def latest_non_idle(spark, d):
+    """T7."""
+    rows = forecast.linear(*_replay(spark, d)).withColumn("id", F.col("now_us")).withColumn("made_us", F.col("now_us"))
+    return store.latest_barrier(rows.select(*SERIES, "made_us", "id", "used", "status"), F.lit(1_705_000_000_000_000), SERIES)
+
+
+@query
+def snapshot_arbitration(spark, d):
+    """Each series' five newest readings of every day as candidates, newest first."""
+    s = adapters.samples(spark, d).withColumn("day", F.expr(f"ts_us div {DAY}"))
+    key = [*SERIES, "day"]
+    from pyspark.sql import Window
+
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts_us")))).where("rank <= 5")
+    jitter = F.when(F.col("rank") % 2 == 0, F.col("resets_us") + F.col("rank") * 45_000_000).otherwise(F.when(F.col("rank") < 5, F.col("resets_us")))
+    return arbitration.arbitrate(ranked.withColumn("resets_us", jitter), key)
+
+
+@query
+def read_throttle(spark, d):
+    """An account's requests as read attempts, of which every third fails, day by day."""
+    t = adapters.token_events(spark, d).select("account", F.expr(f"ts_us div {DAY}").alias("day"), "ts_us", (F.col("total_tokens") % 3 != 0).alias("ok"))
+    return arbitration.throttle(t, ["account", "day"])
+
+
+@query
+def source_choice(spark, d):
+    """Last readings of even accounts by name length have live text, of others a desktop file or tokens."""
+    s = adapters.samples(spark, d).groupBy(*SERIES).agg(F.max_by("used", "ts_us").alias("used"))
+    n = F.length("account")
+    parts = [s.withColumn("source", F.lit("tokens")), s.where(n % 2 == 0).withColumn("source", F.lit("desktop")), s.where((n % 4 == 0) & (F.col("kind") == "w5h")).withColumn("source", F.lit("cli"))]
+    return arbitration.choose_source(parts[0].unionByName(parts[1]).unionByName(parts[2]), SERIES)
+
+
+@query
+def keep_first_insert(spark, d):
+    """Hourly readings appended to those of the first ten days, above a floor of a day."""
+    s = adapters.samples(spark, d).select(*SERIES, F.expr(f"ts_us div {HOUR} * {HOUR}").alias("ts_us"), "used", F.col("ts_us").alias("seq"))
+    s = store.above_floor(s, F.lit(1_704_067_200_000_000 + DAY))
+    old = s.where(F.col("ts_us") < 1_704_067_200_000_000 + 10 * DAY)
+    return store.keep_first(s, old, store.SAMPLE_KEY, "seq")
+
+
+@query
+def keep_last_upsert(spark, d):
+    """One event a user and hour, the last written over the others."""
+    t = adapters.token_events(spark, d).withColumn("message_id", F.expr(f"ts_us div {HOUR}").cast("string"))
+    old = store.keep_last(t.where(F.col("ts_us") < 1_704_067_200_000_000 + 10 * DAY), store.EVENT_KEY, F.col("ts_us"))
+    out = store.upsert(old, t.where(F.col("ts_us") >= 1_704_067_200_000_000 + 9 * DAY), store.EVENT_KEY, F.col("ts_us"))
+    return out.select("provider", "request_id", "message_id", "ts_us", "total_tokens")
+
+
+@query
+def recent_samples(spark, d):
+    """T4."""
+    return store.recent(adapters.samples(spark, d), 1_706_000_000_000_000, "ts_us", ("account",), provider="codex", kind="w5h").select(*SERIES, "ts_us", "used")
+
+
+@query
+def recent_token_events(spark, d):
+    """T5, T14."""
+    return store.recent(adapters.token_events(spark, d), 1_706_000_000_000_000, "ts_us", ("request_id", "message_id"), provider="claude").select("account", "message_id", "ts_us", store.total_tokens().alias("total_tokens"))
+
+
+@query
+def recent_forecasts(spark, d):
+    """T6, T8."""
+    rows = forecast.linear(*_replay(spark, d)).withColumn("made_us", F.col("now_us"))
+    return store.recent(rows, 1_706_000_000_000_000, "made_us", ("account",), provider="codex", kind="weekly").select(*SERIES, "made_us", "status", r6("burn_per_hour").alias("burn_per_hour"))
+
+
+@query
+def pruned_and_deleted(spark, d):
+    """T9, T10."""
+    t = adapters.token_events(spark, d)
+    return store.prune(store.delete(t, t.where("total_tokens % 7 = 0"), store.EVENT_KEY), F.lit(1_705_000_000_000_000)).select("provider", "request_id", "message_id", "ts_us")
+
+
+@query
+def reset_history_count(spark, d):
+    """T11."""
+    s, t = _tables(spark, d)
+    return store.reset_history({"samples": s, "token_events": t}, 0.0)[0]
+
+
+@query
+def last_alerts(spark, d):
+    """V8: the ten newest resets of each series."""
+    return store.last_n(_seg(spark, d).where("is_reset"), 10, SERIES, "ts_us").select(*SERIES, "ts_us")
+
+
+@query
+def transcript_tokens(spark, d):
+    """Assistant turns as token events."""
+    return adapters.conversation_tokens(spark, d)
+
+
+@query
+def rollout_suppression(spark, d):
+    """Lines of a user whose cumulative total repeats the last known one."""
+    from burnline.sources.files import suppress_repeats
+
+    t = adapters.token_events(spark, d).select("request_id", F.col("message_id").cast("bigint").alias("pos"), F.when(F.col("total_tokens") % 5 != 0, F.expr("total_tokens div 9000")).alias("total"))
+    return suppress_repeats(t, "request_id")
+
+
+@query
+def rollout_blocks(spark, d):
+    """Rollout lines made of events, parsed, classified and normalised."""
+    from burnline.sources import files
+
+    t = adapters.token_events(spark, d)
+    line = F.format_string('{"timestamp":"%s","payload":{"type":"%s","info":{"last_token_usage":{"input_tokens":%d,"output_tokens":%d}},"rate_limits":{"primary":{"used_percent":%d.5,"window_minutes":%d,"resets_in_seconds":%d}}}}', F.date_format(F.timestamp_seconds(F.expr("ts_us div 1000000")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("total_tokens") % 4 == 0, "other").otherwise("token_count"), "input_tokens", "output_tokens", F.col("total_tokens") % 100, F.when(F.col("total_tokens") % 3 == 0, 300).when(F.col("total_tokens") % 3 == 1, 10080).otherwise(43), F.col("total_tokens") % 977)
+    rows = t.select(F.col("request_id").alias("file"), F.lit(0).alias("mtime"), F.col("message_id").cast("bigint").alias("pos"), line.alias("line"))
+    events = files.rollout_events(rows)
+    block = files._reading(F.col("payload.rate_limits.primary"), files.iso_to_us(F.col("stamp")))
+    return events.select("pos", block.alias("r"), F.col("payload.info.last_token_usage.input_tokens").cast("bigint").alias("input_tokens")).where("r.kind IS NOT NULL").select("pos", "r.kind", "r.used", "r.resets_us", "input_tokens")
+
+
+@query
+def cli_text(spark, d):
+    """Usage lines made of events, with their reset phrases."""
+    from burnline.sources import files
+
+    t = adapters.token_events(spark, d).where("message_id % 5 = 0")
+    n = F.col("total_tokens")
+    head = F.when(n % 2 == 0, "Current session").when(n % 3 == 0, "Current week (Opus)").otherwise("Current week (all models)")
+    tail = F.when(n % 7 == 0, "").otherwise(F.format_string(" · resets Feb %d at %d:%02dpm (%s)", n % 31 + 1, n % 12 + 1, n % 60, F.when(n % 11 == 0, "Mars/Base").otherwise("UTC")))
+    rows = t.select(F.col("ts_us").alias("now_us"), F.concat(head, F.lit(": "), (n % 101).cast("string"), F.lit("% used"), tail).alias("line"))
+    return files.cli_readings(rows)
+
+
+@query
+def rpc_results(spark, d):
+    """Results of the usage call."""
+    from burnline.sources import files
+
+    n = F.col("total_tokens")
+    body = F.format_string('{"rateLimits":{"primary":{"usedPercent":%s,"windowDurationMins":%d,"resetsAt":%d},"secondary":{"usedPercent":%d,"windowDurationMins":10080}}}', F.when(n % 4 == 0, '"7"').otherwise((n % 100).cast("string")), F.when(n % 2 == 0, 300).otherwise(200), n + 1_700_000_000, n % 99)
+    return files.rpc_readings(adapters.token_events(spark, d).select(F.col("ts_us").alias("now_us"), body.alias("body")))
+
+
+@query
+def dashboard_rows(spark, d):
+    """V1-V6: cells of both models' forecasts at replayed moments."""
+    from burnline.plans import dashboard
+
+    _, _, lin, sim = _forecasts(spark, d)
+    lin = lin.withColumn("over", burn.overage_tokens(F.col("used"))).withColumn("cost", burn.overage_cost(F.col("used"), {"claude": PRICES["claude"]}))
+    lin = projection.work_hours_eta(lin, KEYS, "UTC", 9.0, 17.0, frozenset(range(5)))
+    s = sim.select(*KEYS, F.col("eta_us").alias("p50"), F.col("p90_us").alias("p90"), F.col("confidence").alias("sure"), "risk")
+    none = F.lit(None).cast("bigint")
+    rows = lin.join(s, KEYS)
+    return rows.select(*KEYS, dashboard.used_cell(F.col("over"), F.col("cost")).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), dashboard.risk_cell(F.col("risk")).alias("risk_cell"), dashboard.eta_cell(F.col("p50"), F.col("p90"), F.col("sure"), F.col("risk"), none, none, F.col("work_us"), "UTC").alias("eta_cell"), dashboard.row_style().alias("style"))
+
+
+@query
+def dashboard_mood(spark, d):
+    """V5, V7: the mascot of each account over the latest moment's rows."""
+    from burnline.plans import dashboard
+
+    return dashboard.mood(forecast.linear(*_replay(spark, d)), ["account", "now_us"])
+
+
+@query
+def streaming_alerts(spark, d):
+    """The same alerts from a stream with keyed state; rows only."""
+    from burnline.streaming.alerts import replay_stream
+
+    return replay_stream(spark, forecast.linear(*_replay(spark, d, 29)))
