@@ -9,8 +9,9 @@ grow with members, not their square. Candidates are confirmed on whole sets.
 
 A star may miss a link between two members that both differ from the centre. So
 buckets that still hold several components are searched again: their members'
-signatures are compared in blocks, the largest component only with the others,
-and pairs whose signatures agree enough are confirmed as well.
+signatures are compared in blocks, the largest component only with the others;
+where they agree enough the sets are, and a link that joins two components goes
+out to be confirmed as well. A bucket yields fewer links than it has components.
 
 Documents with equal sets are one candidate, so copies never meet each other.
 
@@ -36,9 +37,9 @@ WORDS, BIN_BITS, BANDS, ROWS = 5, 8, 51, 5
 BINS = 1 << BIN_BITS
 #: Attempts of densification; a document with few shingles may need many.
 ATTEMPTS = 4096
-SCHEMA = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands binary, signature binary"
-#: Equal bins of 255 below which a pair of similarity 0.75 practically never falls (more than eight standard deviations).
-AGREE = 130
+SCHEMA = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands binary"
+#: Equal bins of 255 below which a pair of similarity 0.75 practically never falls (six standard deviations).
+AGREE = 150
 #: Members of the largest component that one task compares with the others of a bucket.
 SHARE = 20_000
 
@@ -105,6 +106,10 @@ def _documents(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield words[before[i] : before[i + 1]]
 
 
+def _brief(sig: np.ndarray) -> bytes:
+    return (sig[: BANDS * ROWS] & U(255)).astype(np.uint8).tobytes()
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(SCHEMA)
     turn = np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)
@@ -115,25 +120,27 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _documents(raw, offsets):
             s = shingles(words)
             if not len(s):
-                out.append((0, 0, 0, None, None))
+                out.append((0, 0, 0, None))
                 continue
             sig = signature(s)
             again = mix(s + U(0x632BE59BD9B4E019))
             rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS)
             buckets = mix((mix(rows + turn) + band).sum(axis=1, dtype=U))
-            out.append((len(s), int(s.sum(dtype=U).astype(np.int64)), int(again.sum(dtype=U).astype(np.int64)), buckets.astype("<u8").tobytes(), (sig[: BANDS * ROWS] & U(255)).astype(np.uint8).tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            out.append((len(s), int(s.sum(dtype=U).astype(np.int64)), int(again.sum(dtype=U).astype(np.int64)), buckets.astype("<u8").tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text) to (rep, set)."""
+    """(rep, text) to (rep, set, brief, signature); brief has the upper halves of the set's hashes."""
     for batch in batches:
         offsets, raw = utf8(batch.column(1))
-        sets = [shingles(w).view(np.int64) for w in _documents(raw, offsets)]
+        sets = [shingles(w) for w in _documents(raw, offsets)]
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["rep", "set"])
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        brief = pa.array([(s >> U(32)).astype("<u4").tobytes() for s in sets], pa.binary())
+        sig = pa.array([_brief(signature(s)) if len(s) else b"" for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), brief, sig], names=["rep", "set", "brief", "signature"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,20 +153,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(near).where(100 * both >= percent * (m + n - both)).select("src", "dst")
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one bucket whose signatures agree; the anchors only meet the others."""
-    sig = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
-    rep, comp, anchor = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["anchor"].to_numpy()
-    first = rows["share"].iloc[0] == 0
-    src, dst = [], []
-    for i in np.flatnonzero(~anchor):
-        others = anchor | (first & (np.arange(len(rep)) > i))
-        at = np.flatnonzero(others & (comp != comp[i]))
-        if len(at):
-            at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]
-            src += [rep[i]] * len(at)
-            dst += rep[at].tolist()
-    return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+def _across(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components of one bucket; anchors, the largest component, only meet the others."""
+        sig = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+        rep, root, anchor = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["anchor"].to_numpy()
+        size = np.array([len(x) // 4 for x in rows["brief"]])
+        values, flat = np.unique(np.frombuffer(b"".join(rows["brief"]), "<u4"), return_inverse=True)
+        ids, mark = np.split(flat, np.cumsum(size)[:-1]), np.zeros(len(values), np.int64)
+        first, later = rows["share"].iloc[0] == 0, np.arange(len(rows))
+        src, dst = [], []
+        for i in np.flatnonzero(~anchor):
+            fit = (anchor | (first & (later > i))) & (root != root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            at = np.flatnonzero(fit)
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE] if len(at) else at
+            if not len(at):
+                continue
+            mark[ids[i]] = 1
+            both = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate([[0], np.cumsum(size[at])[:-1]]))
+            mark[ids[i]] = 0
+            for j in at[100 * both >= percent * (size[at] + size[i] - both)]:
+                if root[j] != root[i]:
+                    src.append(rep[i])
+                    dst.append(rep[j])
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -168,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = save(texts.mapInArrow(_sketch, SCHEMA), "sketches")
     key = ["n_shingles", "set_a", "set_b"]
     classes = save(sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(*key, F.col("rep").alias("doc_id")).join(sketches, [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature")
+    reps = classes.select(*key, F.col("rep").alias("doc_id")).join(sketches, [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands")
     buckets = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(bands, i * 8 + 1, 8))")
     spread = reps.select("rep", F.explode(buckets).alias("bucket"))
     order = F.xxhash64("rep")
@@ -176,16 +196,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = save(spread.join(centres, "bucket").select("bucket", "centre", "rep"), "members")
     stars = members.where("rep <> centre").select(F.col("rep").alias("src"), F.col("centre").alias("dst")).distinct()
     wanted = members.select("rep").distinct()
-    sets = save(texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep bigint, set array<bigint>"), "sets")
+    sets = save(texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep bigint, set array<bigint>, brief binary, signature binary"), "sets")
     links = save(_confirmed(stars, sets, percent), "links")
     comp = components(links)
-    comp = save(_rest(members, reps, sets, links, comp, percent), "components")
+    comp = save(_rest(members, sets, links, comp, percent), "components")
     rep_of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *key).join(rep_of, key, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _rest(members: DataFrame, reps: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Components with the links that stars have missed."""
     placed = members.select("bucket", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -193,8 +213,8 @@ def _rest(members: DataFrame, reps: DataFrame, sets: DataFrame, links: DataFrame
     rows = placed.join(mixed, "bucket").withColumn("anchor", F.col("component") == F.col("largest"))
     share = F.when(F.col("anchor"), F.array(F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
     rows = rows.select("bucket", F.explode(share).alias("share"), "rep", "component", "anchor")
-    rows = rows.join(reps.select("rep", "signature"), "rep")
-    more = rows.groupBy("bucket", "share").applyInPandas(_across, "src bigint, dst bigint")
+    rows = rows.join(sets.select("rep", "brief", "signature"), "rep")
+    more = rows.groupBy("bucket", "share").applyInPandas(_across(percent), "src bigint, dst bigint")
     more = save(more.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "across")
     if more.isEmpty():
         return comp
