@@ -34,7 +34,9 @@ from burnline.llm.words import BASE, BLOCK, INVERSE, LOWER, SPACE, U, powers, pr
 #: Lengths of n-grams, buckets they hash into, size of a vector, words of a passage and between starts of passages.
 GRAMS, BUCKET_BITS, SIZE, PASSAGE, STRIDE = (3, 4, 5, 6), 18, 8, 4, 2
 #: The sample: labelled documents of either kind, and bytes of the longest document in it.
-PER_LABEL, LONGEST = 2_000, 1 << 17
+PER_LABEL, LONGEST = 1_200, 1 << 13
+#: The sample has as many toxic as clean documents; this share of the log-odds to the labels' own ratio is put back.
+PRIOR = 0.5
 #: Rounds of training, of which the first use whole documents.
 ROUNDS, WHOLE = 90, 30
 
@@ -134,14 +136,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in (t or "").lower().encode().split()], np.int64))
     raw, starts = _joined(*utf8(pa.array([b" ".join(vocab)], pa.binary()))[::-1])
     s, e, grams = _grams(raw, starts)
-    at, bucket = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
-    word = np.searchsorted(s, at + 1, side="right") - 1
-    used, slot = np.unique(bucket, return_inverse=True)
+    word = np.concatenate([np.searchsorted(s, g[0] + 1, side="right") - 1 for g in grams]).astype(np.int32)
+    bucket = np.concatenate([g[1].astype(np.int32) for g in grams])
+    del raw, grams
+    seen = np.zeros(1 << BUCKET_BITS, bool)
+    seen[bucket] = True
+    used = np.flatnonzero(seen)
+    slot = (np.cumsum(seen) - 1).astype(np.int32)[bucket]
+    del bucket
     # The n-grams of each word, and the words of each n-gram: every word has some, as its boundaries count.
-    by_word, by_slot = np.argsort(word, kind="stable"), np.argsort(slot, kind="stable")
-    slots_of_word, word_at = slot[by_word], np.searchsorted(word[by_word], np.arange(len(vocab)))
-    words_of_slot, slot_at = word[by_slot], np.searchsorted(slot[by_slot], np.arange(len(used)))
+    order = np.argsort(word, kind="stable")
+    slots_of_word, word_at = slot[order], np.searchsorted(word[order], np.arange(len(vocab)))
+    order = np.argsort(slot, kind="stable")
+    words_of_slot, slot_at = word[order], np.searchsorted(slot[order], np.arange(len(used)))
     per_word = np.bincount(word, minlength=len(vocab)).astype(np.float64)
+    del word, slot, order
     rng = np.random.default_rng(seed)
     vec = rng.normal(0, 0.1, (len(used), SIZE))
     w, scale, bias = rng.normal(0, 0.5, SIZE), 4.0, float(np.log(rate / (1 - rate)))
@@ -195,12 +204,17 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """A model from at most `per_label` labelled documents of either kind outside the held-out rows."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    fitting = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text").join(marks, "doc_id")
+    fitting = docs.where(F.octet_length("text") <= LONGEST).select("doc_id").join(marks, "doc_id")
     order = F.xxhash64("doc_id", F.lit(11))
-    rows = []
-    for kind in (0, 1):
-        rows += fitting.where(F.col("toxic") == kind).orderBy(order).limit(per_label).select("text", "toxic").collect()  # bounded by per_label and LONGEST
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    count = {r.toxic: r.n for r in marks.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Ids are picked first, so that texts of the sample alone leave the executors.
+    picked = [fitting.where(F.col("toxic") == kind).orderBy(order).limit(per_label) for kind in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_label rows
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id").collect()  # bounded by per_label and LONGEST
+    model = fit([r.text for r in rows], [r.toxic for r in rows])
+    if min(count.get(0, 0), count.get(1, 0)) and model.scale:
+        model.bias += PRIOR * float(np.log(count[1] / count[0]))  # the sample's own odds are weighed out by fit()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
