@@ -274,7 +274,7 @@ def test_toxicity_learns_and_generalises(spark, tmp_path):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(rows[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.9
     assert rows[1000] > rows[1001] and 0 <= rows[1002] <= 1 and rows[1002] == rows[1003] < 0.5
-    assert {r.toxicity for r in toxicity.scored(d, toxicity.train(d, labels_.where("toxic = 0"))).collect()} == {pytest.approx(0.0, abs=1e-9)}
+    assert max(r.toxicity for r in toxicity.scored(d, toxicity.train(d, labels_.where("toxic = 0"))).collect()) < 1e-9
     assert toxicity.scored(d.limit(0), toxicity.train(d.limit(0), labels_)).count() == 0
 
 
