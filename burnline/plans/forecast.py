@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from burnline.dims import HOUR, LOOKBACK_US, RETENTION_US, SERIES, by_kind
 from burnline.operators import burn, cycles, montecarlo, projection
 from burnline.operators.tokens import block_anchors
+from burnline.storage import settle
 
 KEYS = [*SERIES, "now_us"]
 
@@ -42,7 +43,7 @@ def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str =
 
 
 def montecarlo_forecast(samples: DataFrame, tokens: DataFrame, origins: DataFrame, runs: int, tz: str = "UTC", seed: int = 0) -> DataFrame:
-    f = facts(samples, tokens, origins).persist()  # read by the profile, the draws and the result
+    f = settle(facts(samples, tokens, origins))  # read by the profile, the draws and the result
     return montecarlo.montecarlo(f, segmented(samples, origins), tokens, KEYS, runs, tz, seed)
 
 

@@ -12,6 +12,7 @@ from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, pr
 from burnline.plans import forecast
 from burnline.plans.forecast import KEYS
 from burnline.sources import adapters
+from burnline.storage import settle
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: A replay judges every STRIDE-th reading; its simulations have RUNS futures, a live tick's LIVE_RUNS.
@@ -207,10 +208,10 @@ def no_data_grid(spark, d):
 def _forecasts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Replayed moments judged by both models, as stored rows; samples with blocks; both models' full rows."""
     s, t, o = _replay(spark, d)
-    f = forecast.facts(s, t, o).persist()
+    f = settle(forecast.facts(s, t, o))
     lin = projection.linear(f)
-    sim = montecarlo.montecarlo(f, forecast.segmented(s, o), t, KEYS, RUNS).persist()
-    return forecast.stored(lin, sim), cycles.segment(s, SERIES), lin, sim
+    sim = settle(montecarlo.montecarlo(f, forecast.segmented(s, o), t, KEYS, RUNS))
+    return settle(forecast.stored(lin, sim)), cycles.segment(s, SERIES), lin, sim
 
 
 @query
@@ -293,7 +294,7 @@ def reliability_table(spark, d):
 def hour_of_week_profile(spark, d):
     """M1-M7 at the latest moment."""
     s, t, o = _live(spark, d)
-    f = forecast.facts(s, t, o).persist()
+    f = settle(forecast.facts(s, t, o))
     rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
     return montecarlo.profile(montecarlo.pools(rows, KEYS), KEYS).select(*KEYS, "bucket", "n", r6("mean_burn").alias("mean_burn"))
 
@@ -320,7 +321,7 @@ def _mc_columns(f: DataFrame) -> DataFrame:
 def mc_outcomes(spark, d):
     """The futures themselves, at replayed moments."""
     s, t, o = _replay(spark, d)
-    f = forecast.facts(s, t, o).withColumn("live", F.col("burn")).withColumn("horizon_h", F.coalesce((F.col("resets_us") - F.col("now_us")) / float(HOUR), by_kind(DURATION_US) / float(HOUR))).persist()
+    f = settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")).withColumn("horizon_h", F.coalesce((F.col("resets_us") - F.col("now_us")) / float(HOUR), by_kind(DURATION_US) / float(HOUR)))
     rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
     return montecarlo.simulate(f, montecarlo.pools(rows, KEYS), KEYS, 5, "UTC").select(*KEYS, F.col("run").cast("bigint").alias("run"), F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
 

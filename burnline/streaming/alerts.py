@@ -5,7 +5,6 @@ its key is judged when it comes, as in a live run. State is two values a key."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from burnline.dims import SERIES
 from burnline.operators.alerts import alert_inputs
+from burnline.storage import shared_folder
 
 OUT = "account string, provider string, kind string, alert string, fired_us bigint, used double"
 STATE = "armed boolean, at double"
@@ -42,11 +42,7 @@ def alert_stream(ticks: DataFrame) -> DataFrame:
 
 def replay_stream(spark: SparkSession, ticks: DataFrame) -> DataFrame:
     """Ticks written to a folder and run through the stream to its end; the alerts it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="burnline-")
+    root = shared_folder(spark)
     at = f"{root}/alerts-{uuid.uuid4().hex}"
     cols = ticks.select(*SERIES, "now_us", "source_us", "used", "resets_us", "status", "exhausts", "eta_us")
     cols.write.parquet(f"{at}/ticks")
