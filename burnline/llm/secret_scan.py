@@ -277,10 +277,10 @@ def learn(docs: DataFrame) -> Field:
     """A field from at most WITH documents with and WITHOUT documents without base spans, none above LONGEST bytes."""
     rows = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text")
     found = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    texts = []
-    for has, most in ((True, WITH), (False, WITHOUT)):
-        picked = rows.where(found if has else ~found).orderBy(F.xxhash64("doc_id", F.lit(17)), "text").limit(most).select("text").collect()  # bounded
-        texts += [r.text for r in picked]
+    # Ids are picked first, so that texts of the sample alone leave the executors.
+    picked = [rows.where(found if has else ~found).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most) for has, most in ((True, WITH), (False, WITHOUT))]
+    sample = F.broadcast(picked[0].unionByName(picked[1]).distinct())  # WITH + WITHOUT rows at most
+    texts = [r.text for r in rows.join(sample, "doc_id").orderBy("doc_id").select("text").collect()]  # bounded
     return train(sequences(texts))
 
 
