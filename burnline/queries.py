@@ -15,8 +15,8 @@ from burnline.sources import adapters
 from burnline.storage import settle
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: A replay judges every STRIDE-th reading; its simulations have RUNS futures, a live tick's LIVE_RUNS.
-STRIDE, RUNS, LIVE_RUNS = 97, 20, 100
+#: Simulations of a replay have RUNS futures, a live tick's LIVE_RUNS.
+RUNS, LIVE_RUNS = 20, 100
 PRICES = {"claude": (3.0, 15.0, 3.75, 0.3), "codex": (1.25, 10.0, 0.0, 0.0)}
 
 
@@ -38,9 +38,9 @@ def _live(spark: SparkSession, d: str):
     return s, t, adapters.live_origins(s, adapters.latest_moment(t))
 
 
-def _replay(spark: SparkSession, d: str, stride: int = STRIDE):
+def _replay(spark: SparkSession, d: str):
     s, t = _tables(spark, d)
-    return s, t, adapters.replay_origins(s, stride)
+    return s, t, adapters.replay_origins(s)
 
 
 def _seg(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +230,7 @@ def risk_outcomes(spark, d):
 @query
 def used_at_horizon(spark, d):
     """The level one dense horizon after moments a minute past each replayed reading."""
-    s, t, o = _replay(spark, d, 7)
+    s, t, o = _replay(spark, d)
     m = o.select(*SERIES, (F.col("now_us") + 60_000_000).alias("made_us")).withColumn("target_us", F.col("made_us") + by_kind(DENSE_US))
     out = scoring.used_at(m, cycles.segment(s, SERIES), SERIES, "made_us", "target_us")
     return out.select(*SERIES, "made_us", F.col("origin.ts_us").alias("origin_us"), r6("truth").alias("truth"))
@@ -328,8 +328,8 @@ def mc_outcomes(spark, d):
 
 @query
 def alert_log(spark, d):
-    """Alerts of the linear model over a denser replay."""
-    ticks = forecast.linear(*_replay(spark, d, 29))
+    """Alerts of the linear model over every tick."""
+    ticks = forecast.linear(*_replay(spark, d))
     return alerts.alert_log(ticks)
 
 
@@ -513,4 +513,4 @@ def streaming_alerts(spark, d):
     """The same alerts from a stream with keyed state; rows only."""
     from burnline.streaming.alerts import replay_stream
 
-    return replay_stream(spark, forecast.linear(*_replay(spark, d, 29)))
+    return replay_stream(spark, forecast.linear(*_replay(spark, d)))

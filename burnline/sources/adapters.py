@@ -62,10 +62,10 @@ def live_origins(samples_: DataFrame, now: DataFrame) -> DataFrame:
     return last.crossJoin(F.broadcast(now)).select(*SERIES, "now_us", F.col("r.ts_us").alias("source_us"), F.col("r.used").alias("used"), F.col("r.resets_us").alias("given_us"), F.col("r.is_estimated").alias("is_estimated"))
 
 
-def replay_origins(samples_: DataFrame, stride: int) -> DataFrame:
-    """Every stride-th reading from the second on, judged at its own time."""
+def replay_origins(samples_: DataFrame) -> DataFrame:
+    """Every reading from the second on, judged at its own time."""
     n = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts_us")) - 1
-    return samples_.withColumn("n", n).where((F.col("n") >= 1) & ((F.col("n") - 1) % stride == 0)).select(*SERIES, F.col("ts_us").alias("now_us"), F.col("ts_us").alias("source_us"), "used", F.col("resets_us").alias("given_us"), "is_estimated")
+    return samples_.withColumn("n", n).where("n >= 1").select(*SERIES, F.col("ts_us").alias("now_us"), F.col("ts_us").alias("source_us"), "used", F.col("resets_us").alias("given_us"), "is_estimated")
 
 
 def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
