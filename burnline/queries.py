@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnline import config
 from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, SERIES, by_kind
 from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, projection, scoring, store, tokens
 from burnline.plans import forecast
@@ -15,8 +16,8 @@ from burnline.sources import adapters
 from burnline.storage import settle
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Simulations of a replay have RUNS futures, a live tick's LIVE_RUNS.
-RUNS, LIVE_RUNS = 20, 100
+#: Futures of every simulation: the settings' default.
+RUNS = config.Config().predictor.mc_runs
 PRICES = {"claude": (3.0, 15.0, 3.75, 0.3), "codex": (1.25, 10.0, 0.0, 0.0)}
 
 
@@ -301,9 +302,9 @@ def hour_of_week_profile(spark, d):
 
 @query
 def mc_forecast(spark, d):
-    """Every series at the latest moment, LIVE_RUNS futures each."""
+    """Every series at the latest moment, RUNS futures each."""
     s, t, o = _live(spark, d)
-    return _mc_columns(forecast.montecarlo_forecast(s, t, o, LIVE_RUNS))
+    return _mc_columns(forecast.montecarlo_forecast(s, t, o, RUNS))
 
 
 @query
@@ -323,7 +324,7 @@ def mc_outcomes(spark, d):
     s, t, o = _replay(spark, d)
     f = settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")).withColumn("horizon_h", F.coalesce((F.col("resets_us") - F.col("now_us")) / float(HOUR), by_kind(DURATION_US) / float(HOUR)))
     rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
-    return montecarlo.simulate(f, montecarlo.pools(rows, KEYS), KEYS, 5, "UTC").select(*KEYS, F.col("run").cast("bigint").alias("run"), F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
+    return montecarlo.simulate(f, montecarlo.pools(rows, KEYS), KEYS, RUNS, "UTC").select(*KEYS, F.col("run").cast("bigint").alias("run"), F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
 
 
 @query
