@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from burnline.llm.common import pieces, utf8
 from burnline.llm.words import BASE, BLOCK, INVERSE, LOWER, SPACE, U, powers, prefix, spans
 
-#: Lengths of n-grams, buckets they hash into, size of a vector, words of a passage and between starts of passages.
-GRAMS, BUCKET_BITS, SIZE, PASSAGE, STRIDE = (3, 4, 5, 6), 18, 8, 4, 2
+#: Lengths of n-grams, buckets they hash into, size of a vector, words of a passage.
+GRAMS, BUCKET_BITS, SIZE, PASSAGE = (3, 4, 5, 6), 18, 8, 4
 #: The sample: labelled documents of either kind, and bytes of the longest document in it.
 PER_LABEL, LONGEST = 1_200, 1 << 13
 #: The sample has as many toxic as clean documents; this share of the log-odds to the labels' own ratio is put back.
@@ -96,8 +96,7 @@ def worst_passage(words: np.ndarray) -> float:
     if n <= PASSAGE:
         return float(words.sum() / PASSAGE) if n else 0.0
     total = np.concatenate([[0], np.cumsum(words)])
-    at = np.unique(np.append(np.arange(0, n - PASSAGE, STRIDE), n - PASSAGE))
-    return float((total[at + PASSAGE] - total[at]).max() / PASSAGE)
+    return float((total[PASSAGE:] - total[:-PASSAGE]).max() / PASSAGE)
 
 
 def _texts(raw: np.ndarray, offsets: np.ndarray, gram: np.ndarray) -> Iterator[np.ndarray]:
@@ -160,7 +159,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     keep = np.array([len(d) > 0 for d in docs])
     docs, y, balance = [d for d in docs if len(d)], y[keep], balance[keep]
     flat, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    opens = [np.append(np.arange(b - len(d), b - PASSAGE, STRIDE), b - PASSAGE) if len(d) > PASSAGE else np.array([b - len(d)]) for b, d in zip(ends, docs, strict=True)]
+    opens = [np.arange(b - len(d), b - PASSAGE + 1) if len(d) > PASSAGE else np.array([b - len(d)]) for b, d in zip(ends, docs, strict=True)]
     first = np.concatenate([[0], np.cumsum([len(o) for o in opens])])[:-1]
     begin, sizes = np.concatenate(opens), np.array([len(d) for d in docs])
     passes = np.minimum(begin + PASSAGE, np.repeat(ends, np.diff(first, append=len(begin))))
