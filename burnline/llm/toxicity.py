@@ -33,8 +33,8 @@ from burnline.llm.words import BASE, BLOCK, INVERSE, LOWER, SPACE, U, powers, pr
 
 #: Lengths of n-grams, buckets they hash into, size of a vector, words of a passage.
 GRAMS, BUCKET_BITS, SIZE, PASSAGE = (3, 4, 5, 6), 18, 8, 4
-#: The sample: labelled documents of either kind, and bytes of the longest document in it.
-PER_LABEL, LONGEST = 1_200, 1 << 13
+#: The sample: labelled documents of either kind, and their bytes together; a document of any length may be among them.
+PER_LABEL, BUDGET = 1_200, 1 << 22
 #: The sample has as many toxic as clean documents; this share of the log-odds to the labels' own ratio is put back.
 PRIOR = 0.5
 #: Rounds of training, of which the first use whole documents.
@@ -200,16 +200,26 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """A model from at most `per_label` labelled documents of either kind outside the held-out rows."""
+def _within(rows: list, budget: int) -> list:
+    """Rows in their order, each that still fits into what is left of the budget; the smallest one where none fits."""
+    out, left = [], budget
+    for r in rows:
+        if r.size <= left:
+            out.append(r)
+            left -= r.size
+    return out or sorted(rows, key=lambda r: r.size)[:1]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, budget: int = BUDGET) -> Model:
+    """A model from at most `per_label` labelled documents, `budget` bytes, of either kind outside the held-out rows."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    fitting = docs.where(F.octet_length("text") <= LONGEST).select("doc_id").join(marks, "doc_id")
+    fitting = docs.select("doc_id", F.octet_length("text").alias("size")).where("size is not null").join(marks, "doc_id")
     order = F.xxhash64("doc_id", F.lit(11))
     count = {r.toxic: r.n for r in marks.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Ids are picked first, so that texts of the sample alone leave the executors.
-    picked = [fitting.where(F.col("toxic") == kind).orderBy(order).limit(per_label) for kind in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_label rows
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id").collect()  # bounded by per_label and LONGEST
+    picked = [r for kind in (0, 1) for r in _within(fitting.where(F.col("toxic") == kind).orderBy(order, "size").limit(per_label).collect(), budget)]
+    sample = F.broadcast(docs.sparkSession.createDataFrame(picked, fitting.schema).select("doc_id", "toxic"))  # 2 * per_label rows
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id").collect()  # bounded by per_label and budget
     model = fit([r.text for r in rows], [r.toxic for r in rows])
     if min(count.get(0, 0), count.get(1, 0)) and model.scale:
         model.bias += PRIOR * float(np.log(count[1] / count[0]))  # the sample's own odds are weighed out by fit()
