@@ -36,8 +36,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; rows without a doc_id stay."""
     bound_batches(spark)
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Rows are told apart by a number, as a doc_id may repeat with other texts.
+    rows = save(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "near-rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = save(found.where("component_id is not null"), "near-groups")
+    several = groups.where("_row <> component_id").select("component_id").distinct()
+    members = groups.join(several, "component_id").join(rows.select("_row", "doc_id"), "_row")
+    stays = members.groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("stays"))
+    gone = members.join(stays, "component_id").where("_row <> stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
