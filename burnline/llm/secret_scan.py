@@ -15,7 +15,8 @@ such tokens are searched; the tags are those of the search over the whole text.
 Nulls: a null text is empty and has no spans; doc_id may be null. Repeated rows
 are scanned each. An empty table gives no rows. Other columns pass through, but
 for one named `spans`, which is replaced. Texts above BLOCK bytes meet the random
-field in blocks cut at white space; the patterns always see them whole."""
+field in blocks that overlap and never cut a token, with the file features of the
+whole text; the patterns always see them whole."""
 
 from __future__ import annotations
 
@@ -42,7 +43,8 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "pwd", "auth", "bearer", "credential", "private", "access")
 #: Sampled documents with and without base spans; bytes of the longest; tokens of a training sequence; rounds; least characters of a span.
 WITH, WITHOUT, LONGEST, SEQUENCE, ROUNDS, LEAST = 300, 300, 1 << 16, 32, 120, 8
-BLOCK = 1 << 19
+#: Bytes of a block of a long text, and of the text that it sees on either side.
+BLOCK, AROUND = 1 << 19, 1 << 12
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 _is = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
@@ -284,13 +286,13 @@ def learn(docs: DataFrame) -> Field:
     return train(sequences(texts))
 
 
-def _found(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[int, int, int]]:
+def _found(raw: np.ndarray, offsets: np.ndarray, field: Field, file: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(text, start, end) in bytes of its text of the field's spans in a bounded run of texts."""
     n = len(offsets) - 1
     out = np.full(len(raw) + n, 32, np.uint8)
     out[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = raw
     starts = offsets[:-1] + np.arange(n)
-    s, e, codes, text = tokens(out, starts, file_codes(raw, offsets))
+    s, e, codes, text = tokens(out, starts, file_codes(raw, offsets) if file is None else file)
     tag = field.tags(codes, text)
     hit = np.flatnonzero(tag)
     found: list[list[int]] = []
@@ -302,26 +304,43 @@ def _found(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[tuple[int
     return [(t, a, b) for t, a, b, _ in found]
 
 
+def _between(whole: np.ndarray, at: int, block: int = BLOCK) -> int:
+    """The first place from `at` on where no token is cut."""
+    while at < len(whole):
+        gaps = np.flatnonzero(~TOKEN[whole[at : at + block]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += block
+    return len(whole)
+
+
+def _found_long(whole: np.ndarray, field: Field) -> list[tuple[int, int]]:
+    """(start, end) in bytes of the field's spans in one long text: each block has those that start in it."""
+    file = file_codes(whole, np.array([0, len(whole)]))
+    out, at = [], 0
+    while at < len(whole):
+        to = _between(whole, at + BLOCK)
+        lo, hi = at - AROUND, _between(whole, to + AROUND)
+        while lo > 0 and TOKEN[whole[lo - 1]]:
+            lo -= 1
+        lo = max(lo, 0)
+        out += [(lo + s, lo + e) for _, s, e in _found(whole[lo:hi], np.array([0, hi - lo]), field, file) if at <= lo + s < to]
+        at = to
+    return out
+
+
 def scan_texts(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int]]]:
     """All spans of each text in code points, by start, then kind."""
     spans = [base_spans(t or "") for t in texts]
     data = [(t or "").encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
     for a, b in pieces(offsets, BLOCK):
-        runs = [(a, np.frombuffer(b"".join(data[a:b]), np.uint8), offsets[a : b + 1] - offsets[a], 0)]
-        if len(runs[0][1]) > BLOCK:  # one long text, cut at white space
-            whole, runs, at = runs[0][1], [], 0
-            while at < len(whole):
-                to = min(at + BLOCK, len(whole))
-                gaps = np.flatnonzero(SPACE[whole[at:to]]) if to < len(whole) else []
-                to = at + int(gaps[-1]) + 1 if len(gaps) else to
-                runs.append((a, whole[at:to], np.array([0, to - at]), at))
-                at = to
-        for first, raw, offs, skip in runs:
-            for t, s, e in _found(raw, offs, field):
-                s, e = (len(data[first + t][: skip + x].decode(errors="ignore")) for x in (s, e))
-                if e - s >= LEAST and not any(x <= s and e <= y for _, x, y in spans[first + t]):
-                    spans[first + t].append(("crf", s, e))
+        raw = np.frombuffer(b"".join(data[a:b]), np.uint8)
+        found = [(0, s, e) for s, e in _found_long(raw, field)] if len(raw) > BLOCK else _found(raw, offsets[a : b + 1] - offsets[a], field)
+        for t, s, e in found:
+            s, e = (len(data[a + t][:x].decode(errors="ignore")) for x in (s, e))
+            if e - s >= LEAST and not any(x <= s and e <= y for _, x, y in spans[a + t]):
+                spans[a + t].append(("crf", s, e))
     return [sorted(x, key=lambda y: (y[1], KINDS.index(y[0]))) for x in spans]
 
 
