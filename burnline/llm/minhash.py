@@ -32,13 +32,16 @@ from pyspark.sql import functions as F
 from burnline.llm.common import arrow_schema, components, pieces, save, utf8
 from burnline.llm.words import BLOCK, U, hashes, long_hashes, mix
 
-#: Words of a shingle; bins of a signature; bands of rows. At a similarity of 0.75 a pair misses all bands with odds of 1 to 10**6.
+#: Words of a shingle; bins of a signature; bands of rows. At a similarity of 0.75 a pair misses all bands with odds of 1 to 3 in 10**5
+#: (simulated, 1,500 pairs for each of five sizes), as bins of one permutation aren't independent.
 WORDS, BIN_BITS, BANDS, ROWS = 5, 8, 51, 5
 BINS = 1 << BIN_BITS
 #: Attempts of densification; a document with few shingles may need many.
 ATTEMPTS = 4096
+#: The least similarity, percent, that BANDS, ROWS and AGREE are made for.
+LEAST = 75
 SCHEMA = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands binary"
-#: Equal bins of 255 below which a pair of similarity 0.75 practically never falls (six standard deviations).
+#: Equal bins of 255 below which a pair of similarity 0.75 practically never falls (about five standard deviations).
 AGREE = 150
 #: Members of the largest component that one task compares with the others of a bucket.
 SHARE = 20_000
@@ -182,8 +185,10 @@ def _across(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def near_duplicates(docs: DataFrame, percent: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; `percent` below LEAST would lose links and is refused."""
+    if percent < LEAST:
+        raise ValueError(f"percent must be {LEAST} or more")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
     sketches = save(texts.mapInArrow(_sketch, SCHEMA), "sketches")
     key = ["n_shingles", "set_a", "set_b"]
