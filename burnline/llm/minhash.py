@@ -9,15 +9,20 @@ grow with members, not their square. Candidates are confirmed on whole sets.
 
 A star may miss a link between two members that both differ from the centre. So
 buckets that still hold several components are searched again: their members'
-signatures are compared in blocks, the largest component only with the others;
-where they agree enough the sets are, and a link that joins two components goes
-out to be confirmed as well. A bucket yields fewer links than it has components.
+signatures are compared block by block, the largest component only with the
+others; where they agree enough the sets are, and a link that joins two
+components goes out to be confirmed as well. A pair of blocks yields fewer links
+than it has components.
 
-Documents with equal sets are one candidate, so copies never meet each other.
+Documents with equal sets are one class, so copies never meet each other. Classes
+are what is linked; a class's set is made again from one of its texts, which its
+doc_id and the text's hash name.
 
 Nulls: a null text and one without words have no shingles and link with nothing;
 a null doc_id takes its component from those with ids. Repeated rows share their
-component. An empty table gives no rows. Very long texts are hashed in blocks."""
+component; rows that share a doc_id but not a text are documents of their own,
+and each takes its component from its own text. An empty table gives no rows.
+Other columns are ignored. Very long texts are hashed in blocks."""
 
 from __future__ import annotations
 
@@ -40,11 +45,12 @@ BINS = 1 << BIN_BITS
 ATTEMPTS = 4096
 #: The least similarity, percent, that BANDS, ROWS and AGREE are made for.
 LEAST = 75
-SCHEMA = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands binary"
+SCHEMA = "doc_id bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands binary"
+KEY = ["n_shingles", "set_a", "set_b"]
 #: Equal bins of 255 below which a pair of similarity 0.75 practically never falls (about five standard deviations).
 AGREE = 150
-#: Members of the largest component that one task compares with the others of a bucket.
-SHARE = 20_000
+#: Members of a bucket in a block; a task compares two blocks.
+SHARE = 10_000
 
 
 def _draws() -> np.ndarray:
@@ -118,7 +124,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)
     band = np.arange(BANDS, dtype=U)[:, None] * U(0xD6E8FEB86659FD93)
     for batch in batches:
-        offsets, raw = utf8(batch.column(1))
+        offsets, raw = utf8(batch.column(2))
         out = []
         for words in _documents(raw, offsets):
             s = shingles(words)
@@ -131,7 +137,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets = mix((mix(rows + turn) + band).sum(axis=1, dtype=U))
             out.append((len(s), int(s.sum(dtype=U).astype(np.int64)), int(again.sum(dtype=U).astype(np.int64)), buckets.astype("<u8").tobytes()))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +164,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _across(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links that join components of one bucket; anchors, the largest component, only meet the others."""
+        """Links that join components of one bucket: the members of block `low` meet those of block `high`."""
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
-        rep, root, anchor = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["anchor"].to_numpy()
+        rep, root, block = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["block"].to_numpy()
         size = np.array([len(x) // 4 for x in rows["brief"]])
         values, flat = np.unique(np.frombuffer(b"".join(rows["brief"]), "<u4"), return_inverse=True)
         ids, mark = np.split(flat, np.cumsum(size)[:-1]), np.zeros(len(values), np.int64)
-        first, later = rows["share"].iloc[0] == 0, np.arange(len(rows))
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         src, dst = [], []
-        for i in np.flatnonzero(~anchor):
-            fit = (anchor | (first & (later > i))) & (root != root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            at = np.flatnonzero(fit)
+        for k, i in enumerate(left):
+            at = right[k + 1 :] if low == high else right
+            at = at[(root[at] != root[i]) & (100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i]))]
             at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE] if len(at) else at
             if not len(at):
                 continue
@@ -189,24 +196,28 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; `percent` below LEAST would lose links and is refused."""
     if percent < LEAST:
         raise ValueError(f"percent must be {LEAST} or more")
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
     sketches = save(texts.mapInArrow(_sketch, SCHEMA), "sketches")
-    key = ["n_shingles", "set_a", "set_b"]
-    classes = save(sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(*key, F.col("rep").alias("doc_id")).join(sketches, [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands")
+    held = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*KEY).agg(F.min(F.struct("doc_id", "text_hash")).alias("top"), F.first("bands").alias("bands"))
+    # A class's number is written once: it tells classes apart whatever their ids are.
+    classes = save(held.select(F.monotonically_increasing_id().alias("rep"), *KEY, "top.doc_id", "top.text_hash", "bands"), "classes")
     buckets = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(bands, i * 8 + 1, 8))")
-    spread = reps.select("rep", F.explode(buckets).alias("bucket"))
+    spread = classes.select("rep", F.explode(buckets).alias("bucket"))
     order = F.xxhash64("rep")
     centres = spread.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("rep"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("top.rep").alias("centre"))
     members = save(spread.join(centres, "bucket").select("bucket", "centre", "rep"), "members")
     stars = members.where("rep <> centre").select(F.col("rep").alias("src"), F.col("centre").alias("dst")).distinct()
-    wanted = members.select("rep").distinct()
-    sets = save(texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep bigint, set array<bigint>, brief binary, signature binary"), "sets")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "doc_id", "text_hash"), "rep")
+    named = ["doc_id", "text_hash"]
+    sets = texts.join(wanted, named).groupBy(*named, "rep").agg(F.first("text").alias("text")).select("rep", "text")
+    sets = save(sets.mapInArrow(_sets, "rep bigint, set array<bigint>, brief binary, signature binary"), "sets")
     links = save(_confirmed(stars, sets, percent), "links")
     comp = components(links)
     comp = save(_rest(members, sets, links, comp, percent), "components")
-    rep_of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", *key).join(rep_of, key, "left")
+    placed = classes.select(*KEY, "rep", "doc_id").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named_by = placed.join(least, "component").select(*KEY, "component_id")
+    out = sketches.select("doc_id", *KEY).join(named_by, KEY, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -214,12 +225,17 @@ def _rest(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame
     """Components with the links that stars have missed."""
     placed = members.select("bucket", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / SHARE).cast("int").alias("shares"))
-    rows = placed.join(mixed, "bucket").withColumn("anchor", F.col("component") == F.col("largest"))
-    share = F.when(F.col("anchor"), F.array(F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
-    rows = rows.select("bucket", F.explode(share).alias("share"), "rep", "component", "anchor")
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
+    blocks = lambda n: F.ceil(n / SHARE).cast("int")
+    mixed = mixed.select("bucket", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("anchors"), blocks(F.col("all") - F.col("top.n")).alias("others"))
+    # The blocks of a bucket: first the others, then those of the largest component, which only meet the others.
+    anchor, deal = F.col("component") == F.col("largest"), F.xxhash64("rep")
+    rows = placed.join(mixed, "bucket").withColumn("block", F.when(anchor, F.col("others") + F.pmod(deal, F.col("anchors"))).otherwise(F.pmod(deal, F.col("others"))).cast("int"))
+    met = F.sequence(F.lit(0), F.when(anchor, F.col("others") - 1).otherwise(F.col("others") + F.col("anchors") - 1))
+    rows = rows.select("bucket", "rep", "component", "block", F.explode(met).alias("other"))
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
     rows = rows.join(sets.select("rep", "brief", "signature"), "rep")
-    more = rows.groupBy("bucket", "share").applyInPandas(_across(percent), "src bigint, dst bigint")
+    more = rows.groupBy("bucket", "low", "high").applyInPandas(_across(percent), "src bigint, dst bigint")
     more = save(more.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "across")
     if more.isEmpty():
         return comp
