@@ -8,9 +8,14 @@ in cells before its own, so that each pair meets once). Within a cell, blocks of
 vectors of one label are multiplied; links become counts and one link to a root
 for each linked vector, never all pairs. Equal vectors are one, with a weight.
 
+Cells grow with the vectors, up to MOST_CELLS; beyond that cells do, and are cut
+into more blocks.
+
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing, nor do those with a null label or vec_id, or of another length. Repeated
-rows count as vectors of their own. An empty table gives no rows."""
+nothing, nor do those with a null label or vec_id; vectors of another length link
+only with their like. Repeated rows count as vectors of their own, and rows that
+share a vec_id but not a vector or label keep links and components of their own.
+An empty table gives no rows. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from burnline.llm.common import components, save
 
-#: Rows of the sample that centroids are fitted to; vectors to a cell aimed at; most cells; rows of a block.
-SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 16_384, 4_000, 256, 4_096
+#: Rows of the sample that centroids are fitted to, at least, and for each cell; vectors to a cell aimed at; most cells; rows of a block.
+SAMPLE, FOR_CELL, PER_CELL, MOST_CELLS, BLOCK = 16_384, 8, 4_000, 4_096, 4_096
+#: Rows that are compared with all centroids at a time.
+STRIP = 512
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -33,7 +40,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        cell = (x @ c.T).argmax(axis=1)
+        cell = np.concatenate([(x[a : a + STRIP] @ c.T).argmax(axis=1) for a in range(0, len(x), STRIP)])
         total = np.zeros_like(c)
         np.add.at(total, cell, x)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -63,7 +70,6 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 def _dealt(centroids: np.ndarray, least: float):
     reach = np.sqrt(1 - least * least) + 1e-9
-    apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2) + np.eye(len(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(rep, label, w, raw) to (rep, label, w, raw, dim, cell, home)."""
@@ -72,12 +78,14 @@ def _dealt(centroids: np.ndarray, least: float):
             row, cells, homes = [], [], []
             fits = np.array([len(r) == 8 * centroids.shape[1] for r in raw], bool)
             at = np.flatnonzero(fits)
-            for lo in range(0, len(at), 2048):
-                part = at[lo : lo + 2048]
+            for lo in range(0, len(at), STRIP):
+                part = at[lo : lo + STRIP]
                 near = _unit([raw[i] for i in part]) @ centroids.T
                 own = near.argmax(axis=1)
-                margin = (near.max(axis=1, keepdims=True) - near) / apart[own]
-                guest = (margin <= reach) & (np.arange(len(centroids)) < own[:, None])
+                # Centroids that almost coincide have no bisector to speak of: all near them are guests.
+                apart = np.sqrt(np.maximum(2 - 2 * (centroids[own] @ centroids.T), 0))
+                close = (near.max(axis=1, keepdims=True) - near <= reach * apart) | (apart < 1e-5)
+                guest = close & (np.arange(len(centroids)) < own[:, None])
                 r, c = np.nonzero(guest)
                 row += [*part, *part[r]]
                 cells += [*own, *c]
@@ -130,15 +138,20 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
     raw = vectors.select(F.col("vec_id").cast("bigint"), "embedding", F.col("label").cast("int"))
     rows = save(raw.mapInArrow(_raw, "vec_id bigint, label int, raw binary"), "vectors")
-    distinct = save(rows.where("raw is not null").groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")).select("rep", "label", "w", "raw"), "distinct-vectors")
+    held = rows.where("raw is not null").groupBy("label", "raw").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("w"))
+    # The number of a distinct vector is written once: it tells vectors apart whatever their ids are.
+    distinct = save(held.select(F.monotonically_increasing_id().alias("rep"), "label", "w", "raw", "vec_id"), "distinct-vectors")
     n = distinct.count()
     dim = distinct.groupBy(F.octet_length("raw").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     centroids = np.ones((1, 1))
     if dim:
-        sample = distinct.where(F.octet_length("raw") == dim[0].d).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("raw").collect()  # bounded by SAMPLE
+        cells = min(MOST_CELLS, -(-n // PER_CELL))
+        most = max(SAMPLE, FOR_CELL * cells)  # MOST_CELLS * FOR_CELL rows at most
+        sample = distinct.where(F.octet_length("raw") == dim[0].d).orderBy(F.xxhash64("raw"), "rep").limit(most).select("raw").collect()
         x = _unit([bytes(r.raw) for r in sample])
-        centroids = spherical_kmeans(x, max(1, min(MOST_CELLS, len(x) // 4, -(-n // PER_CELL))))
-    dealt = save(distinct.mapInArrow(_dealt(centroids, least), "rep bigint, label int, w bigint, raw binary, dim int, cell int, home boolean"), "cells")
+        centroids = spherical_kmeans(x, max(1, min(cells, len(x) // 4)))
+    dealt = distinct.select("rep", "label", "w", "raw").mapInArrow(_dealt(centroids, least), "rep bigint, label int, w bigint, raw binary, dim int, cell int, home boolean")
+    dealt = save(dealt, "cells")
     key = ["label", "dim", "cell"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.sum((~F.col("home")).cast("int")) / BLOCK).cast("int").alias("guests"))
     # Blocks of a cell: its homes first, then its guests. A home meets every block, a guest the homes.
@@ -148,7 +161,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     links = save(placed.select(*key, "low", "high", "block", "rep", "w", "raw").groupBy(*key, "low", "high").applyInPandas(_linked(least), "rep bigint, links bigint, root bigint"), "vector-links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    known = distinct.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("label", "raw", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = distinct.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = known.join(named, "component").select("label", "raw", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
     out = rows.join(known, ["label", "raw"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
