@@ -11,7 +11,11 @@ differ from it (a collision) are told apart by their SHA-256.
 Nulls: a null text is empty and equals empty ones; a null doc_id never stays
 while a copy has an id. Ties: rows with the same doc_id and text form one group,
 of which one row stays. An empty table gives no rows. Other columns pass through
-unless they carry a name this operator adds (those are replaced)."""
+unless they carry a name this operator adds (those are replaced).
+
+Rows are numbered once, in a table of their own, and a group's rows are dealt to
+SALTS shares: a share is what is grouped and joined first, so no group, however
+many copies it has, lands in one task."""
 
 from __future__ import annotations
 
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnline.llm.common import save, utf8
+from burnline.llm.common import salt, save, utf8
 
 PRIME = 2**31 - 1
 BASES = (1_000_003, 998_244_353)
 #: Bytes hashed by one dot product, and bytes of a text above which other tasks help.
 CHUNK, HUGE = 1 << 16, 32 << 20
+#: Shares of a group of copies.
+SALTS = 16
 ADDED = ("fp", "row", "keep_id", "group_size", "kept")
 
 
@@ -100,14 +106,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=["row", "same"])
 
 
-def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """`docs` with row (a number of its own for each row) and fp (size and fingerprint of the text, null as empty)."""
-    docs = docs.drop(*ADDED)
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *others, "text")
+def fingerprints(rows: DataFrame, huge: int = HUGE) -> DataFrame:
+    """(row, ..., text), row being a number of its own for each row, to the same with fp, size and fingerprint of the text, for text."""
+    rows = rows.select(*(c for c in rows.columns if c != "text"), "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     schema = rows.withColumn("fp", F.lit("")).schema
-    plain = rows.where(size <= huge).mapInArrow(_hash_rows, schema)
+    plain = rows.where(size <= huge).mapInArrow(_hash_rows, schema).drop("text")
     large = rows.where(size > huge)
     raw = large.select("row", F.col("text").cast("binary").alias("b"))
     n = F.octet_length("b")
@@ -117,26 +121,36 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     hashed = cut.repartition("row", "after").mapInArrow(_hash_chunks, "row bigint, size bigint, h0 bigint, h1 bigint")
     total = hashed.groupBy("row").agg(F.sum("size").alias("n"), *((F.sum(f"h{i}") % PRIME).alias(f"h{i}") for i in (0, 1)))
     name = F.format_string("%x.%08x%08x", "n", "h0", "h1")
-    composed = large.join(total.select("row", name.alias("fp")), "row")
+    composed = large.drop("text").join(total.select("row", name.alias("fp")), "row")
     return plain.unionByName(composed.select(*plain.columns))
 
 
+def _groups(light: DataFrame) -> DataFrame:
+    """(fp, share, top, first, n) of every share of each group of two rows or more: top is the row that stays."""
+    top = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
+    shares = light.groupBy("fp", "share").agg(F.max(top).alias("top"), F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = shares.groupBy("fp").agg(F.max("top").alias("top"), F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    return shares.select("fp", "share").join(whole, "fp")
+
+
 def exact_duplicates(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """`docs` with fp, keep_id (the largest doc_id of equal texts), group_size and kept.
-
-    Row numbers tie the light tables to `docs`, so `docs` must read the same
-    rows in the same order each time, as a scan of files does."""
-    docs = docs.drop(*ADDED)
-    rows = fingerprints(docs.select("doc_id", "text"), huge)
-    light = save(rows.select("row", "doc_id", "fp"), "fingerprints")
-    shared = light.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1")
-    candidates = save(rows.select("row", "fp", "text").join(shared.select("fp", "first"), "fp"), "candidates")
+    """`docs` with fp, keep_id (the largest doc_id of equal texts), group_size and kept."""
+    rows = save(docs.drop(*ADDED).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    light = fingerprints(rows.select("row", "doc_id", "text"), huge).withColumn("share", salt(SALTS, "row"))
+    light = save(light, "fingerprints")
+    groups = save(_groups(light), "groups")
+    copies = save(light.join(groups.select("fp", "share", "first"), ["fp", "share"]).select("row", "fp", "share", "first"), "copies")
+    candidates = rows.select("row", "text").join(copies, "row")
     firsts = candidates.where(F.col("row") == F.col("first")).select("fp", F.col("text").alias("first_text"))
-    facing = candidates.where(F.col("row") != F.col("first")).join(firsts, "fp").select("row", "fp", "text", "first_text")
+    firsts = groups.select("fp", "share").join(firsts, "fp")  # SALTS rows of a group at most
+    facing = candidates.where(F.col("row") != F.col("first")).join(firsts, ["fp", "share"]).select("row", "fp", "text", "first_text")
     differ = save(facing.mapInArrow(_compare, "row bigint, same boolean").where("not same").select("row"), "collisions")
     if not differ.isEmpty():
-        apart = candidates.join(differ, "row").select("row", F.concat("fp", F.lit("."), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("own"))
-        light = save(light.join(apart, "row", "left").select("row", "doc_id", F.coalesce("own", "fp").alias("fp")), "told-apart")
-    groups = light.groupBy("fp").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    decided = light.join(groups, "fp").select("row", "fp", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"))
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(decided, "row").drop("row")
+        digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+        apart = rows.select("row", "text").join(differ, "row").select("row", digest.alias("own"))
+        named = F.coalesce(F.concat("fp", F.lit("."), "own"), "fp")
+        light = save(light.join(apart, "row", "left").select("row", "doc_id", named.alias("fp"), "share"), "told-apart")
+        groups = save(_groups(light), "groups")
+    decided = light.join(groups, ["fp", "share"], "left")
+    decided = decided.select("row", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), (F.col("n").isNull() | (F.col("row") == F.col("top.row"))).alias("kept"))
+    return rows.join(decided, "row").drop("row")
