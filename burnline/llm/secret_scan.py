@@ -1,12 +1,16 @@
 """Operator 10: secrets by fixed patterns and a linear-chain conditional random field.
 
 Base spans come from three patterns. The random field tags tokens (runs of
-letters, digits, _ + / -) as outside, begin or inside a secret. Its features are
-the token's shape (length, kinds of characters, changes between them), the word
-before and what stands between, the neighbours' shapes, and the file (how many
-digits, whether it names a credential). It is trained in numpy, by gradient on
-the exact likelihood, on a bounded sample whose tags come from the patterns; the
-keyword feature is dropped from some sequences so that shape alone counts too.
+letters, digits, _ + / -) as outside, begin or inside a secret, and adds what it
+finds outside the base spans. Its features are the token's shape (length, kinds
+of characters, changes between them), the word before and what stands between,
+known words a little further back, the neighbours' shapes, and the file (how many
+digits, whether it names a credential).
+
+It is trained in numpy, by gradient on the exact likelihood, on a bounded sample
+of documents into which made secrets of many shapes are planted, next to keywords
+and alone, along with decoys (dates, numbers, paths, names, unique ids) that are
+no secrets. What the sample holds itself is tagged by the patterns.
 
 Decoding is Viterbi's. A token whose score for outside leads by more than any
 transitions could make up is outside on the best path, so only the runs between
@@ -41,8 +45,8 @@ KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 #: Words before a secret that the random field knows.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "pwd", "auth", "bearer", "credential", "private", "access")
-#: Sampled documents with and without base spans; bytes of the longest; tokens of a training sequence; rounds; least characters of a span.
-WITH, WITHOUT, LONGEST, SEQUENCE, ROUNDS, LEAST = 300, 300, 1 << 16, 32, 120, 8
+#: Sampled documents and bytes of the longest; training sequences aimed at, and tokens of one; rounds; least characters of a span.
+SAMPLE, LONGEST, SEQUENCES, SEQUENCE, ROUNDS, LEAST = 400, 1 << 16, 2_500, 32, 100, 8
 #: Bytes of a block of a long text, and of the text that it sees on either side.
 BLOCK, AROUND = 1 << 19, 1 << 12
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -53,7 +57,7 @@ WIDE = np.arange(256) >= 128
 TOKEN, HEXED = DIGIT | UPPER | LOWERCASE | SIGN | WIDE, _is(b"0123456789abcdef")
 CLASS = (DIGIT * 1 + UPPER * 2 + LOWERCASE * 3 + SIGN * 4 + WIDE * 5).astype(np.int8)
 LENGTHS = np.array([4, 8, 12, 16, 20, 24, 32, 40, 64])
-SIZES = (1600, 50, 14 * 8, 50, 50, 64, 16)
+SIZES = (1600, 50, 14 * 8, 50, 50, 64, 16, 28)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -84,7 +88,7 @@ KNOWN, KNOWN_ID = _known()
 
 
 def tokens(raw: np.ndarray, starts: np.ndarray, file: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, feature codes (tokens x 7) and text numbers of the tokens in `raw`.
+    """Starts, ends, feature codes (tokens x 8) and text numbers of the tokens in `raw`.
 
     A space stands before each text; text i begins at starts[i]; file[i] is its file code."""
     inside = TOKEN[raw]
@@ -92,7 +96,7 @@ def tokens(raw: np.ndarray, starts: np.ndarray, file: np.ndarray) -> tuple[np.nd
     s, e = step[::2], step[1::2]
     n = len(s)
     if not n:
-        return s, e, np.zeros((0, 7), np.int32), s
+        return s, e, np.zeros((0, len(SIZES)), np.int32), s
 
     def count(flag: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(flag, dtype=np.int32)])
@@ -126,7 +130,10 @@ def tokens(raw: np.ndarray, starts: np.ndarray, file: np.ndarray) -> tuple[np.nd
     before = lambda x: np.where(fresh, 0, np.concatenate([[0], x[:-1]]))
     last = np.concatenate([fresh[1:], [True]])
     after = lambda x, none: np.where(last, none, np.concatenate([x[1:], [none]]))
-    codes = np.stack([shape, change, before(word) * 8 + gap, before(coarse), after(coarse, 0), gap * 8 + after(gap, 7), file[text]], axis=1)
+    back = lambda k: np.concatenate([np.zeros(min(k, n), np.int64), np.where(text[k:] == text[:-k], word[:-k], 0)])
+    near = back(2)
+    far = np.where(near > 0, near, back(3)) * 2 + (before(size) <= 4)
+    codes = np.stack([shape, change, before(word) * 8 + gap, before(coarse), after(coarse, 0), gap * 8 + after(gap, 7), file[text], far], axis=1)
     return s, e, codes.astype(np.int32), text
 
 
@@ -194,11 +201,11 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], seed: int = 3) -> Fiel
     step[OUT, INSIDE] = -4.0
     if not n:
         return Field(theta, step, first)
-    codes, tags, mask = np.zeros((n, SEQUENCE, 7), np.int64), np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), bool)
+    codes, tags, mask = np.zeros((n, SEQUENCE, len(SIZES)), np.int64), np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), bool)
     for i, (c, t) in enumerate(sequences):
         codes[i, : len(c)], tags[i, : len(c)], mask[i, : len(c)] = c + base, t, True
     drop = np.random.default_rng(seed).random(n) < 0.3
-    codes[drop, :, 2] = base[2]
+    codes[drop, :, 2], codes[drop, :, 7] = base[2], base[7]
     gold = np.eye(3)[tags] * mask[:, :, None]
     params = [theta, step, first]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -223,7 +230,7 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], seed: int = 3) -> Fiel
         over = np.exp(alpha[:, :-1, :, None] + step + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
         error = p - gold
         grads = [np.zeros_like(theta), over.sum(axis=(0, 1)) - pairs, error[:, 0].sum(axis=0)]
-        for k in range(7):
+        for k in range(len(SIZES)):
             for s in range(3):
                 grads[0][:, s] += np.bincount(codes[:, :, k].ravel(), error[:, :, s].ravel(), width)
         for k, g in enumerate(grads):
@@ -233,57 +240,114 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], seed: int = 3) -> Fiel
     return Field(*params)
 
 
-def _values(text: str) -> list[tuple[int, int]]:
-    """Byte spans of the values of base spans."""
-    out = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 20] + [m.span() for m in HEX.finditer(text)]
-    return [(len(text[:a].encode()), len(text[:b].encode())) for a, b in out]
-
-
-def _mixed(text: str) -> list[tuple[int, int]]:
-    """Byte spans of the values that `_varied` makes."""
-    found = re.finditer(r"(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{20,44}", text)
-    return [(len(text[: m.start()].encode()), len(text[: m.end()].encode())) for m in found]
+_SETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "lower": "abcdefghijklmnopqrstuvwxyz", "digits": "0123456789"}
+
+
+def _made(rng: np.random.Generator, kind: str, low: int, high: int) -> str:
+    return "".join(rng.choice(list(_SETS[kind]), int(rng.integers(low, high + 1))))
+
+
+def _secret(rng: np.random.Generator) -> tuple[str, str]:
+    """(text, value): a made secret, alone or next to a keyword."""
+    alone = [_made(rng, "mixed", 20, 48), _made(rng, "HEX", 32, 64), _made(rng, "lower", 2, 5) + rng.choice(["-", "_"]) + _made(rng, "mixed", 18, 40), _made(rng, "lower", 2, 5) + "-" + _made(rng, str(rng.choice(["lower", "digits"])), 3, 14) + "-" + _made(rng, "mixed", 14, 32), _made(rng, "upper", 18, 32), _made(rng, "base64", 24, 60), _made(rng, "hex", 32, 64), _made(rng, "mixed", 16, 24) + "." + _made(rng, "mixed", 20, 40)]
+    if rng.random() < 0.4:
+        value = str(rng.choice(alone))
+        return value, value
+    password = _made(rng, "lower", 4, 8) + _made(rng, "digits", 1, 3) + _made(rng, "mixed", 4, 8)
+    value = str(rng.choice([*alone, password, password]))
+    word = str(rng.choice(WORDS))
+    word = rng.choice([word, word.capitalize(), word.upper()])
+    frame = rng.choice(["{} {}", "{}: {}", "{}={}", '{} = "{}"', "{} is {}", "{}: '{}'", '"{}": "{}"', "the {} was {}", "{} -> {}"])
+    return frame.format(word, value), value
+
+
+def _decoy(rng: np.random.Generator) -> str:
+    """Odd text that is no secret."""
+    d = lambda k: _made(rng, "digits", k, k)
+    w = lambda a=3, b=10: _made(rng, "lower", a, b)
+    made = [f"20{d(2)}-0{d(1)}-1{d(1)}T1{d(1)}:{d(2)}:{d(2)}", _made(rng, "digits", 8, 30), f"/{w()}/{w()}/{w()}{d(1)}/{w()}", f"{w().upper()}-{d(6)}-{d(4)}", f"{w()}{w().capitalize()}{w().capitalize()}{d(1)}", f"v{d(1)}.{d(2)}.{d(1)}", f"{w()}_{w()}_{w()}", f"{w()}-{w()}-{w()}", f"{w()}.{w()}{d(2)}@{w()}.{w(2, 3)}", f"+{d(2)} {d(3)} {d(7)}", "-".join(_made(rng, "hex", k, k) for k in (8, 4, 4, 4, 12)), w(14, 26), w(10, 24).upper(), f"https://{w()}.{w(2, 3)}/{w()}?id={d(6)}", w(5, 9) + d(2)]
+    out = str(rng.choice(made))
+    return out if rng.random() < 0.7 else f"{rng.choice(WORDS)} {rng.choice(['for', 'of', 'is', ':'])} {w()} {out}"
+
+
+def planted(text: str, rng: np.random.Generator, secrets: int, decoys: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with made secrets and decoys between its words, and the spans of the secrets' values."""
+    words = text.split(" ")
+    put: dict[int, list[tuple[str, str]]] = {}
+    for made in [*(_secret(rng) for _ in range(secrets)), *((_decoy(rng), "") for _ in range(decoys))]:
+        put.setdefault(int(rng.integers(0, len(words) + 1)), []).append(made)
+    out, spans, at = [], [], 0
+    for i in range(len(words) + 1):
+        for snippet, value in put.get(i, []):
+            if value:
+                a = at + snippet.rindex(value)
+                spans.append((a, a + len(value)))
+            out.append(snippet)
+            at += len(snippet) + 1
+        if i < len(words):
+            out.append(words[i])
+            at += len(words[i]) + 1
+    return " ".join(out), spans
 
 
-def _varied(text: str, rng: np.random.Generator) -> str:
-    """The text with the values of its hex spans made of mixed letters and digits, so that more shapes are learnt; or nothing."""
-    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    made = HEX.sub(lambda m: "".join(rng.choice(signs, int(rng.integers(20, 45)))), text)
-    return made if made != text else ""
+def _values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values of base spans."""
+    out = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    return out + [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 20] + [m.span() for m in HEX.finditer(text)]
 
 
-def sequences(texts: list[str], seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+def sequences(texts: list[str], seed: int = 1, most: int = SEQUENCES) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training sequences: around each secret, around odd tokens, and some at random."""
     rng, out, half = np.random.default_rng(seed), [], SEQUENCE // 2
-    for t in [*texts, *(x for t in texts if (x := _varied(t, rng)))]:
-        raw = np.frombuffer(b" " + t.encode(), np.uint8)
-        s, e, codes, _ = tokens(raw, np.zeros(1, np.int64), file_codes(raw[1:], np.array([0, len(raw) - 1])))
-        if not len(s):
-            continue
-        tag = np.zeros(len(s), np.int8)
-        for a, b in _values(t) or _mixed(t):
-            at = np.flatnonzero((s >= a + 1) & (e <= b + 1))
-            if len(at) and not tag[at].any():
-                tag[at] = INSIDE
-                tag[at[0]] = BEGIN
-        odd = np.flatnonzero((tag == OUT) & (codes[:, 0] >= 3 * 160) & (codes[:, 0] // 32 % 5 > 0))
-        mid = [*np.flatnonzero(tag == BEGIN)[:8], *rng.permutation(odd)[:6], *rng.integers(0, len(s), 3)]
-        for k in mid:
-            a = max(0, k - half)
-            out.append((codes[a : a + SEQUENCE], tag[a : a + SEQUENCE]))
+    texts = [t for t in texts if t]
+    for turn in range(64 * bool(texts)):  # few documents are planted several times over
+        for i, t in enumerate(texts):
+            if len(out) >= most:
+                return out
+            many = (0, 0) if turn == 0 and i % 4 == 0 else (int(rng.integers(1, 5)), int(rng.integers(1, 5)))
+            made, spans = planted(t, rng, *many)
+            raw = np.frombuffer(b" " + made.encode(), np.uint8)
+            s, e, codes, _ = tokens(raw, np.zeros(1, np.int64), file_codes(raw[1:], np.array([0, len(raw) - 1])))
+            if not len(s):
+                continue
+            tag, place = np.zeros(len(s), np.int8), _Places(made, raw[1:])
+            for a, b in sorted({*spans, *_values(made)}):
+                at = np.flatnonzero((s - 1 >= place.byte(a)) & (e - 1 <= place.byte(b)))
+                if len(at) and not tag[at].any():
+                    tag[at] = INSIDE
+                    tag[at[0]] = BEGIN
+            odd = np.flatnonzero((tag == OUT) & (codes[:, 0] >= 3 * 160) & (codes[:, 0] // 32 % 5 > 0))
+            mid = [*np.flatnonzero(tag == BEGIN)[:8], *rng.permutation(odd)[:6], *rng.integers(0, len(s), 3)]
+            for k in mid:
+                a = max(0, k - half)
+                out.append((codes[a : a + SEQUENCE], tag[a : a + SEQUENCE]))
     return out
 
 
 def learn(docs: DataFrame) -> Field:
-    """A field from at most WITH documents with and WITHOUT documents without base spans, none above LONGEST bytes."""
-    rows = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text")
-    found = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    """A field from at most SAMPLE documents of at most LONGEST bytes, picked by a hash of their ids."""
+    size = F.octet_length("text")
+    rows = docs.where(size.between(1, LONGEST)).select("doc_id", "text")
     # Ids are picked first, so that texts of the sample alone leave the executors.
-    picked = [rows.where(found if has else ~found).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most) for has, most in ((True, WITH), (False, WITHOUT))]
-    sample = F.broadcast(picked[0].unionByName(picked[1]).distinct())  # WITH + WITHOUT rows at most
-    texts = [r.text for r in rows.join(sample, "doc_id").orderBy("doc_id").select("text").collect()]  # bounded
-    return train(sequences(texts))
+    picked = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(SAMPLE).distinct()
+    texts = rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE).select("text").collect()  # bounded by SAMPLE
+    return train(sequences([r.text for r in texts]))
+
+
+class _Places:
+    """Characters to bytes of a text and back, for texts of any length at once."""
+
+    def __init__(self, text: str, raw: np.ndarray):
+        self.starts = None if len(text) == len(raw) else np.flatnonzero((raw & 0xC0) != 0x80)
+        self.size = len(raw)
+
+    def byte(self, character: int) -> int:
+        if self.starts is None:
+            return character
+        return int(self.starts[character]) if character < len(self.starts) else self.size
+
+    def character(self, byte: int) -> int:
+        return byte if self.starts is None else int(np.searchsorted(self.starts, byte))
 
 
 def _found(raw: np.ndarray, offsets: np.ndarray, field: Field, file: np.ndarray | None = None) -> list[tuple[int, int, int]]:
@@ -337,8 +401,9 @@ def scan_texts(texts: list[str | None], field: Field) -> list[list[tuple[str, in
     for a, b in pieces(offsets, BLOCK):
         raw = np.frombuffer(b"".join(data[a:b]), np.uint8)
         found = [(0, s, e) for s, e in _found_long(raw, field)] if len(raw) > BLOCK else _found(raw, offsets[a : b + 1] - offsets[a], field)
+        places = {t: _Places(texts[a + t] or "", np.frombuffer(data[a + t], np.uint8)) for t in {t for t, _, _ in found}}
         for t, s, e in found:
-            s, e = (len(data[a + t][:x].decode(errors="ignore")) for x in (s, e))
+            s, e = places[t].character(s), places[t].character(e)
             if e - s >= LEAST and not any(x <= s and e <= y for _, x, y in spans[a + t]):
                 spans[a + t].append(("crf", s, e))
     return [sorted(x, key=lambda y: (y[1], KINDS.index(y[0]))) for x in spans]
