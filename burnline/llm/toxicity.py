@@ -15,7 +15,7 @@ Nulls: a null or empty text has no words and takes the score of the bias alone.
 Labels with a null doc_id or label are ignored. Repeated rows are scored each; a
 document labelled twice trains twice. Without labels of both kinds every score is
 the share of toxic labels (0.0 without any). An empty table gives no rows. Other
-columns are ignored. Very long texts are scored in blocks."""
+columns are ignored. Very long texts are scored in blocks that never cut a word."""
 
 from __future__ import annotations
 
@@ -99,21 +99,49 @@ def worst_passage(words: np.ndarray) -> float:
     return float((total[PASSAGE:] - total[:-PASSAGE]).max() / PASSAGE)
 
 
+def _blocks(text: np.ndarray, gram: np.ndarray) -> Iterator[np.ndarray]:
+    """Scores of the words of one long text, block by block; a word is never cut."""
+    at, size = 0, BLOCK // 2
+    while at < len(text):
+        to = min(at + size, len(text))
+        if to < len(text):
+            gaps = np.flatnonzero(SPACE[text[at:to]])
+            if not len(gaps):  # a word as long as a block
+                while to < len(text) and not SPACE[text[to : to + size]].any():
+                    to = min(to + size, len(text))
+                to += int(SPACE[text[to : to + size]].argmax()) if to < len(text) else 0
+                yield np.array([_long_word(text[at:to], gram)])
+                at = to
+                continue
+            to = at + int(gaps[-1]) + 1
+        joined, starts = _joined(text[at:to], np.array([0, to - at]))
+        yield word_scores(joined, starts, gram)[1]
+        at = to
+
+
+def _long_word(word: np.ndarray, gram: np.ndarray) -> float:
+    """The mean score of the n-grams of one very long word, a bounded part of it at a time."""
+    score, count, size = 0.0, 0, BLOCK // 2
+    back = powers(INVERSE, size)
+    for a in range(-1, len(word), size):
+        part = LOWER[word[max(a, 0) : a + size + max(GRAMS) - 1]]
+        part = np.concatenate([[np.uint8(32)] * (a < 0), part, [np.uint8(32)] * (a + size + max(GRAMS) - 1 > len(word))]).astype(np.uint8)
+        total = prefix(part)
+        for n in GRAMS:
+            k = min(len(part) - n + 1, size)
+            if k > 0:
+                h = (total[n : n + k] - total[:k]) * back[:k]
+                score += float(gram[((h ^ (h >> U(29))) * U(BASE) >> U(64 - BUCKET_BITS)).astype(np.int64)].sum(dtype=np.float64))
+                count += k
+    return score / max(count, 1)
+
+
 def _texts(raw: np.ndarray, offsets: np.ndarray, gram: np.ndarray) -> Iterator[np.ndarray]:
     """Scores of the words of each text, a bounded run of texts at a time."""
     for a, b in pieces(offsets, BLOCK // 2):
         block = raw[offsets[a] : offsets[b]]
         if len(block) > BLOCK // 2:  # one long text, in blocks cut at white space
-            out, at = [], 0
-            while at < len(block):
-                to = min(at + BLOCK // 2, len(block))
-                if to < len(block):
-                    gaps = np.flatnonzero(SPACE[block[at:to]])
-                    to = at + int(gaps[-1]) + 1 if len(gaps) else to
-                joined, starts = _joined(block[at:to], np.array([0, to - at]))
-                out.append(word_scores(joined, starts, gram)[1])
-                at = to
-            yield np.concatenate(out)
+            yield np.concatenate([np.zeros(0), *_blocks(block, gram)])
             continue
         joined, starts = _joined(block, offsets[a : b + 1] - offsets[a])
         s, score = word_scores(joined, starts, gram)
@@ -132,7 +160,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     vocab: dict[bytes, int] = {}
     docs = []
     for t in texts:
-        docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in (t or "").lower().encode().split()], np.int64))
+        docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in (t or "").encode().lower().split()], np.int64))
     raw, starts = _joined(*utf8(pa.array([b" ".join(vocab)], pa.binary()))[::-1])
     s, e, grams = _grams(raw, starts)
     word = np.concatenate([np.searchsorted(s, g[0] + 1, side="right") - 1 for g in grams]).astype(np.int32)
@@ -218,8 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, budget
     count = {r.toxic: r.n for r in marks.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Ids are picked first, so that texts of the sample alone leave the executors.
     picked = [r for kind in (0, 1) for r in _within(fitting.where(F.col("toxic") == kind).orderBy(order, "size").limit(per_label).collect(), budget)]
-    sample = F.broadcast(docs.sparkSession.createDataFrame(picked, fitting.schema).select("doc_id", "toxic"))  # 2 * per_label rows
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").orderBy("doc_id").collect()  # bounded by per_label and budget
+    sample = F.broadcast(docs.sparkSession.createDataFrame(picked, fitting.schema).distinct())  # 2 * per_label rows
+    same = F.col("size") == F.octet_length("text")  # an id may repeat with other texts
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").where(same).orderBy("doc_id").limit(2 * per_label).collect()  # bounded by per_label and budget
     model = fit([r.text for r in rows], [r.toxic for r in rows])
     if min(count.get(0, 0), count.get(1, 0)) and model.scale:
         model.bias += PRIOR * float(np.log(count[1] / count[0]))  # the sample's own odds are weighed out by fit()
