@@ -26,6 +26,8 @@ from burnline.llm.common import save
 
 #: Characters of a text above which it is cut; of a chunk; and of the overlap of two chunks.
 LONG, CHUNK, OVERLAP = 1 << 16, 1 << 15, 512
+#: Chunks or pieces that a task hands on at a time.
+SENT = 64
 
 
 @lru_cache(maxsize=2)
@@ -63,6 +65,30 @@ def _chunk_ends(pattern: str):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to overlapping chunks (row, k, at, last, chunk), a few at a time."""
+    names = ["row", "k", "at", "last", "chunk"]
+    for b in batches:
+        for row, text in zip(b.column(0), b.column(1), strict=True):
+            t = text.as_py()
+            for first in range(0, len(t), CHUNK * SENT):
+                at = list(range(first, min(first + CHUNK * SENT, len(t)), CHUNK))
+                cols = [pa.array([row.as_py()] * len(at), pa.int64()), pa.array([a // CHUNK for a in at], pa.int64()), pa.array(at, pa.int64()), pa.array([a + CHUNK >= len(t) for a in at]), pa.array([t[a : a + CHUNK + 2 * OVERLAP] for a in at], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, text, cuts) to the pieces between cuts (row, doc_id, k, text), a few at a time."""
+    names = ["row", "doc_id", "k", "text"]
+    for b in batches:
+        for row, doc, text, cuts in zip(*b.columns, strict=True):
+            t, ends = text.as_py(), [0, *cuts.as_py()]
+            for first in range(0, len(ends), SENT):
+                ks = range(first, min(first + SENT, len(ends)))
+                cols = [pa.array([row.as_py()] * len(ks), pa.int64()), pa.array([doc.as_py()] * len(ks), pa.int64()), pa.array(ks, pa.int64()), pa.array([t[ends[k] : ends[k + 1] if k + 1 < len(ends) else len(t)] for k in ks], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
 def _encode(ranks_path: str, pattern: str, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last column, text, to ids as little-endian 32-bit bytes; `keep` columns before it pass."""
@@ -82,17 +108,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, long: int = LONG) ->
     longs = save(rows.where(n > long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
     if longs.isEmpty():
         return short
-    at = F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)))
-    cut = longs.select("row", "text", n.alias("n"), at.alias("at"))
-    cut = cut.select("row", (F.col("at") / CHUNK).cast("bigint").alias("k"), F.col("at").cast("bigint").alias("at"), (F.col("at") + CHUNK >= F.col("n")).alias("last"), F.substring("text", F.col("at") + 1, F.lit(CHUNK + 2 * OVERLAP)).alias("chunk"))
+    # Python slices a text by position, where a string function would walk to each place from the start.
+    cut = longs.select("row", "text").mapInArrow(_cut, "row bigint, k bigint, at bigint, last boolean, chunk string")
     ends = cut.repartition("row", "k").mapInArrow(_chunk_ends(pattern), "row bigint, k bigint, head array<bigint>, tail array<bigint>")
     # A text has one small entry for each chunk here.
     chunks = ends.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "head", "tail"))).alias("c"))
-    cuts = chunks.select("row", F.expr("transform(sequence(1, greatest(size(c) - 1, 1)), i -> array_min(array_intersect(c[i - 1].tail, c[i].head)))").alias("cuts"), F.size("c").alias("k"))
+    cuts = chunks.select("row", F.expr("transform(sequence(1, greatest(size(c) - 1, 1)), i -> array_min(array_intersect(get(c, i - 1).tail, get(c, i).head)))").alias("cuts"), F.size("c").alias("k"))
     cuts = cuts.withColumn("cuts", F.expr("CASE WHEN k = 1 OR exists(cuts, x -> x IS NULL) THEN array_except(cuts, cuts) ELSE cuts END"))
-    piece = longs.select("row", "doc_id", "text", n.cast("bigint").alias("n")).join(cuts.select("row", "cuts"), "row")
-    piece = piece.select("row", "doc_id", "text", F.posexplode(F.expr("transform(sequence(0, size(cuts)), i -> named_struct('a', concat(array(0L), cuts)[i], 'b', concat(cuts, array(n))[i]))")).alias("k", "ab"))
-    piece = piece.select("row", "doc_id", F.col("k").cast("bigint").alias("k"), F.substring("text", (F.col("ab.a") + 1).cast("int"), (F.col("ab.b") - F.col("ab.a")).cast("int")).alias("text"))
+    piece = longs.select("row", "doc_id", "text").join(cuts.select("row", "cuts"), "row").select("row", "doc_id", "text", "cuts")
+    piece = piece.mapInArrow(_stitched, "row bigint, doc_id bigint, k bigint, text string")
     done = piece.repartition("row", "k").mapInArrow(_encode(ranks_path, pattern, 3), "row bigint, doc_id bigint, k bigint, ids binary")
     whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
     joined = whole.select("doc_id", F.unhex(F.concat_ws("", F.transform("p", lambda p: F.hex(p["ids"])))).alias("ids"))
