@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnline.llm.common import arrow_schema, shared_path
+from burnline.llm.common import arrow_schema, salt, shared_path
 
 #: Bytes inflated and read at a time.
 STEP = 1 << 16
+#: Shares that the copies of a payload are dealt to.
+SHARES = 16
 RECORDS = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, position bigint"
 
 
@@ -140,8 +142,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     """Write (page_id, url, html) under `path`: one row (archive, records, bytes) for each archive."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint"), "url", html.alias("html"), F.octet_length(html).alias("n"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"))
-    tops = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1 and top is not null").select("digest", "n", "top")
-    told = rows.join(tops, ["digest", "n"], "left")
+    rows = rows.withColumn("share", salt(SHARES, "page_id", "url"))
+    # Copies of a payload are dealt to shares, so that neither one task nor one archive gets them all.
+    shares = rows.where(F.col("n") >= least).groupBy("digest", "n", "share").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("k"))
+    tops = shares.groupBy("digest", "n").agg(F.max("top").alias("top"), F.sum("k").alias("k")).where("k > 1 and top is not null").select("digest", "n", "top")
+    told = rows.join(shares.select("digest", "n", "share").join(tops, ["digest", "n"]), ["digest", "n", "share"], "left")
     told = told.select("page_id", "url", "html", "top", (F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).alias("revisit"))
     uri = path if ":/" in path else f"file://{path}"
     return told.mapInArrow(_write(uri), "archive string, records bigint, bytes bigint")
