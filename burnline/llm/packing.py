@@ -9,7 +9,9 @@ none has room, new packs open. Patterns meet the pieces again by
 rank: a piece's rank among pieces of its length decides its sequence.
 
 Nulls: a null text is empty and packs its end id alone; a null doc_id packs like
-any other. Repeated rows are packed once each. An empty table gives no rows."""
+any other. Repeated rows are packed once each. An empty table gives no rows.
+Other columns are ignored. A very long text becomes many pieces; its ids are held
+by one task at a time."""
 
 from __future__ import annotations
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from burnline.llm.common import arrow_schema, save
 from burnline.llm.wordbpe import runs
 
+#: Bytes of ids that a task holds before it hands them on.
+SENT = 4 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, part int, nth bigint, ids binary"
 
 
@@ -91,17 +95,27 @@ def _cut(tokenizer: str, end_id: int, size: int):
 
         encode, end = runs(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        rows, cuts, held = [], [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            numbers = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(numbers, schema, strict=False)), pa.array(cuts, pa.binary())], schema=schema)
+
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encode(text or "") + end
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                raw = encode(text.as_py() or "") + end
                 for a in range(0, len(raw), 4 * size):
                     cut = raw[a : a + 4 * size]
                     n = len(cut) // 4
-                    out.append((doc, a // 4, n, len(raw) // 4, part, int(seen[n]), cut))
+                    rows.append((doc.as_py(), a // 4, n, len(raw) // 4, part, int(seen[n])))
+                    cuts.append(cut)
                     seen[n] += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                held += len(raw)
+                if held >= SENT:
+                    yield batch_of()
+                    rows, cuts, held = [], [], 0
+        if rows:
+            yield batch_of()
 
     return run
 

@@ -7,7 +7,8 @@ stripes in parallel and skip those that a doc_id predicate rules out.
 
 Nulls: a null text is empty (its ids are the end id alone); a null doc_id sorts
 first. Repeated rows are all kept, next to each other. An empty table gives an
-empty folder that reads back as no rows. Other columns are ignored."""
+empty folder that reads back as no rows. Other columns are ignored. A very long
+text is encoded whole by one task and makes one long row of its stripe."""
 
 from __future__ import annotations
 
@@ -37,7 +38,7 @@ def _encoded(tokenizer: str, end_id: int):
         encode, end = runs(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw = [encode(t or "") + end for t in batch.column(1).to_pylist()]
+            raw = [encode(t.as_py() or "") + end for t in batch.column(1)]
             sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
             total = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))

@@ -10,6 +10,8 @@ library's encoder whole."""
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -19,6 +21,10 @@ import numpy as np
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 #: Letters of any script and ASCII punctuation after them; isalpha() checks the letters.
 LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?)\]]*)")
+#: Punctuation that is a pre-token of its own after a letter or digit.
+ENDS = frozenset(".,;:!?")
+#: Characters of the longest run that is remembered.
+LONGEST = 32
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,9 +38,9 @@ LETTER_OF_BYTE = byte_letters()
 
 
 class Runs(dict):
-    """Run of text -> its ids as little-endian 32-bit bytes. Two generations bound the memory."""
+    """Run of text -> its ids as little-endian 32-bit bytes. Two generations of `limit` runs of at most LONGEST characters bound the memory."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -45,31 +51,41 @@ class Runs(dict):
 
     def pack(self, piece: str) -> bytes:
         """Ids of one pre-token in the byte-level alphabet."""
-        return np.array([t.id for t in self.tokenize(piece)], "<u4").tobytes()
+        ids = array("I", [t.id for t in self.tokenize(piece)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def fresh(self, run: str) -> bytes:
         if "<|" in run and any(a in run for a in self.added):
             return np.array(self.tok.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
         if run.isascii() and run.isprintable():
             cut = ASCII.findall(run.lower())
-            return self.pack(cut[0]) if len(cut) == 1 else b"".join(map(self.__getitem__, cut))
+            return self.kept(run, self.pack(cut[0])) if len(cut) == 1 else self.kept(run, b"".join(map(self.__getitem__, cut)))
         m = LETTERS.fullmatch(run)
         if m and m[1].isalpha() and m[1].lower().isalpha() and "Σ" not in run and is_normalized("NFC", run):
             if m[2]:
-                return self[m[1]] + self[m[2]]
-            return self.pack(run.lower().encode().decode("latin-1").translate(LETTER_OF_BYTE))
-        return b"".join(self.pack(p) for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(run)))
+                return self.kept(run, self[m[1]] + self[m[2]])
+            return self.kept(run, self.pack(run.lower().encode().decode("latin-1").translate(LETTER_OF_BYTE)))
+        return self.kept(run, b"".join(self.pack(p) for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(run))))
 
-    def __missing__(self, run: str) -> bytes:
-        got = self.old.get(run)
-        if got is None:
-            got = self.fresh(run)
-        if len(run) <= 64:
+    def kept(self, run: str, ids: bytes) -> bytes:
+        """Remembers a run's ids."""
+        if len(run) <= LONGEST:
             if len(self) >= self.limit:
+                self.old.clear()  # before the copy, so that no three generations are held
                 self.old = self.copy()
                 self.clear()
-            self[run] = got
-        return got
+            self[run] = ids
+        return ids
+
+    def __missing__(self, run: str) -> bytes:
+        got = self.old.get(run)
+        if got is not None:
+            return self.kept(run, got)
+        if run[-1:] in ENDS and run[-2:-1].isalnum() and "<|" not in run and "Σ" not in run:
+            return self.kept(run, self[run[:-1]] + self[run[-1]])
+        return self.fresh(run)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
