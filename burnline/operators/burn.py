@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnline.dims import EXHAUSTED, HOUR, LOOKBACK_US, MIN_CALIBRATION, by_kind
+from burnline.dims import DURATION_US, EXHAUSTED, HOUR, LOOKBACK_US, MIN_CALIBRATION, PARTS, by_kind
+from burnline.operators.lookups import as_of_each
+from burnline.operators.tokens import by_moment, running_anchors
 
-PARTS = ("input_tokens", "output_tokens", "cache_creation", "cache_read")
+
+
+def running_tokens(tokens: DataFrame) -> DataFrame:
+    """Every instant with tokens of an account and provider: running counts and sums, the first and the next instant, and the block anchor."""
+    keys = ["account", "provider"]
+    rows = running_anchors(by_moment(tokens, keys), keys, DURATION_US["w5h"])
+    w = Window.partitionBy(*keys).orderBy("ts_us")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {c: F.sum(c).over(upto) for c in ("n", "total_tokens", *PARTS)}
+    return rows.withColumns(sums | {"first_us": F.first("ts_us").over(upto), "next_us": F.lead("ts_us").over(w)})
 
 
 def token_facts(facts: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """`facts` (one row for each key) with sums of its tokens up to now_us: one join on the series, all sums at once.
+    """`facts` (one row for each key) with sums of its tokens up to now_us, each the difference of two running sums.
 
     `tokens` holds account and provider; an account's kinds share its tokens."""
-    t = tokens.select("account", "provider", F.col("ts_us").alias("t_us"), "total_tokens", *PARTS)
-    spans = facts.select(*keys, "now_us", "span_from", "last_ts", "saturated_us", "boundary_us") if "now_us" not in keys else facts.select(*keys, "span_from", "last_ts", "saturated_us", "boundary_us")
-    rows = spans.join(t, ["account", "provider"]).where("t_us <= now_us")
-    lookback = by_kind(LOOKBACK_US)
-    within = (F.col("t_us") > F.col("span_from")) & (F.col("t_us") <= F.col("last_ts"))
-    recent = F.col("t_us") >= F.col("now_us") - lookback
-    over = F.col("t_us") >= F.col("saturated_us")
-    total = lambda c, x="total_tokens": F.sum(F.when(c, F.col(x)))
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.min("t_us").alias("first_token_us"),
-        total(within).alias("span_tokens"),
-        total(recent).alias("recent_tokens"),
-        F.count(F.when(recent, 1)).alias("n_recent"),
-        total(over).alias("over_tokens"),
-        F.count(F.when(over, 1)).alias("n_over"),
-        F.min(F.when(F.col("t_us") >= F.col("boundary_us"), F.col("t_us"))).alias("token_after_us"),
-        *(total(over, p).alias(f"over_{p}") for p in PARTS),
-    )
-    return facts.join(sums, keys, "left")
+    at = {
+        "_now": F.col("now_us"),
+        "_recent": F.col("now_us") - by_kind(LOOKBACK_US) - 1,
+        "_from": F.col("span_from"),
+        "_to": F.col("last_ts"),
+        "_full": F.col("saturated_us") - 1,
+        "_edge": F.ceil("boundary_us") - 1,
+    }
+    columns = ["ts_us", "n", "total_tokens", *PARTS, "first_us", "next_us", "anchor_us"]
+    found = as_of_each(facts, keys, running_tokens(tokens), ["account", "provider"], at, columns)
+    out = facts.join(found, keys, "left")
+
+    def between(after: str, upto: str, column: str, where=None) -> Column:
+        """A sum over the tokens after one moment and up to another, null without any."""
+        many = F.col(f"{upto}.n") - F.coalesce(f"{after}.n", F.lit(0))
+        total = F.col(f"{upto}.{column}") - F.coalesce(f"{after}.{column}", F.lit(0))
+        return F.when((many > 0) & (F.lit(True) if where is None else where), total)
+
+    full = F.col("saturated_us").isNotNull()
+    after = F.when(F.col("_edge").isNull(), F.col("_now.first_us")).otherwise(F.col("_edge.next_us"))
+    sums = {
+        "n_tokens": F.col("_now.n"),
+        "span_tokens": between("_from", "_to", "total_tokens"),
+        "recent_tokens": between("_recent", "_now", "total_tokens"),
+        "n_recent": F.coalesce(between("_recent", "_now", "n"), F.lit(0)),
+        "over_tokens": between("_full", "_now", "total_tokens", full),
+        "n_over": F.coalesce(between("_full", "_now", "n", full), F.lit(0)),
+        "token_after_us": F.when(F.col("boundary_us").isNotNull() & (after <= F.col("now_us")), after),
+        "anchor_us": F.when(F.col("now_us") - F.col("_now.anchor_us") < DURATION_US["w5h"], F.col("_now.anchor_us")),
+        **{f"over_{p}": between("_full", "_now", p, full) for p in PARTS},
+    }
+    return out.withColumns(sums).drop(*at)
 
 
 def percent_per_token() -> Column:
@@ -45,16 +68,16 @@ def percent_per_token() -> Column:
 
 def with_slope(facts: DataFrame) -> DataFrame:
     """`facts` with slope, percent per hour: the median of slopes between rows a quarter of the fit apart (0.0 without
-    any), and fit_rows, how many rows it is fitted to: those within the lookback, or the last two."""
-    near = F.filter("fit", lambda x: x["recent"])
-    out = facts.withColumn("_rows", F.when(F.size(near) >= 2, near).otherwise(F.slice("fit", F.greatest(F.size("fit") - 1, F.lit(1)), 2)))
+    any), and fit_rows, how many rows of the block it is fitted to: those within the lookback (near), or the last two."""
+    near = F.filter("near", lambda x: x["ts_us"] >= F.col("block_us"))
+    out = facts.withColumn("_rows", near).withColumn("_rows", F.when(F.size("_rows") >= 2, F.col("_rows")).otherwise(F.col("last_rows")))
     out = out.withColumn("fit_rows", F.size("_rows")).withColumn("_k", F.expr("CAST(greatest(1, size(_rows) div 4) AS INT)"))
     out = out.withColumn("_pairs", F.arrays_zip(F.slice("_rows", F.lit(1), F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("a"), F.slice("_rows", F.col("_k") + 1, F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("b")))
     rise = F.transform("_pairs", lambda p: F.when(p["b"]["ts_us"] > p["a"]["ts_us"], (p["b"]["used"] - p["a"]["used"]) / ((p["b"]["ts_us"] - p["a"]["ts_us"]) / F.lit(float(HOUR)))))
     out = out.withColumn("_slopes", F.sort_array(F.filter(rise, lambda s: s.isNotNull()))).withColumn("_half", F.expr("CAST(size(_slopes) div 2 AS INT)"))
     odd = F.size("_slopes") % 2 == 1
     middle = F.when(F.size("_slopes") == 0, 0.0).when(odd, F.expr("_slopes[_half]")).otherwise(F.expr("(try_element_at(_slopes, greatest(_half, 1)) + try_element_at(_slopes, _half + 1)) / 2"))
-    return out.withColumn("slope", middle).drop("_rows", "_k", "_pairs", "_slopes", "_half")
+    return out.withColumn("slope", middle).drop("_rows", "_k", "_pairs", "_slopes", "_half", "near", "last_rows")
 
 
 def live_rate(facts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,41 +28,61 @@ def segment(history: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("block_id", F.sum(F.col("is_reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("prev_resets")
 
 
-def block_facts(segmented: DataFrame, keys: list[str], lookback: Column) -> DataFrame:
-    """One row for each key: its current block, boundary, rise, saturation, calibration span and slope rows.
-
-    `segmented` holds now_us; all windows share the sort of `segment`."""
-    whole = Window.partitionBy(*keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("ts_us"))
-    rows = segmented.withColumn("last_block", F.max("block_id").over(whole)).withColumn("last_below", F.max(F.when(F.col("used") < EXHAUSTED, F.col("ts_us"))).over(whole)).withColumn("from_end", F.row_number().over(down))
-    cur = F.col("block_id") == F.col("last_block")
-    inner = cur & ~F.col("is_reset") & F.col("prev_ts").isNotNull()
-    falls = inner & (F.col("used") < F.col("prev_used"))
-    when = lambda c, x: F.when(c, x)
-    row = F.struct("ts_us", "used")
-    fit = cur & ((F.col("ts_us") >= F.col("now_us") - lookback) | (F.col("from_end") <= 2))
-    recent = cur & (F.col("ts_us") >= F.col("now_us") - lookback)
-    facts = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_history"),
-        F.max("last_block").alias("last_block"),
-        F.count(when(cur, 1)).alias("n_block"),
-        F.min(when(cur, F.col("ts_us"))).alias("block_first"),
-        F.max(when(F.col("block_id") == F.col("last_block") - 1, F.col("ts_us"))).alias("before_block"),
-        F.min_by(when(cur, F.col("used")), when(cur, F.col("ts_us"))).alias("first_used"),
-        F.max_by(F.col("used"), F.col("ts_us")).alias("last_used"),
-        F.max("ts_us").alias("last_ts"),
-        F.max(when(inner & (F.col("prev_used") == 0) & (F.col("used") > 0), F.expr("(prev_ts + ts_us) / 2"))).alias("rise_us"),
-        F.min(when((F.col("used") >= EXHAUSTED) & (F.col("ts_us") > F.coalesce("last_below", F.lit(-1))), F.col("ts_us"))).alias("saturated_us"),
-        F.max(when(falls, F.col("ts_us"))).alias("fall_us"),
-        F.max_by(when(falls, F.col("used")), when(falls, F.col("ts_us"))).alias("fall_used"),
-        F.sort_array(F.collect_list(when(fit, F.struct("ts_us", "used", recent.alias("recent"))))).alias("fit"),
-    )
-    del row
-    had = F.col("last_block") > 0
-    facts = facts.withColumn("started_us", F.when(had, F.col("block_first"))).withColumn("before_us", F.when(had, F.col("before_block")))
-    facts = facts.withColumn("boundary_us", (F.col("before_us") + F.col("started_us")) / 2)
-    rolled = is_rolling() & F.col("fall_us").isNotNull()
-    return facts.withColumn("span_from", F.when(rolled, F.col("fall_us")).otherwise(F.col("block_first"))).withColumn("span_used", F.when(rolled, F.col("fall_used")).otherwise(F.col("first_used"))).drop("block_first", "before_block", "fall_us", "fall_used")
+STATE = ["ts_us", "used", "n", "prev_ts", "prev_used", "next_ts", "next_used", "open", "rise", "fall", "full"]
+
+
+def running_state(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Every reading with what its series has come to by then: its number, its neighbours, and the last block start, rise from
+    zero, fall, and start of a stay at the cap. None of it depends on who asks, so one sort of a series serves all moments."""
+    w = Window.partitionBy(*keys).orderBy("ts_us")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda when, what: F.last(F.when(when, what), ignorenulls=True).over(upto)
+    rows = segment(samples, keys).withColumn("n", F.row_number().over(w)).withColumn("next_ts", F.lead("ts_us").over(w)).withColumn("next_used", F.lead("used").over(w))
+    follows = ~F.col("is_reset") & F.col("prev_ts").isNotNull()
+    rows = rows.withColumn("open", last(~follows, F.struct("ts_us", "used", "prev_ts", "n")))
+    rows = rows.withColumn("rise", last(follows & (F.col("prev_used") == 0) & (F.col("used") > 0), F.struct("ts_us", "prev_ts")))
+    rows = rows.withColumn("fall", last(follows & (F.col("used") < F.col("prev_used")), F.struct("ts_us", "used", "prev_ts")))
+    return rows.withColumn("full", last((F.col("used") >= EXHAUSTED) & F.coalesce(F.col("prev_used") < EXHAUSTED, F.lit(True)), F.col("ts_us")))
+
+
+def block_facts(found: DataFrame, retention_us: int) -> DataFrame:
+    """`found` (now_us; cur and old: the STATE as of now_us and as of retention before it) with the current block, boundary,
+    rise, saturation and calibration span. What is older than retention counts as never read."""
+    limit, cur, old = F.col("now_us") - retention_us, F.col("cur"), F.col("old")
+    out = found.where(cur.isNotNull() & (cur["ts_us"] > limit))
+    clipped = cur["open"]["ts_us"] <= limit
+    kept = lambda x: F.coalesce((x["ts_us"] > cur["open"]["ts_us"]) & (x["prev_ts"] > limit), F.lit(False))
+    had = ~clipped & F.coalesce(cur["open"]["prev_ts"] > limit, F.lit(False))
+    before = F.coalesce(old["n"], F.lit(0))
+    first, first_used = F.when(clipped, old["next_ts"]).otherwise(cur["open"]["ts_us"]), F.when(clipped, old["next_used"]).otherwise(cur["open"]["used"])
+    rolled = is_rolling() & kept(cur["fall"])
+    out = out.withColumns({
+        "n_history": (cur["n"] - before).cast("bigint"),
+        "n_block": (cur["n"] - F.when(clipped, before).otherwise(cur["open"]["n"] - 1)).cast("bigint"),
+        "started_us": F.when(had, first),
+        "before_us": F.when(had, cur["open"]["prev_ts"]),
+        "block_us": first,
+        "first_used": first_used,
+        "last_used": cur["used"],
+        "last_ts": cur["ts_us"],
+        "rise_us": F.when(kept(cur["rise"]), (cur["rise"]["prev_ts"] + cur["rise"]["ts_us"]) / 2),
+        "saturated_us": F.when(cur["used"] >= EXHAUSTED, F.when(cur["full"] > limit, cur["full"]).otherwise(old["next_ts"])),
+        "span_from": F.when(rolled, cur["fall"]["ts_us"]).otherwise(first),
+        "span_used": F.when(rolled, cur["fall"]["used"]).otherwise(first_used),
+        "last_rows": F.when(cur["ts_us"] > first, F.array(F.struct(cur["prev_ts"].alias("ts_us"), cur["prev_used"].alias("used")), F.struct(cur["ts_us"].alias("ts_us"), cur["used"].alias("used")))).otherwise(F.array(F.struct(cur["ts_us"].alias("ts_us"), cur["used"].alias("used")))),
+    })
+    return out.withColumn("boundary_us", (F.col("before_us") + F.col("started_us")) / 2).drop("cur", "old")
+
+
+def with_near(origins: DataFrame, samples: DataFrame, keys: list[str], lookback: dict[str, int]) -> DataFrame:
+    """`origins` with near: the readings of the kind's lookback up to now_us, in order.
+
+    Time is stretched so that all kinds have lookbacks of one length: a frame of that length then slides over readings and origins."""
+    length = lcm(*lookback.values())
+    rows = samples.select(*keys, F.col("ts_us").alias("_t"), F.struct("ts_us", "used").alias("_row")).unionByName(origins.withColumn("_t", F.col("now_us")), allowMissingColumns=True)
+    rows = rows.withColumn("_t", F.col("_t") * by_kind({k: length // v for k, v in lookback.items()}))
+    near = F.collect_list("_row").over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(-length, 0))
+    return rows.withColumn("near", near).where("now_us is not null").drop("_t", "_row")
 
 
 def derived_reset(anchor: Column, token_after: Column, any_tokens: Column) -> Column:

@@ -156,6 +156,25 @@ def kind_veto(per_kind: DataFrame, winner: str, default: str = "linear") -> Data
     return a.join(b, "kind").where((F.col("moments") >= MIN_MOMENTS) & (F.col("default_mae") != 0)).where(worse >= MIN_GAIN).withColumn("worse", worse)
 
 
+def graded_choice(per_kind: DataFrame, default: str = "linear") -> DataFrame:
+    """One row: choose_model's over the pooled scores, taken back where the winner is worse on a window kind; vetoed_by names it."""
+    row = choose_model(pool_scores(per_kind), default)
+    winner = per_kind.join(F.broadcast(row.select(F.col("challenger").alias("model"))), "model").select("kind", "moments", F.col("mae").alias("winner_mae"))  # one row
+    base = per_kind.where(F.col("model") == default).select("kind", F.col("mae").alias("default_mae"))
+    worse = (F.col("winner_mae") - F.col("default_mae")) / F.col("default_mae")
+    veto = winner.join(base, "kind").where((F.col("moments") >= MIN_MOMENTS) & (F.col("default_mae") != 0)).where(worse >= MIN_GAIN).agg(F.max_by("kind", worse).alias("vetoed_by"))
+    out = row.crossJoin(F.broadcast(veto))  # one row each
+    passed = F.col("reason") == "passes every gate"
+    stopped = passed & F.col("vetoed_by").isNotNull()
+    return out.select(F.when(passed & ~stopped, F.col("challenger")).otherwise(F.lit(default)).alias("chosen"), "challenger", F.when(stopped, "worse on a window kind").otherwise(F.col("reason")).alias("reason"), "vetoed_by", "gain", "over_persistence")
+
+
+def gradable(forecasts: DataFrame, samples: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """`forecasts` of the series that have three readings at least: others can't be graded."""
+    enough = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select(*keys)
+    return forecasts.join(enough, keys, "left_semi")
+
+
 MODELS = ("linear", "montecarlo")
 
 

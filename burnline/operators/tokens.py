@@ -2,33 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from burnline.dims import DAY, DEFAULT_LIMIT, DURATION_US, HOUR, MIN_HISTORY_US, SAFETY
+from burnline.dims import DAY, DEFAULT_LIMIT, DURATION_US, HOUR, MIN_HISTORY_US, PARTS, SAFETY
+from burnline.operators.lookups import as_of_each
 
 
-def block_anchors(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
-    """Start of each key's current fixed block, null where it has ended by now_us.
+def by_moment(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key and instant: the sums of its events, and how many there are."""
+    sums = [F.sum(c).alias(c) for c in ("total_tokens", *PARTS) if c in events.columns]
+    return events.groupBy(*keys, "ts_us").agg(*sums, F.count(F.lit(1)).alias("n"))
+
+
+def running_anchors(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
+    """`events` (keys, ts_us, ...) with anchor_us: the start of the fixed block that each falls in.
+
+    A block starts with the first event that is its length or more after the last
+    start. That is a fold in time order: the sorted events of a partition stream
+    through a task that holds one batch and the last start, and jumps from start to
+    start by bisection, so neither a long series nor a busy one is gathered."""
+    out = StructType([*events.schema.fields, StructField("anchor_us", LongType())])
+    names, at = [events.columns.index(k) for k in keys], events.columns.index("ts_us")
 
-    A gap of the length always starts a block, so only the events since the last
-    such gap are folded, greedily, in one ordered array."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= length_us, F.lit(True))
-    rows = events.withColumn("open_us", F.max(F.when(opens, F.col("ts_us"))).over(w)).withColumn("last_open", F.max("open_us").over(Window.partitionBy(*keys)))
-    last = rows.where("open_us = last_open").groupBy(*keys).agg(F.array_sort(F.collect_list("ts_us")).alias("at"), F.max("now_us").alias("_now"))
-    anchor = F.aggregate("at", F.col("at")[0], lambda a, t: F.when(t - a >= length_us, t).otherwise(a))
-    return last.select(*keys, F.when(F.col("_now") - anchor < length_us, anchor).alias("anchor_us"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor = None, 0
+        for b in batches:
+            ts, anchors = b.column(at).to_numpy(), np.empty(b.num_rows, np.int64)
+            key = list(zip(*(b.column(i).to_pylist() for i in names), strict=True))
+            cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if lo == hi:
+                    continue
+                anchor, last = (anchor if key[lo] == last else int(ts[lo])), key[lo]
+                while lo < hi:
+                    to = lo + int(np.searchsorted(ts[lo:hi], anchor + length_us))
+                    anchors[lo:to] = anchor
+                    if to < hi:
+                        anchor = int(ts[to])
+                    lo = to
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anchors)], names=[*b.schema.names, "anchor_us"])
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, "ts_us").mapInArrow(run, out)
+
+
+def block_anchors(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
+    """Start of each key's current fixed block, null where it has ended by now_us."""
+    last = running_anchors(events.select(*keys, "ts_us", F.col("now_us").alias("_now")), keys, length_us)
+    last = last.groupBy(*keys).agg(F.max("anchor_us").alias("a"), F.max("_now").alias("_now"))
+    return last.select(*keys, F.when(F.col("_now") - F.col("a") < length_us, F.col("a")).alias("anchor_us"))
 
 
 def trailing_tokens(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
-    """`events` with the tokens of the window of `length_us` that ends at each, both ends included."""
-    w = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-length_us, 0)
-    return events.withColumn("trailing", F.sum("total_tokens").over(w))
+    """`events` with the tokens of the window of `length_us` that ends at each, both ends included.
+
+    A window's sum is the difference of two running sums, each looked up as of a moment."""
+    sums = by_moment(events, keys)
+    rising = sums.withColumn("upto", F.sum("total_tokens").over(Window.partitionBy(*keys).orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)))
+    before = as_of_each(rising.select(*keys, "ts_us", "upto"), [*keys, "ts_us", "upto"], rising, keys, {"_old": F.col("ts_us") - length_us - 1}, ["upto"], "ts_us")
+    at = before.select(*keys, "ts_us", (F.col("upto") - F.coalesce("_old.upto", F.lit(0))).alias("trailing"))
+    return events.join(at, [*keys, "ts_us"])
 
 
 def sliding_max(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
-    return trailing_tokens(events, keys, length_us).groupBy(*keys).agg(F.max("trailing").alias("max_tokens"))
+    return trailing_tokens(events.select(*keys, "ts_us", "total_tokens"), keys, length_us).groupBy(*keys).agg(F.max("trailing").alias("max_tokens"))
 
 
 def limit_estimates(events: DataFrame, keys: list[str], kind: str, window_start: Column) -> DataFrame:

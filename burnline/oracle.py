@@ -97,7 +97,7 @@ lin AS (SELECT *, CASE WHEN now_us + round(hours * 3600000000.0::DOUBLE) < horiz
                CASE WHEN projects AND (resets_us IS NULL OR resets_us >= now_us + dense_us) THEN least(100.0, greatest(0.0, used + burn * dense_us / 3600000000.0::DOUBLE)) END AS predicted_used,
                CASE WHEN projects AND burn > 0 THEN CASE WHEN n_rate >= 10 THEN 'high' WHEN n_rate >= 3 THEN 'medium' ELSE 'low' END END AS confidence FROM paced)"""
 
-STRIDE = 97
+STRIDE = 1
 
 
 def chain(origins: str, *parts: str, select: str) -> str:
@@ -146,7 +146,7 @@ SQL: dict[str, str] = {
     "robust_slope": facts(f"SELECT {K}, CAST(fit_rows AS INT) AS fit_rows, round(slope, 6) AS slope FROM judged"),
     "live_burn": facts(f"SELECT {K}, round(token_rate, 6) AS token_rate, round(burn, 6) AS burn, basis, n_rate FROM judged"),
     "overage_tokens": facts(f"SELECT {K}, CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_tokens IS NOT NULL THEN coalesce(over_tokens, 0) END AS over_tokens FROM judged"),
-    "overage_cost": facts(f"SELECT {K}, round(CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_over > 0 THEN CASE provider WHEN 'claude' THEN (over_in * 3.0::DOUBLE + over_out * 15.0 + over_new * 3.75 + over_read * 0.3) / 1e6 ELSE (over_in * 1.25::DOUBLE + over_out * 10.0) / 1e6 END END, 6) AS cost_usd FROM judged"),
+    "overage_cost": facts(f"SELECT {K}, round(CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_over > 0 THEN CASE provider WHEN 'claude' THEN (over_in * 3.0::DOUBLE + over_out * 15.0 + over_new * 3.75 + over_read * 0.3) / 1e6 ELSE (over_in * 1.25::DOUBLE + over_out * 10.0) / 1e6 END END, 9) AS cost_usd FROM judged"),
     "burn_forecast_linear": linear(LINEAR_COLUMNS, LIVE),
     "replay_linear": linear(LINEAR_COLUMNS),
     "workhours_eta": linear(f""", days AS (SELECT {K}, hours, now_us AS from_us, horizon_us, unnest(range(now_us // 86400000000, CAST(floor(horizon_us / 86400000000) AS BIGINT) + 1)) AS day FROM lin WHERE hours IS NOT NULL),
@@ -172,7 +172,13 @@ slots AS (SELECT {K}, ratio, unnest(range(lo, hi)) AS slot FROM reach),
 raw AS (SELECT {K}, slot * 3600000000 AS ts_us, r.ratio * coalesce(s, 0) AS v FROM slots r LEFT JOIN (SELECT {K}, slot, s FROM hourly) h USING ({K}, slot)
         UNION ALL SELECT {K}, prev_ts, (seg.used - prev_used) / ((ts_us - prev_ts) / 3600000000.0::DOUBLE) FROM seg JOIN (SELECT {K} FROM {source} WHERE ratio IS NULL OR ratio <= 0) USING ({K}) WHERE NOT is_reset AND ts_us - prev_ts > 0 AND ts_us - prev_ts <= 10800000000),
 aged AS (SELECT *, {HOUR_OF_WEEK.format(us="ts_us")} AS bucket, pow(0.5, (now_us - ts_us) / 1814400000000.0::DOUBLE) AS w FROM raw),
-pool AS (SELECT *, sum(w) OVER (PARTITION BY {K}, bucket ORDER BY ts_us) AS hi, sum(w) OVER (PARTITION BY {K} ORDER BY bucket, ts_us) AS all_hi FROM aged)"""
+pool AS (SELECT *, sum(w) OVER (PARTITION BY {K}, bucket ORDER BY ts_us) AS hi, sum(w) OVER (PARTITION BY {K} ORDER BY ts_us) AS all_hi FROM aged)"""
+
+
+def scramble(x: str) -> list[str]:
+    """Columns x1, x2, x3 that hash the number `x` modulo 2**31 - 1, each from the one before."""
+    p = 2**31 - 1
+    return [f"({x}) % {p} * 1664525 % {p} AS x1", f"xor(x1, x1 >> 15) * 48271 % {p} AS x2", f"xor(x2, x2 >> 13) * 69621 % {p} AS x3"]
 
 
 def futures(source: str, runs: int) -> str:
@@ -182,8 +188,11 @@ by_bucket AS (SELECT {K}, bucket, list(struct_pack(hi := hi, v := v) ORDER BY ts
 by_all AS (SELECT {K}, list(struct_pack(hi := all_hi, v := v) ORDER BY all_hi) AS all_pool FROM pool GROUP BY ALL),
 hours AS (SELECT {K}, used, live_burn, horizon_h, dense_us / 3600000000.0::DOUBLE AS ahead, unnest(range(0, greatest(CAST(ceil(horizon_h) AS BIGINT), 1))) AS i FROM {source} WHERE horizon_h > 0 AND used < 100),
 keyed AS (SELECT *, {HOUR_OF_WEEK.format(us="now_us + i * 3600000000")} AS bucket FROM hours),
-grid AS (SELECT k.*, coalesce(pool, all_pool) AS pool, run, (concat('0x', substr(md5(concat_ws(':', '0', account, provider, kind, now_us, run, i)), 1, 8)))::BIGINT / 4294967296.0::DOUBLE AS u
-         FROM keyed k JOIN by_all USING ({K}) LEFT JOIN by_bucket USING ({K}, bucket) CROSS JOIN range({runs}) r(run)),
+based AS (SELECT *, (concat('0x', substr(md5(concat_ws(':', '0', account, provider, kind, now_us)), 1, 8)))::BIGINT AS base FROM keyed),
+turns AS (SELECT DISTINCT {K}, i, {", ".join(scramble("base + 104729 * i + 1"))} FROM based),
+starts AS (SELECT {K}, run, {", ".join(scramble("base + 7919 * run"))} FROM (SELECT DISTINCT {K}, base FROM based) CROSS JOIN range({runs}) r(run)),
+grid AS (SELECT k.*, coalesce(pool, all_pool) AS pool, run, (s.x3 + i) * t.x3 % {2**31 - 1} / {2**31 - 1}.0::DOUBLE AS u
+         FROM keyed k JOIN turns t USING ({K}, i) JOIN starts s USING ({K}) JOIN by_all USING ({K}) LEFT JOIN by_bucket USING ({K}, bucket)),
 drawn AS (SELECT *, greatest(coalesce(list_filter(pool, lambda x: x.hi > u * pool[-1].hi)[1].v, pool[-1].v), 0.0) AS d, pow(0.5, i / 0.5::DOUBLE) AS w FROM grid),
 rated AS (SELECT *, CASE WHEN live_burn IS NULL THEN d ELSE w * greatest(live_burn, 0.0) + (1 - w) * d END AS rate, least(1.0, horizon_h - i) AS step FROM drawn),
 walked AS (SELECT *, used + coalesce(sum(rate * step) OVER (PARTITION BY {K}, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rated),
@@ -243,11 +252,11 @@ truths AS (SELECT *, CASE WHEN origin_us IS NULL OR target_us < origin_us THEN N
                      WHEN next_block = origin_block AND next_us > origin_us THEN CASE WHEN next_us = target_us THEN next_used ELSE last_used + (target_us - last_us) / (next_us - last_us)::DOUBLE * (next_used - last_used) END END AS truth FROM p)"""
 
 
-RUNS, LIVE_RUNS = 20, 100
-BOTH = [SEGMENTS, FACTS, LINEAR, *simulated(RUNS), TRUTHS]
+RUNS = 2000
+# The simulating model's 2,000 futures at every reading are too many for SQL: its rival here is the level staying as it is.
 STORED = """
-stored AS (SELECT account, provider, kind, 'linear' AS model, now_us AS made_us, used, status, burn_per_hour, eta_us, NULL::DOUBLE AS p90_us, NULL::DOUBLE AS risk, predicted_used FROM lin
-           UNION ALL SELECT account, provider, kind, 'montecarlo', now_us, used, status, burn_per_hour, eta_us, p90_us, risk, predicted_used FROM sim)"""
+stored AS (SELECT account, provider, kind, 'linear' AS model, now_us AS made_us, used, status, burn_per_hour, eta_us, eta_us AS p90_us, CASE WHEN status = 'OK' AND resets_us IS NOT NULL THEN CASE WHEN eta_us IS NOT NULL THEN 0.95 ELSE 0.05 END END AS risk, predicted_used FROM lin
+           UNION ALL SELECT account, provider, kind, 'flat', now_us, used, status, 0.0, NULL, NULL, NULL, CASE WHEN predicted_used IS NOT NULL THEN used END FROM lin)"""
 DENSE = f"""
 moments AS (SELECT account, provider, kind, made_us, any_value(made_us + dense_us) AS target_us, count(predicted_used) AS recorded FROM stored JOIN kinds USING (kind)
             GROUP BY account, provider, kind, made_us HAVING count(*) = 2 AND count(DISTINCT model) = 2 AND count(*) FILTER (status = 'OK' AND used < 100) = 2 AND (count(predicted_used) = 2 OR (count(predicted_used) = 0 AND count(burn_per_hour) = 2))),
@@ -257,11 +266,11 @@ errors AS (SELECT kind, model, CASE WHEN recorded > 0 THEN predicted_used ELSE l
 dense AS (SELECT kind, model, count(*) AS moments, avg(abs(e)) AS mae, avg(e) AS bias, avg(abs(pe)) AS persistence_mae FROM errors GROUP BY ALL),
 pooled AS (SELECT model, CAST(sum(moments) AS BIGINT) AS moments, sum(mae * moments) / sum(moments) AS mae, sum(bias * moments) / sum(moments) AS bias, sum(persistence_mae * moments) / sum(moments) AS persistence_mae FROM dense GROUP BY model)"""
 CLAIMS = """
-claims AS (SELECT c.*, g.outcome, g.ts_us + g.realized_h * 3600000000.0::DOUBLE AS exhausted_us FROM (SELECT * FROM stored WHERE model = 'montecarlo' AND risk IS NOT NULL) c ASOF LEFT JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us)"""
+claims AS (SELECT c.*, g.outcome, g.ts_us + g.realized_h * 3600000000.0::DOUBLE AS exhausted_us FROM (SELECT * FROM stored WHERE model = 'linear' AND risk IS NOT NULL) c ASOF LEFT JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us)"""
 
 
 def graded(select: str, *more: str) -> str:
-    return chain(replay(STRIDE), *BOTH, STORED, *more, select=select)
+    return chain(replay(STRIDE), SEGMENTS, FACTS, LINEAR, TRUTHS, STORED, *more, select=select)
 
 
 def folded(origins: str, parts: list[str], inputs: str, first: str, step: str, select: str) -> str:
@@ -273,7 +282,7 @@ def folded(origins: str, parts: list[str], inputs: str, first: str, step: str, s
 
 READY = "(f.armed OR i.cleared OR (NOT i.rolling AND coalesce(i.resets_us > f.at_us + 1000000, false)))"
 ALERTS = folded(
-    replay(29),
+    replay(1),
     [SEGMENTS, FACTS, LINEAR],
     """SELECT *, row_number() OVER (PARTITION BY key ORDER BY now_us) AS n FROM (
         SELECT concat_ws('|', account, provider, kind, 'threshold') AS key, account, provider, kind, 'threshold' AS alert, now_us, used, resets_us, provider = 'codex' AND kind = 'weekly' AS rolling, used >= 90 AS cond, used < 80 AS cleared FROM lin WHERE status <> 'IDLE' OR in_cycle
@@ -292,26 +301,27 @@ DAY0 = 1_704_067_200_000_000
 SQL |= {
     "realized_exhaustion": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, round(realized_h, 6) AS realized_h FROM known",
     "risk_outcomes": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, outcome FROM known",
-    "used_at_horizon": chain(replay(7), TRUTHS, "\nm0 AS (SELECT account, provider, kind, now_us + 60000000 AS made_us, now_us + 60000000 + dense_us AS target_us FROM orig JOIN kinds USING (kind))", truth("m0"), select="SELECT account, provider, kind, made_us, origin_us, round(truth, 6) AS truth FROM truths"),
-    "dense_score": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
-    "pool_score": graded("SELECT model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM pooled", DENSE),
-    "better_model": graded("""SELECT CASE WHEN reason = 'passes every gate' THEN challenger ELSE 'linear' END AS chosen, challenger, reason, round(gain, 4) AS gain, round(over_persistence, 4) AS over_persistence FROM (
+    "used_at_horizon": chain(replay(1), TRUTHS, "\nm0 AS (SELECT account, provider, kind, now_us + 60000000 AS made_us, now_us + 60000000 + dense_us AS target_us FROM orig JOIN kinds USING (kind))", truth("m0"), select="SELECT account, provider, kind, made_us, origin_us, round(truth, 6) AS truth FROM truths"),
+    "dense_score_linear": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
+    "pool_score_linear": graded("SELECT model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM pooled", DENSE),
+    "better_model_linear": graded("""SELECT CASE WHEN reason = 'passes every gate' AND vetoed_by IS NULL THEN challenger ELSE 'linear' END AS chosen, challenger, CASE WHEN reason = 'passes every gate' AND vetoed_by IS NOT NULL THEN 'worse on a window kind' ELSE reason END AS reason, vetoed_by, round(gain, 4) AS gain, round(over_persistence, 4) AS over_persistence FROM (
         SELECT *, CASE WHEN challenger IS NULL THEN 'no challenger has a score' WHEN moments < 500 THEN 'too few moments' WHEN base_mae IS NULL THEN 'the default has no score' WHEN base_mae = 0 THEN 'the default is exact' WHEN gain < 0.15 THEN 'gain over the default is under the margin'
             WHEN p IS NULL THEN 'no persistence score' WHEN p = 0 THEN 'persistence is exact' WHEN over_persistence < 0.15 THEN 'gain over persistence is under the margin' ELSE 'passes every gate' END AS reason FROM (
-        SELECT max(model) FILTER (model = 'montecarlo') AS challenger, max(moments) FILTER (model = 'montecarlo') AS moments, max(mae) FILTER (model = 'linear') AS base_mae, max(persistence_mae) FILTER (model = 'montecarlo') AS p,
-            (base_mae - max(mae) FILTER (model = 'montecarlo')) / nullif(base_mae, 0) AS gain, (p - max(mae) FILTER (model = 'montecarlo')) / nullif(p, 0) AS over_persistence FROM pooled))""", DENSE),
-    "episode_score": graded("""SELECT model, count(*) AS moments, count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) AS answered, count(e) AS episodes, round(avg(abs(e)), 4) AS mae_h, round(avg(e), 4) AS bias_h, round(count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) / count(*)::DOUBLE, 6) AS coverage FROM (
+        SELECT max(model) FILTER (model = 'flat') AS challenger, max(moments) FILTER (model = 'flat') AS moments, max(mae) FILTER (model = 'linear') AS base_mae, max(persistence_mae) FILTER (model = 'flat') AS p,
+            (base_mae - max(mae) FILTER (model = 'flat')) / nullif(base_mae, 0) AS gain, (p - max(mae) FILTER (model = 'flat')) / nullif(p, 0) AS over_persistence FROM pooled))
+        CROSS JOIN (SELECT arg_max(kind, worse) AS vetoed_by FROM (SELECT a.kind, (a.mae - b.mae) / b.mae AS worse FROM dense a JOIN dense b USING (kind) WHERE a.model = 'flat' AND b.model = 'linear' AND a.moments >= 500 AND b.mae <> 0) WHERE worse >= 0.15)""", DENSE),
+    "episode_score_linear": graded("""SELECT model, count(*) AS moments, count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) AS answered, count(e) AS episodes, round(avg(abs(e)), 4) AS mae_h, round(avg(e), 4) AS bias_h, round(count(*) FILTER (eta_us IS NOT NULL OR risk IS NOT NULL) / count(*)::DOUBLE, 6) AS coverage FROM (
         SELECT c.model, c.eta_us, c.risk, (c.eta_us - (g.ts_us + g.realized_h * 3600000000.0::DOUBLE)) / 3600000000.0::DOUBLE AS e FROM (SELECT * FROM stored WHERE status NOT IN ('IDLE', 'NO_DATA', 'RESET_PENDING')) c ASOF JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us) GROUP BY model"""),
-    "brier": graded("SELECT round(base, 6) AS base, count(outcome) AS n, round(avg(pow(risk - outcome, 2)), 4) AS brier, round(avg(CASE WHEN outcome IS NOT NULL THEN pow(base - outcome, 2) END), 4) AS base_brier, round(avg(CASE WHEN p90_us IS NOT NULL AND exhausted_us IS NOT NULL THEN CAST(exhausted_us <= p90_us AS INT) END), 4) AS p90_held FROM claims CROSS JOIN (SELECT avg(outcome) AS base FROM claims WHERE outcome IS NOT NULL) GROUP BY base", CLAIMS),
-    "reliability_table": graded("SELECT low, high, count(*) AS n, round(avg(outcome), 4) AS frequency FROM claims JOIN (VALUES (0.0::DOUBLE, 0.3::DOUBLE), (0.3, 0.6), (0.6, 0.9), (0.9, 1.01)) b(low, high) ON risk >= low AND risk < high WHERE outcome IS NOT NULL GROUP BY ALL", CLAIMS),
+    "brier_linear": graded("SELECT round(base, 6) AS base, count(outcome) AS n, round(avg(pow(risk - outcome, 2)), 4) AS brier, round(avg(CASE WHEN outcome IS NOT NULL THEN pow(base - outcome, 2) END), 4) AS base_brier, round(avg(CASE WHEN p90_us IS NOT NULL AND exhausted_us IS NOT NULL THEN CAST(exhausted_us <= p90_us AS INT) END), 4) AS p90_held FROM claims CROSS JOIN (SELECT avg(outcome) AS base FROM claims WHERE outcome IS NOT NULL) GROUP BY base", CLAIMS),
+    "reliability_table_linear": graded("SELECT low, high, count(*) AS n, round(avg(outcome), 4) AS frequency FROM claims JOIN (VALUES (0.0::DOUBLE, 0.3::DOUBLE), (0.3, 0.6), (0.6, 0.9), (0.9, 1.01)) b(low, high) ON risk >= low AND risk < high WHERE outcome IS NOT NULL GROUP BY ALL", CLAIMS),
     "hour_of_week_profile": chain(LIVE, SEGMENTS, FACTS, profile("judged"), select=f"SELECT {K}, bucket, count(*) AS n, round(sum(v * w) / sum(w), 6) AS mean_burn FROM pool GROUP BY {K}, bucket"),
-    "mc_outcomes": chain(replay(STRIDE), SEGMENTS, FACTS, "\nstart AS (SELECT *, burn AS live_burn, coalesce((resets_us - now_us) / 3600000000.0::DOUBLE, dur_us / 3600000000.0::DOUBLE) AS horizon_h FROM judged)", profile("start"), futures("start", 5), select=f"SELECT {K}, run, round(outcome_h, 4) AS outcome_h, round(level, 4) AS level FROM runs"),
-    "mc_forecast": chain(LIVE, SEGMENTS, FACTS, *simulated(LIVE_RUNS), select=SIM_COLUMNS),
-    "replay_montecarlo": chain(replay(STRIDE), SEGMENTS, FACTS, *simulated(RUNS), select=SIM_COLUMNS),
+    "mc_outcomes": chain(LIVE, SEGMENTS, FACTS, "\nstart AS (SELECT *, burn AS live_burn, coalesce((resets_us - now_us) / 3600000000.0::DOUBLE, dur_us / 3600000000.0::DOUBLE) AS horizon_h FROM judged)", profile("start"), futures("start", RUNS), select=f"SELECT {K}, run, round(outcome_h, 4) AS outcome_h, round(level, 4) AS level FROM runs"),
+    "mc_forecast": chain(LIVE, SEGMENTS, FACTS, *simulated(RUNS), select=SIM_COLUMNS),
     "alert_log": ALERTS,
-    "retained_prediction": graded("""SELECT account, provider, kind, model, now_us, made_us, used, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s FROM (
-        SELECT i.account, i.provider, i.kind, 'montecarlo' AS model, i.at AS now_us, i.used, i.dur_us, s.made_us, s.status, s.used AS saved_used, s.eta_us, s.p90_us FROM (SELECT account, provider, kind, now_us + 900000000 AS at, used, dur_us FROM lin) i
-        ASOF JOIN (SELECT * FROM stored WHERE model = 'montecarlo' AND status <> 'IDLE') s ON i.account = s.account AND i.provider = s.provider AND i.kind = s.kind AND i.at >= s.made_us)
+    "streaming_alerts": ALERTS,
+    "retained_prediction_linear": graded("""SELECT account, provider, kind, model, now_us, made_us, used, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s FROM (
+        SELECT i.account, i.provider, i.kind, 'linear' AS model, i.at AS now_us, i.used, i.dur_us, s.made_us, s.status, s.used AS saved_used, s.eta_us, s.p90_us FROM (SELECT account, provider, kind, now_us + 900000000 AS at, used, dur_us FROM lin) i
+        ASOF JOIN (SELECT * FROM stored WHERE model = 'linear' AND status <> 'IDLE') s ON i.account = s.account AND i.provider = s.provider AND i.kind = s.kind AND i.at >= s.made_us)
         WHERE status = 'OK' AND eta_us IS NOT NULL AND saved_used = used AND made_us >= now_us - dur_us AND eta_us > now_us"""),
     "latest_non_idle": linear("SELECT account, provider, kind, max(now_us) AS made_us, max(now_us) AS id, arg_max(used, now_us) AS used, arg_max(status, now_us) AS status FROM lin WHERE status <> 'IDLE' AND now_us <= 1705000000000000 GROUP BY ALL"),
     "snapshot_arbitration": f"""WITH {BASE}, r AS (SELECT *, ts_us // 86400000000 AS day, row_number() OVER (PARTITION BY account, provider, kind, ts_us // 86400000000 ORDER BY ts_us DESC) AS rank FROM smp),
@@ -342,7 +352,7 @@ SQL |= {
     "rollout_suppression": f"""WITH {BASE}, r AS (SELECT request_id, CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 5 <> 0 THEN total_tokens // 9000 END AS total FROM tok),
         b AS (SELECT *, last_value(total IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) SELECT request_id, pos, total FROM b WHERE NOT coalesce(total = before, false)""",
     "rollout_blocks": f"""WITH {BASE} SELECT CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 3 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, total_tokens % 100 + 0.5::DOUBLE AS used, ts_us // 1000000 * 1000000 + total_tokens % 977 * 1000000 AS resets_us, input_tokens FROM tok WHERE total_tokens % 4 <> 0 AND total_tokens % 3 < 2""",
-    "cli_text": f"""WITH {BASE}, n AS (SELECT ts_us AS now_us, total_tokens AS t FROM tok WHERE CAST(message_id AS BIGINT) % 5 = 0),
+    "cli_text": f"""WITH {BASE}, n AS (SELECT ts_us AS now_us, total_tokens AS t FROM tok),
         a AS (SELECT *, CASE WHEN t % 31 + 1 <= 29 AND t % 11 <> 0 AND t % 7 <> 0 THEN epoch_us(make_timestamp(2024, 2, CAST(least(t % 31 + 1, 29) AS BIGINT), (t % 12 + 1) % 12 + 12, t % 60, 0.0)) END AS at_us FROM n)
         SELECT now_us, CASE WHEN t % 2 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, CAST(t % 101 AS DOUBLE) AS used, at_us AS resets_us FROM a WHERE t % 2 = 0 OR t % 3 <> 0""",
     "rpc_results": f"""WITH {BASE} SELECT ts_us AS now_us, 'w5h' AS kind, CAST(total_tokens % 100 AS DOUBLE) AS used, (total_tokens + 1700000000) * 1000000 AS resets_us FROM tok WHERE total_tokens % 2 = 0 AND total_tokens % 4 <> 0

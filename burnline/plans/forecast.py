@@ -8,34 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnline.dims import HOUR, LOOKBACK_US, RETENTION_US, SERIES, by_kind
+from burnline.dims import LOOKBACK_US, RETENTION_US, SERIES
 from burnline.operators import burn, cycles, montecarlo, projection
-from burnline.operators.tokens import block_anchors
+from burnline.operators.lookups import as_of_each
 from burnline.storage import settle
 
 KEYS = [*SERIES, "now_us"]
 
 
-def history(samples: DataFrame, origins: DataFrame) -> DataFrame:
-    """Each origin's readings: the series' own up to its moment, within retention. An equi join on the series."""
-    rows = samples.join(origins.select(*KEYS), SERIES)
-    return rows.where((F.col("ts_us") <= F.col("now_us")) & (F.col("ts_us") > F.col("now_us") - RETENTION_US))
-
-
-def segmented(samples: DataFrame, origins: DataFrame) -> DataFrame:
-    return cycles.segment(history(samples, origins), KEYS)
-
-
 def facts(samples: DataFrame, tokens: DataFrame, origins: DataFrame) -> DataFrame:
-    """One row for each origin: its reading, block, boundary, token sums, reset (given or derived) and live rate."""
-    out = cycles.block_facts(segmented(samples, origins), KEYS, by_kind(LOOKBACK_US)).join(origins, KEYS)
+    """One row for each origin: its reading, block, boundary, token sums, reset (given or derived) and live rate.
+
+    What a series has come to by each reading is computed once; an origin looks it up as of its moment and as of
+    retention before it. Only the readings of the short lookback are gathered, for the slope. Work follows readings,
+    tokens and origins, not their product."""
+    probes = {"cur": F.col("now_us"), "old": F.col("now_us") - RETENTION_US}
+    found = as_of_each(origins, KEYS, cycles.running_state(samples, SERIES), SERIES, probes, cycles.STATE)
+    out = cycles.block_facts(found, RETENTION_US).join(cycles.with_near(origins, samples, SERIES, LOOKBACK_US), KEYS)
     out = burn.token_facts(out, tokens, KEYS)
-    moment = ["account", "provider", "now_us"]
-    seen = tokens.select("account", "provider", "ts_us").join(origins.select(*moment).distinct(), ["account", "provider"]).where("ts_us <= now_us")
-    out = out.join(block_anchors(seen, moment, 5 * HOUR), moment, "left")
     derived = cycles.derived_reset(F.col("anchor_us"), F.col("token_after_us"), F.col("n_tokens").isNotNull())
-    out = out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived))
-    return burn.live_rate(out)
+    return burn.live_rate(out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived)))
 
 
 def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -43,8 +35,7 @@ def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str =
 
 
 def montecarlo_forecast(samples: DataFrame, tokens: DataFrame, origins: DataFrame, runs: int, tz: str = "UTC", seed: int = 0) -> DataFrame:
-    f = settle(facts(samples, tokens, origins))  # read by the profile, the draws and the result
-    return montecarlo.montecarlo(f, segmented(samples, origins), tokens, KEYS, runs, tz, seed)
+    return montecarlo.montecarlo(settle(facts(samples, tokens, origins)), samples, tokens, KEYS, runs, tz, seed)
 
 
 def stored(linear_: DataFrame, simulated: DataFrame) -> DataFrame:
@@ -59,5 +50,3 @@ def watched(spark, tokens: DataFrame, providers=("claude", "codex"), kinds=("wee
     """The grid of accounts, enabled providers and watched kinds."""
     grid = spark.createDataFrame([(p, k) for p in providers for k in kinds], "provider string, kind string")
     return tokens.select("account").distinct().crossJoin(F.broadcast(grid))  # four rows
-
-

@@ -171,7 +171,7 @@ def overage_tokens(spark, d):
 @query
 def overage_cost(spark, d):
     """B8, B9."""
-    return _facts(spark, d).select(*KEYS, r6(burn.overage_cost(F.col("used"), PRICES)).alias("cost_usd"))
+    return _facts(spark, d).select(*KEYS, F.round(burn.overage_cost(F.col("used"), PRICES), 9).alias("cost_usd"))
 
 
 def _linear_columns(f: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _forecasts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, t, o = _replay(spark, d)
     f = settle(forecast.facts(s, t, o))
     lin = projection.linear(f)
-    sim = settle(montecarlo.montecarlo(f, forecast.segmented(s, o), t, KEYS, RUNS))
+    sim = settle(montecarlo.montecarlo(f, s, t, KEYS, RUNS))
     return settle(forecast.stored(lin, sim)), cycles.segment(s, SERIES), lin, sim
 
 
@@ -237,67 +237,132 @@ def used_at_horizon(spark, d):
     return out.select(*SERIES, "made_us", F.col("origin.ts_us").alias("origin_us"), r6("truth").alias("truth"))
 
 
+def _linear_forecasts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Replayed moments judged by the linear model and by a flat one (the level stays), as stored rows; samples with blocks.
+
+    SQL can say these, where it can't draw the simulating model's futures at every reading."""
+    s, t, o = _replay(spark, d)
+    lin = settle(forecast.linear(s, t, o))
+    claim = F.when((F.col("status") == "OK") & F.col("resets_us").isNotNull(), F.when(F.col("eta_us").isNotNull(), 0.95).otherwise(0.05))
+    cols = [*SERIES, "model", F.col("now_us").alias("made_us"), "used", "status"]
+    a = lin.select(*cols, "burn_per_hour", "eta_us", F.col("eta_us").alias("p90_us"), claim.alias("risk"), "predicted_used")
+    none = F.lit(None)
+    b = lin.withColumn("model", F.lit("flat")).select(*cols, F.lit(0.0).alias("burn_per_hour"), none.cast("bigint").alias("eta_us"), none.cast("bigint").alias("p90_us"), none.cast("double").alias("risk"), F.when(F.col("predicted_used").isNotNull(), F.col("used")).alias("predicted_used"))
+    seg = cycles.segment(s, SERIES)
+    return scoring.gradable(a.unionByName(b), s), seg
+
+
+def _both(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows, seg, _, _ = _forecasts(spark, d)
+    return scoring.gradable(rows, seg), seg
+
+
+def _dense(rows: DataFrame, seg: DataFrame, rival: str) -> DataFrame:
+    return scoring.dense_scores(rows, seg, ["linear", rival], by_kind(DENSE_US), ["kind"])
+
+
+def _rounded(scores: DataFrame, *first: str) -> DataFrame:
+    return scores.select(*first, "moments", *(F.round(c, 4).alias(c) for c in ("mae", "bias", "persistence_mae")))
+
+
 @query
 def dense_score(spark, d):
-    """G5, X5 by kind."""
-    rows, seg, _, _ = _forecasts(spark, d)
-    out = scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"])
-    return out.select("kind", "model", "moments", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("persistence_mae", 4).alias("persistence_mae"))
+    """G5, X5 by kind, linear against simulating."""
+    return _rounded(_dense(*_both(spark, d), "montecarlo"), "kind", "model")
+
+
+@query
+def dense_score_linear(spark, d):
+    """G5, X5 by kind, linear against flat."""
+    return _rounded(_dense(*_linear_forecasts(spark, d), "flat"), "kind", "model")
 
 
 @query
 def pool_score(spark, d):
     """G6, G12."""
-    rows, seg, _, _ = _forecasts(spark, d)
-    out = scoring.pool_scores(scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"]))
-    return out.select("model", "moments", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("persistence_mae", 4).alias("persistence_mae"))
+    return _rounded(scoring.pool_scores(_dense(*_both(spark, d), "montecarlo")), "model")
+
+
+@query
+def pool_score_linear(spark, d):
+    """G6, G12, linear against flat."""
+    return _rounded(scoring.pool_scores(_dense(*_linear_forecasts(spark, d), "flat")), "model")
+
+
+def _choice(per_kind: DataFrame) -> DataFrame:
+    return scoring.graded_choice(per_kind).withColumn("gain", F.round("gain", 4)).withColumn("over_persistence", F.round("over_persistence", 4))
 
 
 @query
 def better_model(spark, d):
-    """G10 over the pooled scores, and G11's vetoes."""
-    rows, seg, _, _ = _forecasts(spark, d)
-    per_kind = scoring.dense_scores(rows, seg, ["linear", "montecarlo"], by_kind(DENSE_US), ["kind"])
-    return scoring.choose_model(scoring.pool_scores(per_kind)).withColumn("gain", F.round("gain", 4)).withColumn("over_persistence", F.round("over_persistence", 4))
+    """The choice over pooled scores, and a kind's veto."""
+    return _choice(_dense(*_both(spark, d), "montecarlo"))
 
 
 @query
-def episode_score(spark, d):
-    """G4, G7."""
-    rows, seg, _, _ = _forecasts(spark, d)
+def better_model_linear(spark, d):
+    """G10-G12, linear against flat."""
+    return _choice(_dense(*_linear_forecasts(spark, d), "flat"))
+
+
+def _episodes(rows: DataFrame, seg: DataFrame) -> DataFrame:
     out = scoring.episode_scores(rows, scoring.risk_outcome(seg, SERIES)).withColumn("coverage", F.round(scoring.answer_coverage(), 6))
     return out.withColumn("mae_h", F.round("mae_h", 4)).withColumn("bias_h", F.round("bias_h", 4))
 
 
-def _claims(spark, d) -> DataFrame:
-    rows, seg, _, _ = _forecasts(spark, d)
-    claims = rows.where("model = 'montecarlo' AND risk IS NOT NULL")
+@query
+def episode_score(spark, d):
+    """G4, G7."""
+    return _episodes(*_both(spark, d))
+
+
+@query
+def episode_score_linear(spark, d):
+    """G4, G7 of the linear and the flat model."""
+    return _episodes(*_linear_forecasts(spark, d))
+
+
+def _claims(rows: DataFrame, seg: DataFrame, model: str) -> DataFrame:
+    claims = rows.where(F.col("model") == model).where("risk IS NOT NULL")
     return scoring.as_of(claims, scoring.risk_outcome(seg, SERIES), SERIES, "made_us", ["outcome", "realized_h"], "o").select(*SERIES, "made_us", "risk", "p90_us", F.col("o.outcome").alias("outcome"), (F.col("o.ts_us") + F.col("o.realized_h") * HOUR).alias("exhausted_us"))
 
 
+def _brier(c: DataFrame) -> DataFrame:
+    held = F.when(F.col("p90_us").isNotNull() & F.col("exhausted_us").isNotNull(), (F.col("exhausted_us") <= F.col("p90_us")).cast("double"))
+    base = c.where("outcome IS NOT NULL").agg(F.avg("outcome").alias("base"))
+    return c.crossJoin(F.broadcast(base)).groupBy(F.round("base", 6).alias("base")).agg(F.count("outcome").alias("n"), F.round(scoring.brier(F.col("risk"), F.col("outcome")), 4).alias("brier"), F.round(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(F.col("base") - F.col("outcome"), 2))), 4).alias("base_brier"), F.round(F.avg(held), 4).alias("p90_held"))  # base: one row
+
+
 @query
 def brier(spark, d):
     """The claims' Brier score and that of always claiming the base rate; X4: how often P90 held."""
-    c = _claims(spark, d)
-    held = F.when(F.col("p90_us").isNotNull() & F.col("exhausted_us").isNotNull(), (F.col("exhausted_us") <= F.col("p90_us")).cast("double"))
-    base = c.where("outcome IS NOT NULL").agg(F.avg("outcome").alias("base"))
-    out = c.crossJoin(F.broadcast(base)).groupBy(F.round("base", 6).alias("base")).agg(F.count("outcome").alias("n"), F.round(scoring.brier(F.col("risk"), F.col("outcome")), 4).alias("brier"), F.round(F.avg(F.when(F.col("outcome").isNotNull(), F.pow(F.col("base") - F.col("outcome"), 2))), 4).alias("base_brier"), F.round(F.avg(held), 4).alias("p90_held"))  # base: one row
-    return out
+    return _brier(_claims(*_both(spark, d), "montecarlo"))
+
+
+@query
+def brier_linear(spark, d):
+    """G8, X4, X6 of claims that follow from the linear model's answer."""
+    return _brier(_claims(*_linear_forecasts(spark, d), "linear"))
 
 
 @query
 def reliability_table(spark, d):
     """G9."""
-    return scoring.reliability(_claims(spark, d).where("outcome IS NOT NULL")).withColumn("frequency", F.round("frequency", 4))
+    return scoring.reliability(_claims(*_both(spark, d), "montecarlo").where("outcome IS NOT NULL")).withColumn("frequency", F.round("frequency", 4))
+
+
+@query
+def reliability_table_linear(spark, d):
+    """G9 of the linear model's claims."""
+    return scoring.reliability(_claims(*_linear_forecasts(spark, d), "linear").where("outcome IS NOT NULL")).withColumn("frequency", F.round("frequency", 4))
 
 
 @query
 def hour_of_week_profile(spark, d):
     """M1-M7 at the latest moment."""
     s, t, o = _live(spark, d)
-    f = settle(forecast.facts(s, t, o))
-    rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
-    return montecarlo.profile(montecarlo.pools(rows, KEYS), KEYS).select(*KEYS, "bucket", "n", r6("mean_burn").alias("mean_burn"))
+    f = montecarlo.with_horizon(settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")))
+    return montecarlo.profile(f, s, t).select(*KEYS, "bucket", "n", r6("mean_burn").alias("mean_burn"))
 
 
 @query
@@ -320,11 +385,10 @@ def _mc_columns(f: DataFrame) -> DataFrame:
 
 @query
 def mc_outcomes(spark, d):
-    """The futures themselves, at replayed moments."""
-    s, t, o = _replay(spark, d)
-    f = settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")).withColumn("horizon_h", F.coalesce((F.col("resets_us") - F.col("now_us")) / float(HOUR), by_kind(DURATION_US) / float(HOUR)))
-    rows = montecarlo.token_buckets(f, t, KEYS, "UTC").unionByName(montecarlo.percent_buckets(forecast.segmented(s, o), f, KEYS, "UTC"))
-    return montecarlo.simulate(f, montecarlo.pools(rows, KEYS), KEYS, RUNS, "UTC").select(*KEYS, F.col("run").cast("bigint").alias("run"), F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
+    """The futures themselves, of every series at the latest moment."""
+    s, t, o = _live(spark, d)
+    f = montecarlo.with_horizon(settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")))
+    return montecarlo.simulate(f, s, t, RUNS).select(*KEYS, "run", F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
 
 
 @query
@@ -334,14 +398,24 @@ def alert_log(spark, d):
     return alerts.alert_log(ticks)
 
 
+def _retained(rows: DataFrame, moments: DataFrame, model: str) -> DataFrame:
+    idle = moments.select(*SERIES, F.lit(model).alias("model"), (F.col("now_us") + HOUR // 4).alias("now_us"), "used", F.lit(None).cast("double").alias("resets_us"), F.lit("IDLE").alias("status"), F.lit(None).cast("bigint").alias("eta_us"), F.lit(None).cast("string").alias("confidence"))
+    out = alerts.retained(idle, rows.withColumn("id", F.col("made_us")), by_kind(DURATION_US))
+    return out.select(*SERIES, "model", "now_us", "made_us", "used", F.round(F.col("eta_us") / 1e6, 2).alias("eta_s"), F.round(F.col("p90_us") / 1e6, 2).alias("p90_s"))
+
+
 @query
 def retained_prediction(spark, d):
-    """Saved bands of idle series, a day's ticks being judged two hours on."""
+    """Saved bands of series gone idle a quarter of an hour after each replayed moment."""
     rows, _, lin, _ = _forecasts(spark, d)
-    saved = rows.withColumn("id", F.col("made_us"))
-    idle = lin.select(*SERIES, F.lit("montecarlo").alias("model"), (F.col("now_us") + HOUR // 4).alias("now_us"), "used", F.lit(None).cast("double").alias("resets_us"), F.lit("IDLE").alias("status"), F.lit(None).cast("bigint").alias("eta_us"), F.lit(None).cast("string").alias("confidence"))
-    out = alerts.retained(idle, saved, by_kind(DURATION_US))
-    return out.select(*SERIES, "model", "now_us", "made_us", "used", F.round(F.col("eta_us") / 1e6, 2).alias("eta_s"), F.round(F.col("p90_us") / 1e6, 2).alias("p90_s"))
+    return _retained(rows, lin, "montecarlo")
+
+
+@query
+def retained_prediction_linear(spark, d):
+    """A10, T7 of the linear model's answers."""
+    rows, _ = _linear_forecasts(spark, d)
+    return _retained(rows, rows.where("model = 'linear'").withColumn("now_us", F.col("made_us")), "linear")
 
 
 @query
