@@ -21,34 +21,56 @@ from burnline.llm.toxicity import scored, train
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that none of their names can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])).alias("_rest"))
+
+
+def _together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as they were before `_apart`."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    A null or empty text has the bias alone for a score, and stays where most labels are clean. Repeated rows and ids
+    are scored each; an empty table stays empty; extra columns pass."""
     model = train(docs, scan(spark, sf_dir, "labels"))
-    return scored(docs, model).where("toxicity < 0.5").drop("toxicity")
+    return _together(scored(_apart(docs), model).where("toxicity < 0.5"), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the one of the largest doc_id.
+
+    Null texts equal empty ones; a row without a doc_id stays only where all of its group have none; of rows that tie in
+    both one stays. An empty table stays empty; extra columns pass."""
     bound_batches(spark)
-    return exact_duplicates(docs).where("kept").select(docs.columns)
+    return _together(exact_duplicates(_apart(docs)).where("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; rows without a doc_id stay."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id.
+
+    Rows without a doc_id, and texts without words, stay. Rows that share an id but not a text are documents of their
+    own. An empty table stays empty; extra columns pass."""
     bound_batches(spark)
     # Rows are told apart by a number, as a doc_id may repeat with other texts.
-    rows = save(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "near-rows")
+    rows = _apart(docs).withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+    rows = save(rows, "near-rows")
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     groups = save(found.where("component_id is not null"), "near-groups")
     several = groups.where("_row <> component_id").select("component_id").distinct()
     members = groups.join(several, "component_id").join(rows.select("_row", "doc_id"), "_row")
     stays = members.groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("stays"))
     gone = members.join(stays, "component_id").where("_row <> stays").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    return _together(rows.join(gone, "_row", "left_anti"), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the text are replaced by a mark; every document stays."""
+    """Secrets in the text are replaced by a mark; every document stays, null and empty texts as they are.
+
+    n_chars, where there is one, follows the text. An empty table stays empty; extra columns pass."""
     bound_batches(spark)
     out = redacted(docs, learn(docs))
     if "n_chars" in docs.columns:
@@ -57,7 +79,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and their place in sequences of 4096."""
+    """Pieces of documents with their ids and their place in sequences of 4096.
+
+    A null text packs its end id alone; repeated rows are packed each; an empty table gives no rows; extra columns are left out."""
     bound_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
 
