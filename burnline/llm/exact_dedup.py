@@ -11,11 +11,12 @@ differ from it (a collision) are told apart by their SHA-256.
 Nulls: a null text is empty and equals empty ones; a null doc_id never stays
 while a copy has an id. Ties: rows with the same doc_id and text form one group,
 of which one row stays. An empty table gives no rows. Other columns pass through
-unless they carry a name this operator adds (those are replaced).
+unless they carry a name this operator uses (ADDED; those are replaced or dropped).
 
-Rows are numbered once, in a table of their own, and a group's rows are dealt to
-SALTS shares: a share is what is grouped and joined first, so no group, however
-many copies it has, lands in one task."""
+A group's rows are dealt to SALTS shares: a share is what is grouped and joined,
+so no group, however many copies it has, lands in one task. Texts move once, to
+their shares, and are written there with what is known of their group; of these
+only copies move again, to be compared."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnline.llm.common import salt, save, utf8
@@ -34,7 +35,7 @@ BASES = (1_000_003, 998_244_353)
 CHUNK, HUGE = 1 << 16, 32 << 20
 #: Shares of a group of copies.
 SALTS = 16
-ADDED = ("fp", "row", "keep_id", "group_size", "kept")
+ADDED = ("fp", "share", "row", "top", "n", "keep_id", "group_size", "kept")
 
 
 def _powers(base: int) -> np.ndarray:
@@ -106,13 +107,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=["row", "same"])
 
 
-def fingerprints(rows: DataFrame, huge: int = HUGE) -> DataFrame:
-    """(row, ..., text), row being a number of its own for each row, to the same with fp, size and fingerprint of the text, for text."""
-    rows = rows.select(*(c for c in rows.columns if c != "text"), "text")
+def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+    """`docs` with fp: size and fingerprint of the text, null as empty."""
+    docs = docs.select(*(c for c in docs.columns if c != "text"), "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    schema = rows.withColumn("fp", F.lit("")).schema
-    plain = rows.where(size <= huge).mapInArrow(_hash_rows, schema).drop("text")
-    large = rows.where(size > huge)
+    plain = docs.where(size <= huge).mapInArrow(_hash_rows, docs.withColumn("fp", F.lit("")).schema)
+    large = save(docs.where(size > huge).withColumn("row", F.monotonically_increasing_id()), "huge-texts")
     raw = large.select("row", F.col("text").cast("binary").alias("b"))
     n = F.octet_length("b")
     starts = F.explode(F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(huge // 2)))
@@ -121,36 +121,44 @@ def fingerprints(rows: DataFrame, huge: int = HUGE) -> DataFrame:
     hashed = cut.repartition("row", "after").mapInArrow(_hash_chunks, "row bigint, size bigint, h0 bigint, h1 bigint")
     total = hashed.groupBy("row").agg(F.sum("size").alias("n"), *((F.sum(f"h{i}") % PRIME).alias(f"h{i}") for i in (0, 1)))
     name = F.format_string("%x.%08x%08x", "n", "h0", "h1")
-    composed = large.drop("text").join(total.select("row", name.alias("fp")), "row")
+    composed = large.join(total.select("row", name.alias("fp")), "row")
     return plain.unionByName(composed.select(*plain.columns))
 
 
 def _groups(light: DataFrame) -> DataFrame:
-    """(fp, share, top, first, n) of every share of each group of two rows or more: top is the row that stays."""
-    top = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
-    shares = light.groupBy("fp", "share").agg(F.max(top).alias("top"), F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    whole = shares.groupBy("fp").agg(F.max("top").alias("top"), F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    """(fp, share, top, n) of every share of each group of (fp, share, doc_id) of two rows or more; top.doc_id is the one that stays."""
+    top = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")
+    shares = light.groupBy("fp", "share").agg(F.max(top).alias("top"), F.count(F.lit(1)).alias("n"))
+    whole = shares.groupBy("fp").agg(F.max("top").alias("top"), F.sum("n").alias("n")).where("n > 1")
     return shares.select("fp", "share").join(whole, "fp")
 
 
+def _decided(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows` (fp, share, doc_id) with keep_id, group_size and kept."""
+    # Merging, whatever the sizes: plans and their cost are the same for small and large tables.
+    out = rows.join(groups.hint("merge"), ["fp", "share"], "left")
+    nth = F.row_number().over(Window.partitionBy("fp", "share", "doc_id").orderBy("doc_id"))  # rows may tie in text and doc_id
+    single = F.col("n").isNull()
+    out = out.withColumn("kept", single | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (nth == 1)))
+    return out.withColumn("keep_id", F.when(single, F.col("doc_id")).otherwise(F.col("top.doc_id"))).withColumn("group_size", F.coalesce("n", F.lit(1)).cast("bigint")).drop("top", "n")
+
+
 def exact_duplicates(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """`docs` with fp, keep_id (the largest doc_id of equal texts), group_size and kept."""
-    rows = save(docs.drop(*ADDED).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    light = fingerprints(rows.select("row", "doc_id", "text"), huge).withColumn("share", salt(SALTS, "row"))
-    light = save(light, "fingerprints")
-    groups = save(_groups(light), "groups")
-    copies = save(light.join(groups.select("fp", "share", "first"), ["fp", "share"]).select("row", "fp", "share", "first"), "copies")
-    candidates = rows.select("row", "text").join(copies, "row")
-    firsts = candidates.where(F.col("row") == F.col("first")).select("fp", F.col("text").alias("first_text"))
+    given = [c for c in docs.columns if c not in ADDED]
+    rows = fingerprints(docs.select(given), huge).withColumn("share", salt(SALTS, "doc_id"))
+    groups = save(_groups(save(rows.select("fp", "share", "doc_id"), "fingerprints")), "groups")
+    # The number is written once: it names the rows of this table.
+    placed = save(_decided(rows, groups).withColumn("row", F.monotonically_increasing_id()), "placed")
+    copies = placed.where("group_size > 1")
+    firsts = copies.where("kept").select("fp", F.col("text").alias("first_text"))
     firsts = groups.select("fp", "share").join(firsts, "fp")  # SALTS rows of a group at most
-    facing = candidates.where(F.col("row") != F.col("first")).join(firsts, ["fp", "share"]).select("row", "fp", "text", "first_text")
-    differ = save(facing.mapInArrow(_compare, "row bigint, same boolean").where("not same").select("row"), "collisions")
+    facing = copies.where("not kept").select("row", "fp", "share", "text").join(firsts.hint("merge"), ["fp", "share"])
+    differ = save(facing.select("row", "fp", "text", "first_text").mapInArrow(_compare, "row bigint, same boolean").where("not same").select("row"), "collisions")
     if not differ.isEmpty():
         digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-        apart = rows.select("row", "text").join(differ, "row").select("row", digest.alias("own"))
-        named = F.coalesce(F.concat("fp", F.lit("."), "own"), "fp")
-        light = save(light.join(apart, "row", "left").select("row", "doc_id", named.alias("fp"), "share"), "told-apart")
-        groups = save(_groups(light), "groups")
-    decided = light.join(groups, ["fp", "share"], "left")
-    decided = decided.select("row", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), (F.col("n").isNull() | (F.col("row") == F.col("top.row"))).alias("kept"))
-    return rows.join(decided, "row").drop("row")
+        named = placed.join(differ.withColumn("apart", F.lit(True)), "row", "left")
+        named = named.withColumn("fp", F.when(F.col("apart"), F.concat("fp", F.lit("."), digest)).otherwise(F.col("fp"))).drop("apart", "keep_id", "group_size", "kept")
+        named = save(named, "told-apart")
+        placed = _decided(named, _groups(named))
+    return placed.select(*given, "fp", "keep_id", "group_size", "kept")
