@@ -40,7 +40,7 @@ LETTER_OF_BYTE = byte_letters()
 class Runs(dict):
     """Run of text -> its ids as little-endian 32-bit bytes. Two generations of `limit` runs of at most LONGEST characters bound the memory."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
