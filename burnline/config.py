@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
-from datetime import time
+from datetime import datetime, time
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
@@ -22,6 +22,11 @@ class Prices:
     cache_read_per_million: float = 0.0
 
 
+def priced(cfg: "Config") -> dict[str, tuple[float, float, float, float]]:
+    """Dollars a million tokens by provider: input, output, cache creation, cache read."""
+    return {name: (q.input_per_million, q.output_per_million, q.cache_creation_per_million, q.cache_read_per_million) for name, q in (("claude", cfg.claude.prices), ("codex", cfg.codex.prices))}
+
+
 @dataclass(frozen=True)
 class Claude:
     enabled: bool = True
@@ -51,6 +56,9 @@ class Thresholds:
     stale_after_minutes_w5h: float = 10.0
     stale_after_minutes_weekly: float = 180.0
 
+    def stale_us(self) -> dict[str, int]:
+        return {"w5h": round(self.stale_after_minutes_w5h * 60e6), "weekly": round(self.stale_after_minutes_weekly * 60e6)}
+
 
 @dataclass(frozen=True)
 class Predictor:
@@ -61,6 +69,12 @@ class Predictor:
     mc_runs: int = 2000
     bucket_decay_halflife_days: float = 21.0
 
+    def lookback_us(self) -> dict[str, int]:
+        return {"w5h": round(self.lookback_minutes_w5h * 60e6), "weekly": round(self.lookback_minutes_weekly * 60e6)}
+
+    def retention_us(self) -> int:
+        return self.history_retention_weeks * 7 * 86_400_000_000
+
 
 @dataclass(frozen=True)
 class WorkingHours:
@@ -69,6 +83,11 @@ class WorkingHours:
     end: str = "17:00"
     days: tuple[str, ...] = ("mon", "tue", "wed", "thu", "fri")
 
+    def hours(self) -> tuple[float, float]:
+        """The day's start and end as hours."""
+        a, b = self.bounds()
+        return a.hour + a.minute / 60, b.hour + b.minute / 60
+
     def bounds(self) -> tuple[time, time]:
         return time.fromisoformat(self.start), time.fromisoformat(self.end)
 
@@ -118,8 +137,8 @@ def validate(cfg: Config) -> Config:
     t, p, w = cfg.thresholds, cfg.predictor, cfg.working_hours
     checks = [
         (cfg.poll_interval_seconds > 0, "poll_interval_seconds must be positive"),
-        (0 < t.warn_percent <= 100, "warn_percent must be in (0, 100]"),
-        (0 <= t.threshold_hysteresis < t.warn_percent, "threshold_hysteresis must be from 0 to below warn_percent"),
+        (0 <= t.warn_percent <= 100, "warn_percent must be in [0, 100]"),
+        (0 <= t.threshold_hysteresis, "threshold_hysteresis can't be negative"),
         (0 <= t.burn_min_percent <= 100, "burn_min_percent must be in [0, 100]"),
         (t.burn_alert_within_hours > 0, "burn_alert_within_hours must be positive"),
         (t.stale_after_minutes_w5h > 0 and t.stale_after_minutes_weekly > 0, "stale_after_minutes must be positive"),
@@ -159,12 +178,15 @@ def load_config(path: str | None = None) -> Config:
 
 
 def time_zone(cfg: Config) -> str:
-    """The IANA zone to plan in; the system's link, or UTC, where none is set."""
+    """The IANA zone to plan in; where none is set the system's link, else its offset of today."""
     if cfg.timezone != "system":
         return cfg.timezone
     link = Path("/etc/localtime")
     name = str(link.resolve()).partition("zoneinfo/")[2] if link.is_symlink() else ""
-    return name or "UTC"
+    if name:
+        return name
+    minutes = round(datetime.now().astimezone().utcoffset().total_seconds() / 60)
+    return "UTC" if not minutes else f"{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}:{abs(minutes) % 60:02d}"
 
 
 def default_text() -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnline.dims import RESET_TIE_US, SECOND
+from burnline.operators.folds import ordered_fold
 
 
 def arbitrate(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,16 +28,16 @@ def throttle(attempts: DataFrame, keys: list[str], every_s: int = 180, most_s: i
 
     A try waits for `every_s` after the last; each failure doubles the wait up to
     `most_s`, a success restores it; a success is served for less than `keep_s`."""
-    rows = attempts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_us", "ok"))).alias("a"))
-    fold = f"""aggregate(a, named_struct('next', CAST(-1 AS BIGINT), 'wait', CAST({every_s} AS BIGINT), 'good', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<ts_us: BIGINT, tried: BOOLEAN, wait_s: BIGINT, served: BOOLEAN>>)),
-        (s, x) -> named_struct(
-            'next', IF(x.ts_us >= s.next, x.ts_us + IF(x.ok, {every_s}L, least(s.wait * 2, {most_s}L)) * {SECOND}L, s.next),
-            'wait', IF(x.ts_us >= s.next, IF(x.ok, {every_s}L, least(s.wait * 2, {most_s}L)), s.wait),
-            'good', IF(x.ts_us >= s.next AND x.ok, x.ts_us, s.good),
-            'out', concat(s.out, array(named_struct('ts_us', x.ts_us, 'tried', x.ts_us >= s.next, 'wait_s', IF(x.ts_us >= s.next, IF(x.ok, {every_s}L, least(s.wait * 2, {most_s}L)), s.wait),
-                'served', coalesce(IF(x.ts_us >= s.next AND x.ok, x.ts_us, s.good) > x.ts_us - {keep_s * SECOND}L, false))))),
-        s -> s.out)"""
-    return rows.select(*keys, F.explode(F.expr(fold)).alias("o")).select(*keys, "o.*")
+
+    def step(state: tuple, row: dict) -> tuple[tuple, dict]:
+        due, wait, good = state
+        at, tried = row["ts_us"], row["ts_us"] >= due
+        if tried:
+            wait = every_s if row["ok"] else min(wait * 2, most_s)
+            due, good = at + wait * SECOND, at if row["ok"] else good
+        return (due, wait, good), {"ts_us": at, "tried": tried, "wait_s": wait, "served": good is not None and good > at - keep_s * SECOND}
+
+    return ordered_fold(attempts.select(*keys, "ts_us", "ok"), keys, ["ts_us", "ok"], (-1, every_s, None), step, "ts_us bigint, tried boolean, wait_s bigint, served boolean")
 
 
 def choose_source(readings: DataFrame, keys: list[str], mode: str = "auto") -> DataFrame:

@@ -21,13 +21,13 @@ def running_tokens(tokens: DataFrame) -> DataFrame:
     return rows.withColumns(sums | {"first_us": F.first("ts_us").over(upto), "next_us": F.lead("ts_us").over(w)})
 
 
-def token_facts(facts: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+def token_facts(facts: DataFrame, tokens: DataFrame, keys: list[str], lookback: dict[str, int] = LOOKBACK_US) -> DataFrame:
     """`facts` (one row for each key) with sums of its tokens up to now_us, each the difference of two running sums.
 
     `tokens` holds account and provider; an account's kinds share its tokens."""
     at = {
         "_now": F.col("now_us"),
-        "_recent": F.col("now_us") - by_kind(LOOKBACK_US) - 1,
+        "_recent": F.col("now_us") - by_kind(lookback) - 1,
         "_from": F.col("span_from"),
         "_to": F.col("last_ts"),
         "_full": F.col("saturated_us") - 1,
@@ -80,9 +80,9 @@ def with_slope(facts: DataFrame) -> DataFrame:
     return out.withColumn("slope", middle).drop("_rows", "_k", "_pairs", "_slopes", "_half", "near", "last_rows")
 
 
-def live_rate(facts: DataFrame) -> DataFrame:
+def live_rate(facts: DataFrame, lookback: dict[str, int] = LOOKBACK_US) -> DataFrame:
     """`facts` with ratio, slope, token_rate, burn (the live rate), basis and n_rate; burn is null below two block rows."""
-    hours = by_kind(LOOKBACK_US) / F.lit(float(HOUR))
+    hours = by_kind(lookback) / F.lit(float(HOUR))
     out = with_slope(facts.withColumn("ratio", percent_per_token()))
     out = out.withColumn("token_rate", F.col("ratio") * F.coalesce(F.col("recent_tokens"), F.lit(0)) / hours)
     by_tokens = F.col("token_rate").isNotNull() & ((F.col("token_rate") > 0) | (F.col("slope") <= 0))

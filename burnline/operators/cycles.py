@@ -105,5 +105,5 @@ def level_still_in_cycle(resets: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def rate_is_stale() -> Column:
-    return (F.col("now_us") - F.col("source_us")) > by_kind(STALE_US)
+def rate_is_stale(stale_us: dict[str, int] = STALE_US) -> Column:
+    return (F.col("now_us") - F.col("source_us")) > by_kind(stale_us)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnline.dims import DENSE_US, DURATION_US, HOUR, by_kind
+from burnline.dims import DENSE_US, DURATION_US, HOUR, STALE_US, by_kind
 from burnline.operators.cycles import rate_is_stale
 
 
@@ -34,9 +34,9 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
-def linear(facts: DataFrame, tz: str = "UTC") -> DataFrame:
+def linear(facts: DataFrame, tz: str = "UTC", stale_us: dict[str, int] = STALE_US) -> DataFrame:
     """`facts` (with burn and resets_us) judged by the linear model."""
-    status = F.when(rate_is_stale(), "IDLE").when(F.col("started_us").isNotNull() & (F.col("n_block") < 2), "RESET_PENDING").otherwise("OK")
+    status = F.when(rate_is_stale(stale_us), "IDLE").when(F.col("started_us").isNotNull() & (F.col("n_block") < 2), "RESET_PENDING").otherwise("OK")
     out = facts.withColumn("status", status)
     projects = (F.col("status") == "OK") & (F.col("n_block") >= 2)
     horizon = F.coalesce(F.col("resets_us"), F.col("now_us") + by_kind(DURATION_US))

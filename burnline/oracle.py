@@ -227,7 +227,7 @@ sim AS (SELECT *, CASE WHEN at50 < horizon_us THEN at50 END AS eta_us, CASE WHEN
     ]
 
 
-SIM_COLUMNS = f"""SELECT {K}, used, status, round(burn_per_hour, 4) AS burn_per_hour, burn_basis, n_observations, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s, round(risk, 6) AS risk,
+SIM_COLUMNS = f"""SELECT {K}, used, status, round(burn_per_hour, 4) AS burn_per_hour, burn_basis, n_observations, round(eta_us / 1e6, 2) AS eta_s, round(p90_us / 1e6, 2) AS p90_s, round(eta_us / 1e6, 2) AS work_s, round(risk, 6) AS risk,
     round(coverage, 6) AS coverage, confidence, round(predicted_used, 4) AS predicted_used, eta_us IS NOT NULL AND resets_us IS NOT NULL AS exhausts FROM sim"""
 
 # All readings in blocks, with what came after: the truths that forecasts are graded by.
@@ -265,6 +265,7 @@ errors AS (SELECT kind, model, CASE WHEN recorded > 0 THEN predicted_used ELSE l
            FROM stored JOIN moments USING (account, provider, kind, made_us) JOIN truths USING (account, provider, kind, made_us) JOIN kinds USING (kind) WHERE truth IS NOT NULL),
 dense AS (SELECT kind, model, count(*) AS moments, avg(abs(e)) AS mae, avg(e) AS bias, avg(abs(pe)) AS persistence_mae FROM errors GROUP BY ALL),
 pooled AS (SELECT model, CAST(sum(moments) AS BIGINT) AS moments, sum(mae * moments) / sum(moments) AS mae, sum(bias * moments) / sum(moments) AS bias, sum(persistence_mae * moments) / sum(moments) AS persistence_mae FROM dense GROUP BY model)"""
+RECORDED = DENSE.replace("(count(predicted_used) = 2 OR (count(predicted_used) = 0 AND count(burn_per_hour) = 2))", "count(predicted_used) = 2")
 CLAIMS = """
 claims AS (SELECT c.*, g.outcome, g.ts_us + g.realized_h * 3600000000.0::DOUBLE AS exhausted_us FROM (SELECT * FROM stored WHERE model = 'linear' AND risk IS NOT NULL) c ASOF LEFT JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us)"""
 
@@ -303,6 +304,7 @@ SQL |= {
     "risk_outcomes": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, outcome FROM known",
     "used_at_horizon": chain(replay(1), TRUTHS, "\nm0 AS (SELECT account, provider, kind, now_us + 60000000 AS made_us, now_us + 60000000 + dense_us AS target_us FROM orig JOIN kinds USING (kind))", truth("m0"), select="SELECT account, provider, kind, made_us, origin_us, round(truth, 6) AS truth FROM truths"),
     "dense_score_linear": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
+    "dense_score_recorded": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", RECORDED),
     "pool_score_linear": graded("SELECT model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM pooled", DENSE),
     "better_model_linear": graded("""SELECT CASE WHEN reason = 'passes every gate' AND vetoed_by IS NULL THEN challenger ELSE 'linear' END AS chosen, challenger, CASE WHEN reason = 'passes every gate' AND vetoed_by IS NOT NULL THEN 'worse on a window kind' ELSE reason END AS reason, vetoed_by, round(gain, 4) AS gain, round(over_persistence, 4) AS over_persistence FROM (
         SELECT *, CASE WHEN challenger IS NULL THEN 'no challenger has a score' WHEN moments < 500 THEN 'too few moments' WHEN base_mae IS NULL THEN 'the default has no score' WHEN base_mae = 0 THEN 'the default is exact' WHEN gain < 0.15 THEN 'gain over the default is under the margin'
@@ -323,6 +325,15 @@ SQL |= {
         SELECT i.account, i.provider, i.kind, 'linear' AS model, i.at AS now_us, i.used, i.dur_us, s.made_us, s.status, s.used AS saved_used, s.eta_us, s.p90_us FROM (SELECT account, provider, kind, now_us + 900000000 AS at, used, dur_us FROM lin) i
         ASOF JOIN (SELECT * FROM stored WHERE model = 'linear' AND status <> 'IDLE') s ON i.account = s.account AND i.provider = s.provider AND i.kind = s.kind AND i.at >= s.made_us)
         WHERE status = 'OK' AND eta_us IS NOT NULL AND saved_used = used AND made_us >= now_us - dur_us AND eta_us > now_us"""),
+    "dashboard_cells": linear(f"""SELECT {K},
+        printf('%.0f', used) || '%' || CASE WHEN is_estimated THEN '*' ELSE '' END || CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_over > 0 AND provider = 'claude' THEN format(' (+${{:,.2f}})', (over_in * 3.0::DOUBLE + over_out * 15.0 + over_new * 3.75 + over_read * 0.3) / 1e6)
+            WHEN used >= 100 AND saturated_us IS NOT NULL AND n_tokens IS NOT NULL THEN ' (+' || CASE WHEN coalesce(over_tokens, 0) >= 1000000 THEN printf('%.1fM', round_even(over_tokens / 1e6, 1)) WHEN coalesce(over_tokens, 0) >= 1000 THEN printf('%.0fK', round_even(over_tokens / 1e3, 0)) ELSE CAST(coalesce(over_tokens, 0) AS VARCHAR) END || ')' ELSE '' END AS used_cell,
+        CASE WHEN status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL THEN '🔥 burning' ELSE lower(status) END AS status_cell,
+        CASE WHEN status <> 'OK' THEN '—' ELSE CASE WHEN burn_per_hour < 0 AND cents > 0 THEN '-' ELSE '+' END || printf('%d.%02d', cents // 100, cents % 100) || CASE WHEN basis = 'percent' THEN '~' ELSE '' END END AS burn_cell,
+        CASE WHEN (status <> 'IDLE' OR in_cycle) AND used >= 90 THEN 'red' WHEN status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL THEN CASE WHEN used >= 25 AND (eta_us - now_us) / 3600000000.0::DOUBLE <= 1 THEN 'red' ELSE 'yellow' END END AS style
+        FROM (SELECT *, b6 // 10000 + CASE WHEN b6 % 10000 > 5000 OR (b6 % 10000 = 5000 AND (b6 // 10000) % 2 = 1) THEN 1 ELSE 0 END AS cents FROM (SELECT *, CAST(round(abs(burn_per_hour) * 1e6) AS BIGINT) AS b6 FROM lin))
+        JOIN (SELECT account, provider, kind, ts_us AS now_us, is_estimated FROM smp) USING ({K})"""),
+    "dashboard_mood": linear("SELECT account, now_us, CASE WHEN bool_or(status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL) THEN 'burning' WHEN bool_or((status <> 'IDLE' OR in_cycle) AND used >= 90) THEN 'alert' ELSE 'calm' END AS mood FROM lin GROUP BY account, now_us"),
     "latest_non_idle": linear("SELECT account, provider, kind, max(now_us) AS made_us, max(now_us) AS id, arg_max(used, now_us) AS used, arg_max(status, now_us) AS status FROM lin WHERE status <> 'IDLE' AND now_us <= 1705000000000000 GROUP BY ALL"),
     "snapshot_arbitration": f"""WITH {BASE}, r AS (SELECT *, ts_us // 86400000000 AS day, row_number() OVER (PARTITION BY account, provider, kind, ts_us // 86400000000 ORDER BY ts_us DESC) AS rank FROM smp),
         c AS (SELECT account, provider, kind, day, rank, ts_us, used, CASE WHEN rank % 2 = 0 THEN resets_us + rank * 45000000 WHEN rank < 5 THEN resets_us END AS resets_us FROM r WHERE rank <= 5),
@@ -348,10 +359,15 @@ SQL |= {
     "pruned_and_deleted": f"WITH {BASE} SELECT provider, request_id, message_id, ts_us FROM tok WHERE total_tokens % 7 <> 0 AND ts_us >= 1705000000000000",
     "reset_history_count": f"WITH {BASE} SELECT CAST((SELECT count(*) FROM smp) + (SELECT count(*) FROM tok) AS BIGINT) AS removed",
     "last_alerts": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us FROM blocked WHERE cut QUALIFY row_number() OVER (PARTITION BY account, provider, kind ORDER BY ts_us DESC) <= 10",
-    "transcript_tokens": "SELECT 'claude' AS provider, CAST(conv_id AS VARCHAR) AS request_id, CAST(turn AS VARCHAR) AS message_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS output_tokens FROM conversations WHERE role = 'assistant'",
+    "conversation_words": "SELECT 'claude' AS provider, CAST(conv_id AS VARCHAR) AS request_id, CAST(turn AS VARCHAR) AS message_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS output_tokens FROM conversations WHERE role = 'assistant'",
+    "transcript_tokens": """WITH t AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS words FROM conversations WHERE role = 'assistant' AND conv_id % 11 <> 0 AND turn % 5 <> 4)
+        SELECT 'claude' AS provider, CAST(conv_id AS VARCHAR) AS request_id, 'm' || (turn % 3) AS message_id, CAST(max(1704067200 + conv_id * 60 + turn) * 1000000 AS BIGINT) AS ts_us, 'x' AS model, CAST(max(turn) AS BIGINT) AS input_tokens,
+            CAST(arg_max(words, turn) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_creation, CAST(arg_max(CASE WHEN turn % 2 = 0 THEN conv_id ELSE 0 END, turn) AS BIGINT) AS cache_read FROM t GROUP BY conv_id, turn % 3""",
     "rollout_suppression": f"""WITH {BASE}, r AS (SELECT request_id, CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 5 <> 0 THEN total_tokens // 9000 END AS total FROM tok),
         b AS (SELECT *, last_value(total IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) SELECT request_id, pos, total FROM b WHERE NOT coalesce(total = before, false)""",
-    "rollout_blocks": f"""WITH {BASE} SELECT CAST(message_id AS BIGINT) AS pos, CASE WHEN total_tokens % 3 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, total_tokens % 100 + 0.5::DOUBLE AS used, ts_us // 1000000 * 1000000 + total_tokens % 977 * 1000000 AS resets_us, input_tokens FROM tok WHERE total_tokens % 4 <> 0 AND total_tokens % 3 < 2""",
+    "rollout_blocks": f"""WITH {BASE}, e AS (SELECT *, CAST(message_id AS BIGINT) AS pos FROM tok WHERE total_tokens % 4 <> 0)
+        SELECT pos, 0 AS block, CASE WHEN total_tokens % 3 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, total_tokens % 100 + 0.5::DOUBLE AS used, ts_us // 1000000 * 1000000 + total_tokens % 977 * 1000000 AS resets_us, input_tokens, output_tokens FROM e WHERE total_tokens % 3 < 2
+        UNION ALL SELECT pos, 1, 'weekly', CAST(total_tokens % 50 AS DOUBLE), (total_tokens + 1700000000) * 1000000, input_tokens, output_tokens FROM e WHERE total_tokens % 5 <> 0""",
     "cli_text": f"""WITH {BASE}, n AS (SELECT ts_us AS now_us, total_tokens AS t FROM tok),
         a AS (SELECT *, CASE WHEN t % 31 + 1 <= 29 AND t % 11 <> 0 AND t % 7 <> 0 THEN epoch_us(make_timestamp(2024, 2, CAST(least(t % 31 + 1, 29) AS BIGINT), (t % 12 + 1) % 12 + 12, t % 60, 0.0)) END AS at_us FROM n)
         SELECT now_us, CASE WHEN t % 2 = 0 THEN 'w5h' ELSE 'weekly' END AS kind, CAST(t % 101 AS DOUBLE) AS used, at_us AS resets_us FROM a WHERE t % 2 = 0 OR t % 3 <> 0""",

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnline.dims import LOOKBACK_US, RETENTION_US, SERIES
+from burnline.config import Predictor
+from burnline.dims import SERIES
 from burnline.operators import burn, cycles, montecarlo, projection
 from burnline.operators.lookups import as_of_each
 from burnline.storage import settle
@@ -16,18 +17,19 @@ from burnline.storage import settle
 KEYS = [*SERIES, "now_us"]
 
 
-def facts(samples: DataFrame, tokens: DataFrame, origins: DataFrame) -> DataFrame:
+def facts(samples: DataFrame, tokens: DataFrame, origins: DataFrame, settings: Predictor = Predictor()) -> DataFrame:
     """One row for each origin: its reading, block, boundary, token sums, reset (given or derived) and live rate.
 
     What a series has come to by each reading is computed once; an origin looks it up as of its moment and as of
     retention before it. Only the readings of the short lookback are gathered, for the slope. Work follows readings,
     tokens and origins, not their product."""
-    probes = {"cur": F.col("now_us"), "old": F.col("now_us") - RETENTION_US}
+    kept, lookback = settings.retention_us(), settings.lookback_us()
+    probes = {"cur": F.col("now_us"), "old": F.col("now_us") - kept}
     found = as_of_each(origins, KEYS, cycles.running_state(samples, SERIES), SERIES, probes, cycles.STATE)
-    out = cycles.block_facts(found, RETENTION_US).join(cycles.with_near(origins, samples, SERIES, LOOKBACK_US), KEYS)
-    out = burn.token_facts(out, tokens, KEYS)
+    out = cycles.block_facts(found, kept).join(cycles.with_near(origins, samples, SERIES, lookback), KEYS)
+    out = burn.token_facts(out, tokens, KEYS, lookback)
     derived = cycles.derived_reset(F.col("anchor_us"), F.col("token_after_us"), F.col("n_tokens").isNotNull())
-    return burn.live_rate(out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived)))
+    return burn.live_rate(out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived)), lookback)
 
 
 def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -277,6 +277,13 @@ def dense_score_linear(spark, d):
     return _rounded(_dense(*_linear_forecasts(spark, d), "flat"), "kind", "model")
 
 
+@query
+def dense_score_recorded(spark, d):
+    """X5 where only recorded predictions count."""
+    rows, seg = _linear_forecasts(spark, d)
+    return _rounded(scoring.dense_scores(rows, seg, ["linear", "flat"], by_kind(DENSE_US), ["kind"], legacy=False), "kind", "model")
+
+
 @query
 def pool_score(spark, d):
     """G6, G12."""
@@ -380,7 +387,7 @@ def replay_montecarlo(spark, d):
 
 def _mc_columns(f: DataFrame) -> DataFrame:
     eta = lambda c: F.round(F.col(c) / 1e6, 2)
-    return f.select(*KEYS, "used", "status", F.round("burn_per_hour", 4).alias("burn_per_hour"), "burn_basis", "n_observations", eta("eta_us").alias("eta_s"), eta("p90_us").alias("p90_s"), F.round("risk", 6).alias("risk"), F.round("coverage", 6).alias("coverage"), "confidence", F.round("predicted_used", 4).alias("predicted_used"), "exhausts")
+    return f.select(*KEYS, "used", "status", F.round("burn_per_hour", 4).alias("burn_per_hour"), "burn_basis", "n_observations", eta("eta_us").alias("eta_s"), eta("p90_us").alias("p90_s"), eta("work_us").alias("work_s"), F.round("risk", 6).alias("risk"), F.round("coverage", 6).alias("coverage"), "confidence", F.round("predicted_used", 4).alias("predicted_used"), "exhausts")
 
 
 @query
@@ -512,7 +519,21 @@ def last_alerts(spark, d):
 
 @query
 def transcript_tokens(spark, d):
-    """Assistant turns as token events."""
+    """Transcript lines made of conversations, some broken, some under an id that comes again."""
+    from burnline.sources import files
+
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n\\t\\r]+"), lambda w: w != ""))
+    usage = F.struct(words.alias("output_tokens"), F.col("turn").alias("input_tokens"), F.when(F.col("turn") % 2 == 0, F.col("conv_id")).alias("cache_read_input_tokens"))
+    message = F.struct(F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")).alias("id"), "role", F.lit("x").alias("model"), F.when(F.col("turn") % 5 != 4, usage).alias("usage"))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 60 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.when(F.col("conv_id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct(stamp.alias("timestamp"), F.col("conv_id").cast("string").alias("requestId"), message.alias("message"))))
+    return files.transcript_token_events(t.select(F.lit("f").alias("file"), F.lit(0).alias("mtime"), F.col("turn").cast("bigint").alias("pos"), line.alias("line")))
+
+
+@query
+def conversation_words(spark, d):
+    """The adapter's token events of assistant turns."""
     return adapters.conversation_tokens(spark, d)
 
 
@@ -531,11 +552,13 @@ def rollout_blocks(spark, d):
     from burnline.sources import files
 
     t = adapters.token_events(spark, d)
-    line = F.format_string('{"timestamp":"%s","payload":{"type":"%s","info":{"last_token_usage":{"input_tokens":%d,"output_tokens":%d}},"rate_limits":{"primary":{"used_percent":%d.5,"window_minutes":%d,"resets_in_seconds":%d}}}}', F.date_format(F.timestamp_seconds(F.expr("ts_us div 1000000")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("total_tokens") % 4 == 0, "other").otherwise("token_count"), "input_tokens", "output_tokens", F.col("total_tokens") % 100, F.when(F.col("total_tokens") % 3 == 0, 300).when(F.col("total_tokens") % 3 == 1, 10080).otherwise(43), F.col("total_tokens") % 977)
+    line = F.format_string('{"timestamp":"%s","payload":{"type":"%s","info":{"last_token_usage":{"input_tokens":%d,"output_tokens":%d}},"rate_limits":{"primary":{"used_percent":%d.5,"window_minutes":%d,"resets_in_seconds":%d},"secondary":{"used_percent":%s,"window_minutes":10080,"resets_at":%d}}}}', F.date_format(F.timestamp_seconds(F.expr("ts_us div 1000000")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("total_tokens") % 4 == 0, "other").otherwise("token_count"), "input_tokens", "output_tokens", F.col("total_tokens") % 100, F.when(F.col("total_tokens") % 3 == 0, 300).when(F.col("total_tokens") % 3 == 1, 10080).otherwise(43), F.col("total_tokens") % 977, F.when(F.col("total_tokens") % 5 == 0, "true").otherwise((F.col("total_tokens") % 50).cast("string")), F.col("total_tokens") + 1_700_000_000)
     rows = t.select(F.col("request_id").alias("file"), F.lit(0).alias("mtime"), F.col("message_id").cast("bigint").alias("pos"), line.alias("line"))
     events = files.rollout_events(rows)
-    block = files._reading(F.col("payload.rate_limits.primary"), files.iso_to_us(F.col("stamp")))
-    return events.select("pos", block.alias("r"), F.col("payload.info.last_token_usage.input_tokens").cast("bigint").alias("input_tokens")).where("r.kind IS NOT NULL").select("pos", "r.kind", "r.used", "r.resets_us", "input_tokens")
+    limits, at = F.col("payload.rate_limits"), files.iso_to_us(F.col("stamp"))
+    blocks = F.posexplode(F.array(files._reading(limits["primary"], at), files._reading(limits["secondary"], at))).alias("block", "r")
+    out = events.select("pos", F.col("payload.info.last_token_usage.input_tokens").cast("bigint").alias("input_tokens"), F.col("payload.info.last_token_usage.output_tokens").cast("bigint").alias("output_tokens"), blocks)
+    return out.where("r.kind IS NOT NULL").select("pos", "block", "r.kind", "r.used", "r.resets_us", "input_tokens", "output_tokens")
 
 
 @query
@@ -575,6 +598,17 @@ def dashboard_rows(spark, d):
     return rows.select(*KEYS, dashboard.used_cell(F.col("over"), F.col("cost")).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), dashboard.risk_cell(F.col("risk")).alias("risk_cell"), dashboard.eta_cell(F.col("p50"), F.col("p90"), F.col("sure"), F.col("risk"), none, none, F.col("work_us"), "UTC").alias("eta_cell"), dashboard.row_style().alias("style"))
 
 
+@query
+def dashboard_cells(spark, d):
+    """V1, V2, V4-V6: cells of the linear model's forecasts at every replayed moment."""
+    from burnline.plans import dashboard
+
+    lin = forecast.linear(*_replay(spark, d))
+    over, cost = burn.overage_tokens(F.col("used")), burn.overage_cost(F.col("used"), {"claude": PRICES["claude"]})
+    lin = lin.withColumn("burn_per_hour", r6("burn_per_hour"))  # sums in another order differ in the last place
+    return lin.select(*KEYS, dashboard.used_cell(over, cost).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), dashboard.row_style().alias("style"))
+
+
 @query
 def dashboard_mood(spark, d):
     """V5, V7: the mascot of each account over the latest moment's rows."""
@@ -585,7 +619,7 @@ def dashboard_mood(spark, d):
 
 @query
 def streaming_alerts(spark, d):
-    """The same alerts from a stream with keyed state; rows only."""
+    """The same alerts from a stream with keyed state."""
     from burnline.streaming.alerts import replay_stream
 
     return replay_stream(spark, forecast.linear(*_replay(spark, d)))

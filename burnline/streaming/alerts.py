@@ -12,8 +12,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from burnline.config import Thresholds
 from burnline.dims import SERIES
-from burnline.operators.alerts import alert_inputs
+from burnline.operators.alerts import alert_inputs, arming
 from burnline.storage import shared_folder
 
 OUT = "account string, provider string, kind string, alert string, fired_us bigint, used double"
@@ -23,20 +24,19 @@ STATE = "armed boolean, at double"
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
     """One key's ticks of a micro-batch, in time order, against its state (armed, reset at the last fire)."""
     armed, at = state.get if state.exists else (True, float("nan"))
-    ticks, fired = pd.concat(list(batches)).sort_values("now_us"), []
-    for t in ticks.itertuples():
-        advanced = not t.rolling and pd.notna(t.resets_us) and pd.notna(at) and t.resets_us > at + 1e6
-        armed = bool(armed or t.cleared or advanced)
-        if armed and t.condition:
-            armed, at = False, float("nan") if pd.isna(t.resets_us) else float(t.resets_us)
-            fired.append((*key, t.now_us, t.used))
-    state.update((armed, at))
-    yield pd.DataFrame(fired, columns=[*SERIES, "alert", "fired_us", "used"])
-
-
-def alert_stream(ticks: DataFrame) -> DataFrame:
+    held, fired = (armed, None if pd.isna(at) else at), []
+    for t in pd.concat(list(batches)).sort_values("now_us").to_dict("records"):
+        held, fires = arming(held, t | {"resets_us": None if pd.isna(t["resets_us"]) else t["resets_us"]})
+        if fires:
+            fired.append((*key, t["now_us"], t["used"]))
+    state.update((bool(held[0]), float("nan") if held[1] is None else float(held[1])))
+    if fired:
+        yield pd.DataFrame(fired, columns=[*SERIES, "alert", "fired_us", "used"])
+
+
+def alert_stream(ticks: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Alerts of a stream of ticks."""
-    rows = alert_inputs(ticks)
+    rows = alert_inputs(ticks, t)
     return rows.groupBy(*SERIES, "alert").applyInPandasWithState(fold, OUT, STATE, "append", "NoTimeout")
 
 

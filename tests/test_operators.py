@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,10 +105,9 @@ def test_block_anchor(spark):
     assert tokens.block_anchors(rows, ["account"], 5 * HOUR).first().anchor_us == NOW - HOUR
 
 
-def test_censored_percentile(spark):
-    df = spark.createDataFrame([([10.0, 20.0, 30.0] + [100.0] * 7,)], "o array<double>")
-    got = df.select(montecarlo.censored_percentile(F.col("o"), 0.5, F.lit(100.0)), montecarlo.censored_percentile(F.col("o"), 0.1, F.lit(100.0))).first()
-    assert got[0] is None and got[1] == 20.0
+def test_censored_percentile():
+    outcomes = np.array([10.0, 20.0, 30.0] + [100.0] * 7)
+    assert montecarlo.censored_percentile(outcomes, 0.5, 100.0) is None and montecarlo.censored_percentile(outcomes, 0.1, 100.0) == 20.0
 
 
 def test_truth_is_interpolated(spark):
@@ -187,12 +187,15 @@ def test_rpc_refuses_text(spark):
 def test_config(tmp_path):
     assert config.load_config(None) == config.Config()
     p = tmp_path / "c.toml"
-    for text, message in (("pol = 1", "unknown"), ("[thresholds]\nwarn_percent = 0", "warn_percent"), ("[working_hours]\nstart = '18:00'", "before end")):
+    for text, message in (("pol = 1", "unknown"), ("[thresholds]\nwarn_percent = -1", "warn_percent"), ("[working_hours]\nstart = '18:00'", "before end")):
         p.write_text(text)
         with pytest.raises(config.ConfigError, match=message):
             config.load_config(str(p))
     p.write_text(config.default_text())
     assert config.load_config(str(p)) == config.Config()
+    p.write_text("[thresholds]\nwarn_percent = 0")
+    assert config.load_config(str(p)).thresholds.warn_percent == 0
+    assert config.time_zone(config.Config(timezone="Europe/Rome")) == "Europe/Rome" and config.time_zone(config.Config())
 
 
 def test_nothing_else_imports_llm():
