@@ -63,6 +63,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(sizes.select("part", F.coalesce(before, F.lit(0)).alias("_before")), "part").select("doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids", "part")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of a few documents: files, stripes and row groups are passed over by their ranges and Bloom filters."""
+    return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def crc_of_ids(rows: DataFrame) -> DataFrame:
     """Replace `ids` by ids_crc32, the unsigned crc32 of the ids as little-endian 32-bit integers."""
     keep = [c for c in rows.columns if c != "ids"]
