@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,33 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+#: Paths made inside `scratch`, innermost last.
+_scratch: list[list[str]] = []
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path of its own below the shared folder; inside `scratch` it goes with it, unless it is to be kept."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what operators write to the shared folder inside: for results that have been written elsewhere by the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
