@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnline.llm.common import bound_batches, save, scan
+from burnline.llm.common import bound_batches, save, scan, scratch
 from burnline.llm.exact_dedup import exact_duplicates
 from burnline.llm.minhash import near_duplicates
 from burnline.llm.packing import pack
@@ -92,5 +92,6 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", n
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = save(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
