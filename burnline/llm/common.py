@@ -33,10 +33,10 @@ _scratch: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A path of its own below the shared folder; inside `scratch` it goes with it, unless it is to be kept."""
+    """A path of its own below the shared folder; inside `scratch` it goes with it, or (keep) with the one around it, if any."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return path
 
 
