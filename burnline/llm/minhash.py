@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnline.llm.common import arrow_schema, components, pieces, save, utf8
+from burnline.llm.common import arrow_schema, components, pieces, salt, save, scratch, utf8
 from burnline.llm.words import BLOCK, U, hashes, long_hashes, mix
 
 #: Words of a shingle; bins of a signature; bands of rows. At a similarity of 0.75 a pair misses all bands with odds of 1 to 3 in 10**5
@@ -51,6 +51,8 @@ KEY = ["n_shingles", "set_a", "set_b"]
 AGREE = 150
 #: Members of a bucket in a block; a task compares two blocks.
 SHARE = 10_000
+#: Shares of a component's classes.
+SALTS = 16
 
 
 def _draws() -> np.ndarray:
@@ -164,14 +166,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _across(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links that join components of one bucket: the members of block `low` meet those of block `high`."""
+        """Links that join components of one bucket: the members of block `low` meet those of block `high`, anchors only others."""
+        rows = rows.sort_values("anchor", kind="stable")
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
         rep, root, block = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["block"].to_numpy()
         size = np.array([len(x) // 4 for x in rows["brief"]])
-        values, flat = np.unique(np.frombuffer(b"".join(rows["brief"]), "<u4"), return_inverse=True)
-        ids, mark = np.split(flat, np.cumsum(size)[:-1]), np.zeros(len(values), np.int64)
+        ids = mark = None  # made once a pair agrees enough
         low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        left, right = np.flatnonzero((block == low) & ~rows["anchor"].to_numpy()), np.flatnonzero(block == high)
         src, dst = [], []
         for k, i in enumerate(left):
             at = right[k + 1 :] if low == high else right
@@ -179,6 +181,9 @@ def _across(percent: int):
             at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE] if len(at) else at
             if not len(at):
                 continue
+            if ids is None:
+                values, flat = np.unique(np.frombuffer(b"".join(rows["brief"]), "<u4"), return_inverse=True)
+                ids, mark = np.split(flat, np.cumsum(size)[:-1]), np.zeros(len(values), np.int64)
             mark[ids[i]] = 1
             both = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate([[0], np.cumsum(size[at])[:-1]]))
             mark[ids[i]] = 0
@@ -196,8 +201,18 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; `percent` below LEAST would lose links and is refused."""
     if percent < LEAST:
         raise ValueError(f"percent must be {LEAST} or more")
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
-    sketches = save(texts.mapInArrow(_sketch, SCHEMA), "sketches")
+    with scratch(spark):  # signatures and sets are no more needed when classes have their components
+        sketches = save(texts.mapInArrow(_sketch, SCHEMA), "sketches")
+        marks = save(sketches.select("doc_id", *KEY), "marks", keep=True)
+        named = save(_components(texts, sketches, percent), "named", keep=True)
+    out = marks.join(named, KEY, "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _components(texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(KEY, component_id) of every class of equal sets."""
     held = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*KEY).agg(F.min(F.struct("doc_id", "text_hash")).alias("top"), F.first("bands").alias("bands"))
     # A class's number is written once: it tells classes apart whatever their ids are.
     classes = save(held.select(F.monotonically_increasing_id().alias("rep"), *KEY, "top.doc_id", "top.text_hash", "bands"), "classes")
@@ -214,11 +229,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     links = save(_confirmed(stars, sets, percent), "links")
     comp = components(links)
     comp = save(_rest(members, sets, links, comp, percent), "components")
-    placed = classes.select(*KEY, "rep", "doc_id").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named_by = placed.join(least, "component").select(*KEY, "component_id")
-    out = sketches.select("doc_id", *KEY).join(named_by, KEY, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    # Classes of one component are dealt to shares first: a component may hold a good part of all classes.
+    placed = classes.select(*KEY, "rep", "doc_id").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("share", salt(SALTS, "rep"))
+    shares = placed.groupBy("component", "share").agg(F.min("doc_id").alias("least"))
+    least = shares.groupBy("component").agg(F.min("least").alias("component_id"))
+    return placed.join(shares.select("component", "share").join(least, "component"), ["component", "share"]).select(*KEY, "component_id")
 
 
 def _rest(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -227,13 +242,14 @@ def _rest(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
     blocks = lambda n: F.ceil(n / SHARE).cast("int")
-    mixed = mixed.select("bucket", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("anchors"), blocks(F.col("all") - F.col("top.n")).alias("others"))
-    # The blocks of a bucket: first the others, then those of the largest component, which only meet the others.
-    anchor, deal = F.col("component") == F.col("largest"), F.xxhash64("rep")
-    rows = placed.join(mixed, "bucket").withColumn("block", F.when(anchor, F.col("others") + F.pmod(deal, F.col("anchors"))).otherwise(F.pmod(deal, F.col("others"))).cast("int"))
-    met = F.sequence(F.lit(0), F.when(anchor, F.col("others") - 1).otherwise(F.col("others") + F.col("anchors") - 1))
-    rows = rows.select("bucket", "rep", "component", "block", F.explode(met).alias("other"))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
+    mixed = mixed.select("bucket", "all", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("anchors"), blocks(F.col("all") - F.col("top.n")).alias("others"))
+    # The blocks of a bucket: first the others, then those of the largest component, which only meet the others. A small bucket is one block.
+    anchor, deal, one = F.col("component") == F.col("largest"), F.xxhash64("rep"), F.col("all") <= SHARE
+    block = F.when(one, 0).when(anchor, F.col("others") + F.pmod(deal, F.col("anchors"))).otherwise(F.pmod(deal, F.col("others"))).cast("int")
+    rows = placed.join(mixed, "bucket").withColumn("block", block).withColumn("anchor", anchor)
+    met = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(anchor, F.col("others") - 1).otherwise(F.col("others") + F.col("anchors") - 1)))
+    rows = rows.select("bucket", "rep", "component", "block", "anchor", F.explode(met).alias("other"))
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block", "anchor")
     rows = rows.join(sets.select("rep", "brief", "signature"), "rep")
     more = rows.groupBy("bucket", "low", "high").applyInPandas(_across(percent), "src bigint, dst bigint")
     more = save(more.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "across")
