@@ -34,7 +34,7 @@ from burnline.llm.words import BASE, BLOCK, INVERSE, LOWER, SPACE, U, powers, pr
 #: Lengths of n-grams, buckets they hash into, size of a vector, words of a passage.
 GRAMS, BUCKET_BITS, SIZE, PASSAGE = (3, 4, 5, 6), 18, 8, 4
 #: The sample: labelled documents of either kind, and their bytes together; a document of any length may be among them.
-PER_LABEL, BUDGET = 1_200, 1 << 22
+PER_LABEL, BUDGET = 1_200, 3 << 20
 #: The sample has as many toxic as clean documents; this share of the log-odds to the labels' own ratio is put back.
 PRIOR = 0.5
 #: Rounds of training, of which the first use whole documents.
@@ -60,11 +60,11 @@ def _grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for n in GRAMS:
         m = len(raw) - n + 1
         if m <= 0:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.int32)))
             continue
         at = np.flatnonzero(inner[n - 1 : n - 1 + m] == inner[1 : 1 + m])  # no gap but at either end
         h = (total[at + n] - total[at]) * back[at]
-        out.append((at, ((h ^ (h >> U(29))) * U(BASE) >> U(64 - BUCKET_BITS)).astype(np.int64)))
+        out.append((at.astype(np.int32), ((h ^ (h >> U(29))) * U(BASE) >> U(64 - BUCKET_BITS)).astype(np.int32)))
     return s, e, out
 
 
