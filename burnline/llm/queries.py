@@ -79,6 +79,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(docs, learn(docs))
 
 
+def op11_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.streambpe import round_trip_digests
+
+    return round_trip_digests(scan(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.phrases import collocations
+
+    return collocations(scan(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burnline.llm.filter_audit import audit
+
+    return audit(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_shards": op2_shards,
@@ -90,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_duplicates": op9_exact_duplicates,
     "op10_secrets": op10_secrets,
+    "op11_streaming_bpe": op11_streaming_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,4 +140,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        said AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT)
+                + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > least, false) AS INT) AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN said ON said.doc_id = w.doc_id),
+        h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+        l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(c, bit)),
+        o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, step, list_sum(list_transform(range(1, step), lambda i: CAST(1 << (ascii(substr(filter_order, i, 1)) - 65) AS INT))) AS before, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit FROM o, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INT) AS step)),
+        c AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (coalesce(before, 0)::BIGINT | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM h, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c""",
 }

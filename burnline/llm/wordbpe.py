@@ -5,7 +5,8 @@ text's ids are those of its runs between spaces, one after the other. Printable
 ASCII runs, and letters with punctuation after them, are cut by the vocabulary's
 own pattern; others by the library's normaliser and pre-tokeniser. The library's
 model encodes each piece. A run that holds an added token's text goes to the
-library's encoder whole."""
+library's encoder whole. No run is cut before its normal form is known: a letter
+may become a letter and a mark, and a mark belongs to the punctuation after it."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 
@@ -37,6 +38,19 @@ def byte_letters() -> dict[int, str]:
 LETTER_OF_BYTE = byte_letters()
 
 
+def ends_plainly(c: str) -> bool:
+    """Whether a character's lower-case normal form ends in a letter or digit."""
+    return c.isalnum() and (c.isascii() or normalize("NFC", c).lower()[-1].isalnum())
+
+
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
 class Runs(dict):
     """Run of text -> its ids as little-endian 32-bit bytes. Two generations of `limit` runs of at most LONGEST characters bound the memory."""
 
@@ -51,14 +65,15 @@ class Runs(dict):
 
     def pack(self, piece: str) -> bytes:
         """Ids of one pre-token in the byte-level alphabet."""
-        ids = array("I", [t.id for t in self.tokenize(piece)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return little([t.id for t in self.tokenize(piece)])
+
+    def marked(self, run: str) -> bytes:
+        """Ids of a run that holds an added token's text."""
+        return np.array(self.tok.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def fresh(self, run: str) -> bytes:
         if "<|" in run and any(a in run for a in self.added):
-            return np.array(self.tok.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.marked(run)
         if run.isascii() and run.isprintable():
             cut = ASCII.findall(run.lower())
             return self.kept(run, self.pack(cut[0])) if len(cut) == 1 else self.kept(run, b"".join(map(self.__getitem__, cut)))
@@ -83,7 +98,7 @@ class Runs(dict):
         got = self.old.get(run)
         if got is not None:
             return self.kept(run, got)
-        if run[-1:] in ENDS and run[-2:-1].isalnum() and "<|" not in run and "Σ" not in run:
+        if run[-1:] in ENDS and ends_plainly(run[-2:-1]) and "<|" not in run and "Σ" not in run:
             return self.kept(run, self[run[:-1]] + self[run[-1]])
         return self.fresh(run)
 
