@@ -155,4 +155,18 @@ ORACLE_SQL: dict[str, str] = {
                 sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM h, s GROUP BY ALL)
         SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
             (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c""",
+    "op12_phrases": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(k))),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM f WHERE k > 1),
+        cuts AS (SELECT c.lang, c.k, c.phrase, c.f, i, array_to_string(w[1:i], ' ') AS p1, array_to_string(w[i + 1:], ' ') AS p2 FROM c, (VALUES (1), (2), (3)) x(i) WHERE i < c.k),
+        scored AS (SELECT cuts.lang, cuts.phrase, cuts.f, i, a.f AS l, b.f AS r, (2000000::HUGEINT * cuts.f) // (a.f + b.f) AS score FROM cuts JOIN f a ON a.lang = cuts.lang AND a.phrase = p1 JOIN f b ON b.lang = cuts.lang AND b.phrase = p2),
+        best AS (SELECT lang, phrase, any_value(f) AS a, arg_min({'l': l, 'r': r, 'score': score}, score::HUGEINT * 10 + i) AS s FROM scored GROUP BY lang, phrase),
+        held AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS most FROM c, (VALUES (2), (3)) x(n), (VALUES (1), (2), (3)) y(i) WHERE n < k AND i + n - 1 <= k GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN held ON held.lang = best.lang AND held.phrase = best.phrase WHERE coalesce(100::HUGEINT * most < 80::HUGEINT * a, true)),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, encode(phrase)) AS rank, phrase, a, s FROM kept)
+        SELECT ranked.lang, rank, phrase, a, s.l::BIGINT AS l, s.r::BIGINT AS r, n, s.score::BIGINT AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000""",
 }
