@@ -192,12 +192,10 @@ def failures(docs: DataFrame) -> DataFrame:
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask (all five filters), n, good and toxic: documents by what they fail."""
     said = lambda c: F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(c)
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(said("quality"), said("toxic"))
-    # Repeated rows become one before rows are dealt by doc_id, which may be anything's; those without one don't join.
+    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").cast("string").alias("_of")).agg(said("quality"), said("toxic"))
+    # Repeated rows become one before rows are dealt by doc_id, which may be anything's; those without one are dealt by their digests and find no label.
     rows = failures(docs).groupBy("doc_id", "digest", "part", "fails").agg(F.count(F.lit(1)).alias("n"))
-    named = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left")
-    nameless = rows.where("doc_id IS NULL").withColumn("quality", F.lit(0)).withColumn("toxic", F.lit(0))
-    rows = named.unionByName(nameless).na.fill(0, ["quality", "toxic"])
+    rows = rows.withColumn("_of", F.coalesce(F.col("doc_id").cast("string"), F.hex("digest"))).join(known, "_of", "left").na.fill(0, ["quality", "toxic"])
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first")
     copies = rows.groupBy("digest", "part", "fails", "quality", "toxic").agg(F.sum("n").alias("n"), first, F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("nameless"))
     least = F.min("first.doc_id").over(Window.partitionBy("digest"))  # a text has a row for each part and kind of label

@@ -92,7 +92,8 @@ def _parts(text: bytes) -> Iterator[bytes]:
         b = text.find(b"\n", a + READ) + 1 or len(text)
         yield text[a:b]
         a = b
-    yield text[a:]
+    if a < len(text):
+        yield text[a:]
 
 
 def _shards(limit: int):
@@ -210,7 +211,7 @@ def dealt(columns: list[np.ndarray], keys: int, buckets: int) -> list[tuple[int,
     order = np.lexsort((*columns[keys - 1 :: -1], bucket))
     bucket, rows = bucket[order], [c[order] for c in columns]
     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[x]), int(y - x), squeeze([c[x:y] for c in rows])) for x, y in zip(heads, np.append(heads[1:], len(bucket)), strict=True)]
+    return [(int(bucket[x]), int(y - x), squeeze([c[x:y] for c in rows])) for x, y in zip(heads, np.append(heads[1:], len(bucket)), strict=False)]  # heads may be none
 
 
 def _shard(shard: pa.Table, lists: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -53,12 +53,11 @@ class Merges:
         self.ranks: dict[tuple[int, int], int] = {}
         self.wholes = [vocab[a + b] for a, b in self.merges]
         for rank, (a, b) in enumerate(self.merges):
-            if a + b in made or a.endswith(END) or any(x in made and made[x] >= rank for x in (a, b)):
-                raise ValueError(f"merge {rank} ({a} {b}) has a token of two merges, or a part that comes later")
+            later = any(len(x.removesuffix(END)) > 1 and x not in made for x in (a, b))
+            if a + b in made or a.endswith(END) or later:
+                raise ValueError(f"merge {rank} ({a} {b}) has a token of two merges, or a part that isn't made before")
             made[a + b] = rank
             self.ranks[vocab[a], vocab[b]] = rank
-        if any(x not in made and len(x.removesuffix(END)) > 1 for m in self.merges for x in m):
-            raise ValueError("a part of a merge is neither a symbol nor merged before")
         self.made = made
 
     @cached_property

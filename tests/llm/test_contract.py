@@ -9,7 +9,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_filter_audit import audit_brute, result
 from test_llm import near_brute
+from test_phrases import phrases_brute, rows_of
 
 from burnline.llm import queries, sharding, token_files
 
@@ -24,12 +26,16 @@ TYPES = {
     "op8_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op9_exact_duplicates": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
     "op10_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op11_streaming_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op12_phrases": {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"},
+    "op13_filter_audit": {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint", "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"},
 }
 BASE = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam"
 DOCS = [
     (1, BASE), (2, BASE), (3, BASE + " erat"), (4, None), (5, ""), (6, "   "), (7, "one two"), (7, "one two"), (7, "other text under one id"),
     (8, 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and AKIA' + "A1B2" * 5 + " é secret: hunter22"), (9, "漢字 é 😀 <|endoftext|> " * 30),
     (10, "word " * 9000 + "Tail"), (11, "x" * 90_000), (12, "mixed CASE Text\twith\ntabs \x0b and \u00a0 spaces"), (13, "AKIA" + "Z" * 30 + " PassWord='abcdef' api-key:1234567 0123456789abcdef01234567"), (None, BASE), (14, "you stupid idiot"),
+    (15, "BİZİ, KİŞİ."), (16, "İ. Kİ; aक़,"), (17, "one two three. " * 40),
 ]
 
 
@@ -37,7 +43,7 @@ DOCS = [
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("hard"))
     more = lambda df: df.withColumn("row", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("kept", F.lit(True))
-    more(spark.createDataFrame(DOCS, "doc_id bigint, text string")).withColumn("lang", F.lit("en")).write.parquet(f"{d}/documents.parquet")
+    more(spark.createDataFrame(DOCS, "doc_id bigint, text string")).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).write.parquet(f"{d}/documents.parquet")
     labels = [(i, 0, int(i == 14)) for i in (1, 2, 3, 7, 10, 12, 14)] + [(None, 1, 1), (3, None, None)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     vectors = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [0.0, 1.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1)]
@@ -69,7 +75,7 @@ def test_names_and_types(ran, name):
     assert {c: have.get(c) for c in TYPES[name]} == TYPES[name]
 
 
-@pytest.mark.parametrize("name", [n for n in TYPES if n not in ("op3_embedding_near_duplicates", "op5_packing", "op6_warc")])
+@pytest.mark.parametrize("name", [n for n in TYPES if n not in ("op3_embedding_near_duplicates", "op5_packing", "op6_warc", "op12_phrases", "op13_filter_audit")])
 def test_one_row_a_document(ran, name):
     key = lambda x: -1 if x is None else x
     assert sorted((r.doc_id for r in ran[name].collect()), key=key) == sorted((d for d, _ in DOCS), key=key)
@@ -174,6 +180,25 @@ def test_secrets(ran):
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
+def test_streaming_bpe(ran, tokenizer):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for _, t in DOCS:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want.append((len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tokenizer.decode(ids, skip_special_tokens=False).encode())))
+    assert sorted(tuple(r) for r in ran["op11_streaming_bpe"].select("n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
+
+
+def test_phrases(ran):
+    want = phrases_brute([("en", t) for _, t in DOCS])
+    assert want and rows_of(ran["op12_phrases"]) == want
+
+
+def test_filter_audit(ran):
+    labels = [(i, 0, int(i == 14)) for i in (1, 2, 3, 7, 10, 12, 14)]
+    assert result(ran["op13_filter_audit"].collect()) == audit_brute([(d, "s", t) for d, t in DOCS], labels)
+
+
 def test_a_document_is_found_by_the_files_indexes(spark, tmp_path):
     """Row groups whose range or Bloom filter rules a doc_id out aren't read."""
     path = str(tmp_path / "tokens")
