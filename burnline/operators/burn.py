@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from burnline.dims import DURATION_US, EXHAUSTED, HOUR, LOOKBACK_US, MIN_CALIBRATION, PARTS, by_kind
 from burnline.operators.lookups import as_of_each
 from burnline.operators.tokens import by_moment, running_anchors
 
+#: Look-backs in a span of time that slopes are fitted within.
+SPAN = 4
 
 
 def running_tokens(tokens: DataFrame) -> DataFrame:
@@ -66,24 +75,94 @@ def percent_per_token() -> Column:
     return F.when(ok, rise / F.col("span_tokens"))
 
 
-def with_slope(facts: DataFrame) -> DataFrame:
-    """`facts` with slope, percent per hour: the median of slopes between rows a quarter of the fit apart (0.0 without
-    any), and fit_rows, how many rows of the block it is fitted to: those within the lookback (near), or the last two."""
-    near = F.filter("near", lambda x: x["ts_us"] >= F.col("block_us"))
-    out = facts.withColumn("_rows", near).withColumn("_rows", F.when(F.size("_rows") >= 2, F.col("_rows")).otherwise(F.col("last_rows")))
-    out = out.withColumn("fit_rows", F.size("_rows")).withColumn("_k", F.expr("CAST(greatest(1, size(_rows) div 4) AS INT)"))
-    out = out.withColumn("_pairs", F.arrays_zip(F.slice("_rows", F.lit(1), F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("a"), F.slice("_rows", F.col("_k") + 1, F.greatest(F.col("fit_rows") - F.col("_k"), F.lit(0))).alias("b")))
-    rise = F.transform("_pairs", lambda p: F.when(p["b"]["ts_us"] > p["a"]["ts_us"], (p["b"]["used"] - p["a"]["used"]) / ((p["b"]["ts_us"] - p["a"]["ts_us"]) / F.lit(float(HOUR)))))
-    out = out.withColumn("_slopes", F.sort_array(F.filter(rise, lambda s: s.isNotNull()))).withColumn("_half", F.expr("CAST(size(_slopes) div 2 AS INT)"))
-    odd = F.size("_slopes") % 2 == 1
-    middle = F.when(F.size("_slopes") == 0, 0.0).when(odd, F.expr("_slopes[_half]")).otherwise(F.expr("(try_element_at(_slopes, greatest(_half, 1)) + try_element_at(_slopes, _half + 1)) / 2"))
-    return out.withColumn("slope", middle).drop("_rows", "_k", "_pairs", "_slopes", "_half", "near", "last_rows")
-
-
-def live_rate(facts: DataFrame, lookback: dict[str, int] = LOOKBACK_US) -> DataFrame:
+def median_slope(t: np.ndarray, u: np.ndarray) -> float:
+    """Percent per hour: the median of slopes between rows a quarter of the fit apart; 0.0 without any."""
+    k = max(1, len(t) // 4)
+    hours, rise = (t[k:] - t[:-k]) / float(HOUR), u[k:] - u[:-k]
+    ok = (hours > 0) & ~np.isnan(rise)
+    slopes = rise[ok] / hours[ok]
+    if not len(slopes):
+        return 0.0
+    half = len(slopes) // 2
+    if len(slopes) % 2:
+        return float(np.partition(slopes, half)[half])
+    low, high = np.partition(slopes, (half - 1, half))[half - 1 : half + 1]
+    return float((low + high) / 2)
+
+
+def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The rows of a batch that differ from the row before in any of the columns; the first row does."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = True
+    for name in names:
+        a, b = batch.column(name)[1:], batch.column(name)[:-1]
+        differ = pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_valid(a), pc.is_valid(b)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(out)
+
+
+def _sliding(keys: list[str], schema: pa.Schema):
+    """Readings and moments of a key in order of time to each moment's fit; holds the readings of one look-back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t, u = None, np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = lambda i: tuple(b.column(k)[i].as_py() for k in keys)  # noqa: B023, E731
+            time, used, block, back, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "used", "block_us", "_back", "_asks"))
+            heads = _changes(b, keys)
+            rows, fits, slopes = [], [], []
+            for i, j in zip(heads, [*heads[1:], b.num_rows], strict=True):
+                if i or at(0) != last:
+                    t, u = t[:0], u[:0]
+                asking = asks[i:j]
+                seen = len(t) + np.cumsum(~asking)
+                t, u = np.concatenate([t, time[i:j][~asking]]), np.concatenate([u, used[i:j][~asking]])
+                ask = np.flatnonzero(asking)
+                first = np.searchsorted(t, np.maximum(time[i:j][ask] - back[i:j][ask], block[i:j][ask]))
+                for m, lo, hi in zip(ask + i, first, seen[ask], strict=True):
+                    rows.append(m)
+                    fits.append(max(int(hi - lo), 0))
+                    slopes.append(median_slope(t[lo:hi], u[lo:hi]) if hi - lo >= 2 else 0.0)
+                gone = np.searchsorted(t, time[j - 1] - back[j - 1])
+                t, u = t[gone:], u[gone:]
+            last = at(b.num_rows - 1)
+            cols = [b.column(f.name).take(pa.array(rows, pa.int64())) for f in list(schema)[:-2]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fits, pa.int32()), pa.array(slopes, pa.float64())], schema=schema)
+
+    return run
+
+
+def with_slope(facts: DataFrame, readings: DataFrame, keys: list[str], lookback: dict[str, int] = LOOKBACK_US) -> DataFrame:
+    """`facts` (one row for each of `keys` and now_us) with slope, percent per hour, and fit_rows, how many rows of the
+    block it is fitted to: those of the look-back, or the last two where it holds fewer.
+
+    Readings and moments slide through a task in order of time; nothing of them is gathered in rows. Time is cut into
+    spans of some look-backs, and a reading goes along to the next span where that reaches back to it, so a hot series
+    is dealt to many tasks."""
+    back, span = by_kind(lookback), by_kind({k: SPAN * v for k, v in lookback.items()})
+    place = lambda t: F.floor(t / span).cast("bigint")
+    none = F.lit(None).cast("bigint")
+    seen = readings.select(*keys, F.col("ts_us").alias("_t"), F.col("used").cast("double").alias("used"), F.lit(False).alias("_asks"), none.alias("now_us"), none.alias("block_us"))
+    seen = seen.withColumn("_span", F.explode(F.sequence(place(F.col("_t")), place(F.col("_t") + back))))
+    asks = facts.select(*keys, F.col("now_us").alias("_t"), F.lit(None).cast("double").alias("used"), F.lit(True).alias("_asks"), "now_us", F.col("block_us").cast("bigint").alias("block_us")).withColumn("_span", place(F.col("_t")))
+    both = seen.unionByName(asks).withColumn("block_us", F.coalesce("block_us", F.lit(0))).withColumn("_back", back)
+    dealt = both.repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", "_t", "_asks")
+    schema = StructType([f for f in asks.schema.fields if f.name in (*keys, "now_us")] + StructType.fromDDL("_fit int, _slope double").fields)
+    fits = dealt.mapInArrow(_sliding([*keys, "_span"], to_arrow_schema(schema)), schema)
+    last, two = F.col("last_rows"), F.size("last_rows") == 2
+    a, b = F.try_element_at(last, F.lit(1)), F.try_element_at(last, F.lit(2))
+    of_two = F.when(two & (b["ts_us"] > a["ts_us"]), (b["used"] - a["used"]) / ((b["ts_us"] - a["ts_us"]) / F.lit(float(HOUR))))
+    out = facts.join(fits, [*keys, "now_us"])
+    out = out.withColumn("slope", F.when(F.col("_fit") >= 2, F.col("_slope")).otherwise(F.coalesce(of_two, F.lit(0.0))))
+    return out.withColumn("fit_rows", F.when(F.col("_fit") >= 2, F.col("_fit")).otherwise(F.size("last_rows"))).drop("_fit", "_slope", "last_rows")
+
+
+def live_rate(facts: DataFrame, readings: DataFrame, keys: list[str], lookback: dict[str, int] = LOOKBACK_US) -> DataFrame:
     """`facts` with ratio, slope, token_rate, burn (the live rate), basis and n_rate; burn is null below two block rows."""
     hours = by_kind(lookback) / F.lit(float(HOUR))
-    out = with_slope(facts.withColumn("ratio", percent_per_token()))
+    out = with_slope(facts.withColumn("ratio", percent_per_token()), readings, keys, lookback)
     out = out.withColumn("token_rate", F.col("ratio") * F.coalesce(F.col("recent_tokens"), F.lit(0)) / hours)
     by_tokens = F.col("token_rate").isNotNull() & ((F.col("token_rate") > 0) | (F.col("slope") <= 0))
     enough = F.col("n_block") >= 2

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import lcm
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,17 +72,6 @@ def block_facts(found: DataFrame, retention_us: int) -> DataFrame:
     return out.withColumn("boundary_us", (F.col("before_us") + F.col("started_us")) / 2).drop("cur", "old")
 
 
-def with_near(origins: DataFrame, samples: DataFrame, keys: list[str], lookback: dict[str, int]) -> DataFrame:
-    """`origins` with near: the readings of the kind's lookback up to now_us, in order.
-
-    Time is stretched so that all kinds have lookbacks of one length: a frame of that length then slides over readings and origins."""
-    length = lcm(*lookback.values())
-    rows = samples.select(*keys, F.col("ts_us").alias("_t"), F.struct("ts_us", "used").alias("_row")).unionByName(origins.withColumn("_t", F.col("now_us")), allowMissingColumns=True)
-    rows = rows.withColumn("_t", F.col("_t") * by_kind({k: length // v for k, v in lookback.items()}))
-    near = F.collect_list("_row").over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(-length, 0))
-    return rows.withColumn("near", near).where("now_us is not null").drop("_t", "_row")
-
-
 def derived_reset(anchor: Column, token_after: Column, any_tokens: Column) -> Column:
     """The reset (micros, double) of a reading that gives none; see the decision table in the survey."""
     dur, now, edge = by_kind(DURATION_US), F.col("now_us"), F.col("boundary_us")

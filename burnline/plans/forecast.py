@@ -17,19 +17,21 @@ from burnline.storage import settle
 KEYS = [*SERIES, "now_us"]
 
 
-def facts(samples: DataFrame, tokens: DataFrame, origins: DataFrame, settings: Predictor = Predictor()) -> DataFrame:
+def facts(samples: DataFrame, tokens: DataFrame, origins: DataFrame, settings: Predictor = Predictor(), near: DataFrame | None = None) -> DataFrame:
     """One row for each origin: its reading, block, boundary, token sums, reset (given or derived) and live rate.
 
     What a series has come to by each reading is computed once; an origin looks it up as of its moment and as of
-    retention before it. Only the readings of the short lookback are gathered, for the slope. Work follows readings,
-    tokens and origins, not their product."""
+    retention before it. Only the readings of the short lookback slide past it for the slope; `near` are those of
+    `samples` that any origin's lookback holds, where the caller knows. Work follows readings, tokens and origins,
+    not their product."""
     kept, lookback = settings.retention_us(), settings.lookback_us()
     probes = {"cur": F.col("now_us"), "old": F.col("now_us") - kept}
     found = as_of_each(origins, KEYS, cycles.running_state(samples, SERIES), SERIES, probes, cycles.STATE)
-    out = cycles.block_facts(found, kept).join(cycles.with_near(origins, samples, SERIES, lookback), KEYS)
+    out = cycles.block_facts(found, kept).join(origins, KEYS)
     out = burn.token_facts(out, tokens, KEYS, lookback)
     derived = cycles.derived_reset(F.col("anchor_us"), F.col("token_after_us"), F.col("n_tokens").isNotNull())
-    return burn.live_rate(out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived)), lookback)
+    out = out.withColumn("resets_us", F.coalesce(F.col("given_us").cast("double"), derived))
+    return burn.live_rate(out, samples if near is None else near, SERIES, lookback)
 
 
 def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnline import config
-from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, SERIES, by_kind
+from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, LOOKBACK_US, SERIES, by_kind
 from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, projection, scoring, store, tokens
 from burnline.plans import forecast
 from burnline.plans.forecast import KEYS
@@ -39,6 +39,13 @@ def _live(spark: SparkSession, d: str):
     return s, t, adapters.live_origins(s, adapters.latest_moment(t))
 
 
+def _live_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts at the latest moment; slopes slide over its look-backs alone."""
+    s, t, o = _live(spark, d)
+    now = F.broadcast(adapters.latest_moment(t).withColumnRenamed("now_us", "_now"))  # one row
+    return forecast.facts(s, t, o, near=s.crossJoin(now).where(F.col("ts_us") >= F.col("_now") - max(LOOKBACK_US.values())).drop("_now"))
+
+
 def _replay(spark: SparkSession, d: str):
     s, t = _tables(spark, d)
     return s, t, adapters.replay_origins(s)
@@ -140,7 +147,7 @@ def derive_resets_at(spark, d):
 @query
 def level_in_cycle(spark, d):
     """R9, R10 at the latest moment."""
-    f = forecast.facts(*_live(spark, d))
+    f = _live_facts(spark, d)
     return f.select(*SERIES, cycles.rate_is_stale().alias("stale"), cycles.level_still_in_cycle(F.col("resets_us")).alias("in_cycle"))
 
 
@@ -181,7 +188,7 @@ def _linear_columns(f: DataFrame) -> DataFrame:
 @query
 def burn_forecast_linear(spark, d):
     """Every series at the latest moment."""
-    return _linear_columns(forecast.linear(*_live(spark, d)))
+    return _linear_columns(projection.linear(_live_facts(spark, d)))
 
 
 @query
@@ -367,16 +374,16 @@ def reliability_table_linear(spark, d):
 @query
 def hour_of_week_profile(spark, d):
     """M1-M7 at the latest moment."""
-    s, t, o = _live(spark, d)
-    f = montecarlo.with_horizon(settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")))
+    s, t, _ = _live(spark, d)
+    f = montecarlo.with_horizon(settle(_live_facts(spark, d)).withColumn("live", F.col("burn")))
     return montecarlo.profile(f, s, t).select(*KEYS, "bucket", "n", r6("mean_burn").alias("mean_burn"))
 
 
 @query
 def mc_forecast(spark, d):
     """Every series at the latest moment, RUNS futures each."""
-    s, t, o = _live(spark, d)
-    return _mc_columns(forecast.montecarlo_forecast(s, t, o, RUNS))
+    s, t, _ = _live(spark, d)
+    return _mc_columns(montecarlo.montecarlo(settle(_live_facts(spark, d)), s, t, KEYS, RUNS))
 
 
 @query
@@ -393,8 +400,8 @@ def _mc_columns(f: DataFrame) -> DataFrame:
 @query
 def mc_outcomes(spark, d):
     """The futures themselves, of every series at the latest moment."""
-    s, t, o = _live(spark, d)
-    f = montecarlo.with_horizon(settle(forecast.facts(s, t, o)).withColumn("live", F.col("burn")))
+    s, t, _ = _live(spark, d)
+    f = montecarlo.with_horizon(settle(_live_facts(spark, d)).withColumn("live", F.col("burn")))
     return montecarlo.simulate(f, s, t, RUNS).select(*KEYS, "run", F.round("outcome_h", 4).alias("outcome_h"), F.round("level", 4).alias("level"))
 
 
