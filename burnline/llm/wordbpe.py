@@ -39,8 +39,8 @@ LETTER_OF_BYTE = byte_letters()
 
 
 def ends_plainly(c: str) -> bool:
-    """Whether a character's lower-case normal form ends in a letter or digit."""
-    return c.isalnum() and (c.isascii() or normalize("NFC", c).lower()[-1].isalnum())
+    """Whether the lower-case normal form of a letter or digit ends in one."""
+    return normalize("NFC", c).lower()[-1].isalnum()
 
 
 def little(ids: list[int]) -> bytes:
@@ -98,7 +98,7 @@ class Runs(dict):
         got = self.old.get(run)
         if got is not None:
             return self.kept(run, got)
-        if run[-1:] in ENDS and ends_plainly(run[-2:-1]) and "<|" not in run and "Σ" not in run:
+        if run[-1:] in ENDS and (c := run[-2:-1]).isalnum() and (c.isascii() or ends_plainly(c)) and "<|" not in run and "Σ" not in run:
             return self.kept(run, self[run[:-1]] + self[run[-1]])
         return self.fresh(run)
 
