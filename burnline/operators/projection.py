@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnline.dims import DENSE_US, DURATION_US, HOUR, STALE_US, by_kind
+from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, STALE_US, by_kind
+from burnline.functions.times import clock_us, day_of, instant_us, weekday_of
 from burnline.operators.cycles import rate_is_stale
 
 
@@ -13,10 +14,7 @@ def wall_clock(now_us: Column, hours: Column, tz: str) -> Column:
     """now + hours on the zone's wall clock, in epoch micros: a day is 24 clock hours whatever the season does.
 
     ETAs follow the clock on the wall, as calendar arithmetic within one zone does."""
-    utc = F.timestamp_micros(now_us.cast("bigint"))
-    local = F.from_utc_timestamp(utc, tz)
-    later = F.timestamp_micros(F.unix_micros(local) + F.round(hours * HOUR).cast("bigint"))
-    return F.unix_micros(F.to_utc_timestamp(later, tz))
+    return instant_us(clock_us(now_us, tz) + F.round(hours * HOUR).cast("bigint"), tz)
 
 
 def confidence(n: Column, coverage: Column | None = None) -> Column:
@@ -61,19 +59,18 @@ def work_hours_eta(rows: DataFrame, keys: list[str], tz: str, start_h: float, en
     in order; the first interval that covers the budget holds the answer."""
     if not enabled:
         return rows.withColumn("work_us", F.col("eta_us"))
-    local = F.from_utc_timestamp(F.timestamp_micros(F.col("now_us")), tz)
-    end_local = F.from_utc_timestamp(F.timestamp_micros(F.col("horizon_us").cast("bigint")), tz)
-    day = F.explode(F.sequence(F.to_date(local), F.to_date(end_local)))
-    d = rows.where("hours IS NOT NULL").select(*keys, "hours", "now_us", F.unix_micros(local).alias("from_us"), day.alias("day"))
-    midnight = F.unix_micros(F.col("day").cast("timestamp"))
+    clock = clock_us(F.col("now_us"), tz)
+    day = F.explode(F.sequence(day_of(clock), day_of(clock_us(F.col("horizon_us"), tz))))
+    d = rows.where("hours IS NOT NULL").select(*keys, "hours", "now_us", clock.alias("from_us"), day.alias("day"))
+    midnight = F.col("day").cast("bigint") * DAY
     a, b = F.greatest(midnight + int(start_h * HOUR), F.col("from_us")), midnight + int(end_h * HOUR)
-    d = d.where(F.weekday("day").isin(*days)).select(*keys, "hours", "from_us", a.alias("a"), b.alias("b")).where("b > a")
+    d = d.where(weekday_of(midnight).isin(*days)).select(*keys, "hours", "from_us", a.alias("a"), b.alias("b")).where("b > a")
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("a")
     d = d.withColumn("upto", F.sum(F.col("b") - F.col("a")).over(w)).withColumn("need", F.round(F.col("hours") * HOUR).cast("bigint"))
     hit = d.where("upto >= need AND need > 0").withColumn("at", F.col("b") - (F.col("upto") - F.col("need"))).groupBy(*keys).agg(F.min("at").alias("at"))
-    at = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("at")), tz))
+    at = instant_us(F.col("at"), tz)
     out = rows.join(hit, keys, "left").withColumn("work_us", F.when(F.col("hours") <= 0, F.col("now_us")).otherwise(at))
     return out.withColumn("work_us", F.when(F.col("work_us") < F.col("horizon_us"), F.col("work_us"))).drop("at")
 

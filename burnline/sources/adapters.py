@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burnline.dims import DURATION_US, SERIES
+from burnline.functions.times import naive_us
 
 LIMIT_SHARE = 0.6
 
@@ -22,7 +23,7 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "claude").otherwise("codex").alias("provider"),
         F.col("user_id").cast("string").alias("request_id"),
         F.col("event_id").cast("string").alias("message_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        naive_us(F.col("ts")).alias("ts_us"),
         F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
         tokens.alias("t"),
     )
