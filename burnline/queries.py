@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burnline import config
 from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, LOOKBACK_US, SERIES, by_kind
+from burnline.functions.times import utc_text
 from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, projection, scoring, store, tokens
 from burnline.plans import forecast
 from burnline.plans.forecast import KEYS
@@ -533,7 +534,7 @@ def transcript_tokens(spark, d):
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n\\t\\r]+"), lambda w: w != ""))
     usage = F.struct(words.alias("output_tokens"), F.col("turn").alias("input_tokens"), F.when(F.col("turn") % 2 == 0, F.col("conv_id")).alias("cache_read_input_tokens"))
     message = F.struct(F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")).alias("id"), "role", F.lit("x").alias("model"), F.when(F.col("turn") % 5 != 4, usage).alias("usage"))
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 60 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = utc_text(F.lit(1_704_067_200) + F.col("conv_id") * 60 + F.col("turn"))
     line = F.when(F.col("conv_id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct(stamp.alias("timestamp"), F.col("conv_id").cast("string").alias("requestId"), message.alias("message"))))
     return files.transcript_token_events(t.select(F.lit("f").alias("file"), F.lit(0).alias("mtime"), F.col("turn").cast("bigint").alias("pos"), line.alias("line")))
 
@@ -559,7 +560,7 @@ def rollout_blocks(spark, d):
     from burnline.sources import files
 
     t = adapters.token_events(spark, d)
-    line = F.format_string('{"timestamp":"%s","payload":{"type":"%s","info":{"last_token_usage":{"input_tokens":%d,"output_tokens":%d}},"rate_limits":{"primary":{"used_percent":%d.5,"window_minutes":%d,"resets_in_seconds":%d},"secondary":{"used_percent":%s,"window_minutes":10080,"resets_at":%d}}}}', F.date_format(F.timestamp_seconds(F.expr("ts_us div 1000000")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("total_tokens") % 4 == 0, "other").otherwise("token_count"), "input_tokens", "output_tokens", F.col("total_tokens") % 100, F.when(F.col("total_tokens") % 3 == 0, 300).when(F.col("total_tokens") % 3 == 1, 10080).otherwise(43), F.col("total_tokens") % 977, F.when(F.col("total_tokens") % 5 == 0, "true").otherwise((F.col("total_tokens") % 50).cast("string")), F.col("total_tokens") + 1_700_000_000)
+    line = F.format_string('{"timestamp":"%s","payload":{"type":"%s","info":{"last_token_usage":{"input_tokens":%d,"output_tokens":%d}},"rate_limits":{"primary":{"used_percent":%d.5,"window_minutes":%d,"resets_in_seconds":%d},"secondary":{"used_percent":%s,"window_minutes":10080,"resets_at":%d}}}}', utc_text(F.expr("ts_us div 1000000")), F.when(F.col("total_tokens") % 4 == 0, "other").otherwise("token_count"), "input_tokens", "output_tokens", F.col("total_tokens") % 100, F.when(F.col("total_tokens") % 3 == 0, 300).when(F.col("total_tokens") % 3 == 1, 10080).otherwise(43), F.col("total_tokens") % 977, F.when(F.col("total_tokens") % 5 == 0, "true").otherwise((F.col("total_tokens") % 50).cast("string")), F.col("total_tokens") + 1_700_000_000)
     rows = t.select(F.col("request_id").alias("file"), F.lit(0).alias("mtime"), F.col("message_id").cast("bigint").alias("pos"), line.alias("line"))
     events = files.rollout_events(rows)
     limits, at = F.col("payload.rate_limits"), files.iso_to_us(F.col("stamp"))
