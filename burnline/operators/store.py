@@ -63,15 +63,6 @@ def reset_history(tables: dict[str, DataFrame], now: float) -> tuple[DataFrame,
     return total.agg(F.sum("n").alias("removed")), {k: t.limit(0) for k, t in tables.items()}, now
 
 
-def append_forecasts(forecasts: DataFrame, path: str) -> None:
-    forecasts.write.mode("append").partitionBy("provider", "kind").parquet(path)
-
-
-def read_merged(spark, path: str) -> DataFrame:
-    """A table whose older files lack newer, nullable columns."""
-    return spark.read.option("mergeSchema", True).parquet(path)
-
-
 def total_tokens() -> Column:
     return F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation") + F.col("cache_read")
 

@@ -2,7 +2,6 @@
 
 import json
 
-from burnline.operators import store
 from burnline.sources import files
 from burnline.streaming import ingest
 
@@ -46,7 +45,9 @@ def test_incremental_ingest(spark, tmp_path):
 
 
 def test_columns_that_came_later(spark, tmp_path):
-    path = str(tmp_path / "forecasts")
-    store.append_forecasts(spark.createDataFrame([(1, "claude", "w5h")], "made_us bigint, provider string, kind string"), path)
-    store.append_forecasts(spark.createDataFrame([(2, "codex", "weekly", 0.5)], "made_us bigint, provider string, kind string, risk double"), path)
-    assert {(r.made_us, r.provider, r.risk) for r in store.read_merged(spark, path).collect()} == {(1, "claude", None), (2, "codex", 0.5)}
+    from burnline.plans.tick import Store
+
+    path = str(tmp_path / "store")
+    Store(spark, path, 1).write("forecasts", spark.createDataFrame([(1, "claude", "w5h")], "made_us bigint, provider string, kind string"), "made_us")
+    Store(spark, path, 2).write("forecasts", spark.createDataFrame([(2, "codex", "weekly", 0.5)], "made_us bigint, provider string, kind string, risk double"), "made_us")
+    assert {(r.made_us, r.provider, r.risk) for r in Store(spark, path).forecasts().collect()} == {(1, "claude", None), (2, "codex", 0.5)}
