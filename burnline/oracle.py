@@ -117,6 +117,13 @@ LINEAR_COLUMNS = f"SELECT {K}, used, status, round(burn_per_hour, 6) AS burn_per
 TRAIL = "sum(total_tokens) OVER (PARTITION BY account, provider ORDER BY ts_us RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)"
 W5H, WEEK = 18_000_000_000, 604_800_000_000
 
+#: When the burn of `lin` is used up in working hours, and the moment (w).
+WORK = f""", days AS (SELECT {K}, hours, now_us AS from_us, horizon_us, unnest(range(now_us // 86400000000, CAST(floor(horizon_us / 86400000000) AS BIGINT) + 1)) AS day FROM lin WHERE hours IS NOT NULL),
+        spans AS (SELECT {K}, hours, horizon_us, greatest(day * 86400000000 + 9 * 3600000000, from_us) AS a, day * 86400000000 + 17 * 3600000000 AS b FROM days WHERE (day + 3) % 7 < 5),
+        run AS (SELECT *, sum(b - a) OVER (PARTITION BY {K} ORDER BY a) AS upto, round(hours * 3600000000.0::DOUBLE) AS need FROM spans WHERE b > a),
+        hit AS (SELECT {K}, min(b - (upto - need)) AS hit_us FROM run WHERE upto >= need AND need > 0 GROUP BY ALL),
+        done AS (SELECT lin.*, CASE WHEN hours <= 0 THEN now_us ELSE hit_us END AS w FROM lin LEFT JOIN hit USING ({K}))"""
+
 SQL: dict[str, str] = {
     "token_events_adapter": f"WITH {BASE} SELECT *, input_tokens + output_tokens + cache_creation + cache_read AS recomputed FROM tok",
     "samples_adapter": f"WITH {BASE} SELECT * FROM smp",
@@ -149,15 +156,11 @@ SQL: dict[str, str] = {
     "overage_cost": facts(f"SELECT {K}, round(CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_over > 0 THEN CASE provider WHEN 'claude' THEN (over_in * 3.0::DOUBLE + over_out * 15.0 + over_new * 3.75 + over_read * 0.3) / 1e6 ELSE (over_in * 1.25::DOUBLE + over_out * 10.0) / 1e6 END END, 9) AS cost_usd FROM judged"),
     "burn_forecast_linear": linear(LINEAR_COLUMNS, LIVE),
     "replay_linear": linear(LINEAR_COLUMNS),
-    "workhours_eta": linear(f""", days AS (SELECT {K}, hours, now_us AS from_us, horizon_us, unnest(range(now_us // 86400000000, CAST(floor(horizon_us / 86400000000) AS BIGINT) + 1)) AS day FROM lin WHERE hours IS NOT NULL),
-        spans AS (SELECT {K}, hours, horizon_us, greatest(day * 86400000000 + 9 * 3600000000, from_us) AS a, day * 86400000000 + 17 * 3600000000 AS b FROM days WHERE (day + 3) % 7 < 5),
-        run AS (SELECT *, sum(b - a) OVER (PARTITION BY {K} ORDER BY a) AS upto, round(hours * 3600000000.0::DOUBLE) AS need FROM spans WHERE b > a),
-        hit AS (SELECT {K}, min(b - (upto - need)) AS hit_us FROM run WHERE upto >= need AND need > 0 GROUP BY ALL),
-        done AS (SELECT lin.*, CASE WHEN hours <= 0 THEN now_us ELSE hit_us END AS w FROM lin LEFT JOIN hit USING ({K}))
+    "workhours_eta": linear(f"""{WORK}
         SELECT {K}, round(CASE WHEN w < horizon_us THEN w END / 1e6, 3) AS work_s FROM done"""),
-    "no_data_grid": f"""WITH {BASE}, grid AS (SELECT * FROM (SELECT DISTINCT account FROM tok) CROSS JOIN (VALUES ('claude'), ('codex')) p(provider) CROSS JOIN (VALUES ('weekly'), ('w5h')) k(kind)),
-        seen AS (SELECT account, provider, kind, arg_max(used, ts_us) AS used, 'OK' AS status FROM smp WHERE kind = 'w5h' AND ts_us < {1_704_067_200_000_000 + 2 * 3_600_000_000} GROUP BY ALL)
-        SELECT account, provider, kind, used, coalesce(status, 'NO_DATA') AS status FROM grid LEFT JOIN seen USING (account, provider, kind)""",
+    "no_data_grid": f"""WITH {BASE}, grid AS (SELECT *, unnest(range((SELECT min(ts_us) // 3600000000 FROM tok), (SELECT max(ts_us) // 3600000000 FROM tok) + 1)) AS hour FROM (SELECT DISTINCT account FROM tok) CROSS JOIN (VALUES ('claude'), ('codex')) p(provider) CROSS JOIN (VALUES ('weekly'), ('w5h')) k(kind)),
+        seen AS (SELECT account, provider, kind, ts_us // 3600000000 AS hour, arg_max(used, ts_us) AS used, 'OK' AS status FROM smp GROUP BY ALL)
+        SELECT account, provider, kind, hour, used, coalesce(status, 'NO_DATA') AS status FROM grid LEFT JOIN seen USING (account, provider, kind, hour)""",
 }
 
 HOUR_OF_WEEK = "((({us}) // 86400000000 + 3) % 7) * 24 + (({us}) % 86400000000) // 3600000000"
@@ -325,13 +328,15 @@ SQL |= {
         SELECT i.account, i.provider, i.kind, 'linear' AS model, i.at AS now_us, i.used, i.dur_us, s.made_us, s.status, s.used AS saved_used, s.eta_us, s.p90_us FROM (SELECT account, provider, kind, now_us + 900000000 AS at, used, dur_us FROM lin) i
         ASOF JOIN (SELECT * FROM stored WHERE model = 'linear' AND status <> 'IDLE') s ON i.account = s.account AND i.provider = s.provider AND i.kind = s.kind AND i.at >= s.made_us)
         WHERE status = 'OK' AND eta_us IS NOT NULL AND saved_used = used AND made_us >= now_us - dur_us AND eta_us > now_us"""),
-    "dashboard_cells": linear(f"""SELECT {K},
+    "dashboard_cells": linear(f"""{WORK}
+        SELECT {K},
         printf('%.0f', used) || '%' || CASE WHEN is_estimated THEN '*' ELSE '' END || CASE WHEN used >= 100 AND saturated_us IS NOT NULL AND n_over > 0 AND provider = 'claude' THEN format(' (+${{:,.2f}})', (over_in * 3.0::DOUBLE + over_out * 15.0 + over_new * 3.75 + over_read * 0.3) / 1e6)
             WHEN used >= 100 AND saturated_us IS NOT NULL AND n_tokens IS NOT NULL THEN ' (+' || CASE WHEN coalesce(over_tokens, 0) >= 1000000 THEN printf('%.1fM', round_even(over_tokens / 1e6, 1)) WHEN coalesce(over_tokens, 0) >= 1000 THEN printf('%.0fK', round_even(over_tokens / 1e3, 0)) ELSE CAST(coalesce(over_tokens, 0) AS VARCHAR) END || ')' ELSE '' END AS used_cell,
         CASE WHEN status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL THEN '🔥 burning' ELSE lower(status) END AS status_cell,
         CASE WHEN status <> 'OK' THEN '—' ELSE CASE WHEN burn_per_hour < 0 AND cents > 0 THEN '-' ELSE '+' END || printf('%d.%02d', cents // 100, cents % 100) || CASE WHEN basis = 'percent' THEN '~' ELSE '' END END AS burn_cell,
-        CASE WHEN (status <> 'IDLE' OR in_cycle) AND used >= 90 THEN 'red' WHEN status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL THEN CASE WHEN used >= 25 AND (eta_us - now_us) / 3600000000.0::DOUBLE <= 1 THEN 'red' ELSE 'yellow' END END AS style
-        FROM (SELECT *, b6 // 10000 + CASE WHEN b6 % 10000 > 5000 OR (b6 % 10000 = 5000 AND (b6 // 10000) % 2 = 1) THEN 1 ELSE 0 END AS cents FROM (SELECT *, CAST(round(abs(burn_per_hour) * 1e6) AS BIGINT) AS b6 FROM lin))
+        CASE WHEN (status <> 'IDLE' OR in_cycle) AND used >= 90 THEN 'red' WHEN status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL THEN CASE WHEN used >= 25 AND (eta_us - now_us) / 3600000000.0::DOUBLE <= 1 THEN 'red' ELSE 'yellow' END END AS style,
+        coalesce('hours ' || strftime(make_timestamp(CAST(CASE WHEN w < horizon_us THEN w END AS BIGINT)), '%a %H:%M'), '—') AS eta_cell
+        FROM (SELECT *, b6 // 10000 + CASE WHEN b6 % 10000 > 5000 OR (b6 % 10000 = 5000 AND (b6 // 10000) % 2 = 1) THEN 1 ELSE 0 END AS cents FROM (SELECT *, CAST(round(abs(burn_per_hour) * 1e6) AS BIGINT) AS b6 FROM done))
         JOIN (SELECT account, provider, kind, ts_us AS now_us, is_estimated FROM smp) USING ({K})"""),
     "dashboard_mood": linear("SELECT account, now_us, CASE WHEN bool_or(status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL) THEN 'burning' WHEN bool_or((status <> 'IDLE' OR in_cycle) AND used >= 90) THEN 'alert' ELSE 'calm' END AS mood FROM lin GROUP BY account, now_us"),
     "latest_non_idle": linear("SELECT account, provider, kind, max(now_us) AS made_us, max(now_us) AS id, arg_max(used, now_us) AS used, arg_max(status, now_us) AS status FROM lin WHERE status <> 'IDLE' AND now_us <= 1705000000000000 GROUP BY ALL"),

@@ -208,10 +208,13 @@ def workhours_eta(spark, d):
 
 @query
 def no_data_grid(spark, d):
-    """The watched grid against a day's readings."""
+    """The watched grid against the readings of every hour."""
     s, t = _tables(spark, d)
-    seen = s.where((F.col("ts_us") < F.lit(1_704_067_200_000_000 + 2 * HOUR)) & (F.col("kind") == "w5h")).groupBy(*SERIES).agg(F.max_by("used", "ts_us").alias("used")).withColumn("status", F.lit("OK"))
-    return projection.no_data(forecast.watched(spark, t), seen, SERIES).select(*SERIES, "used", "status")
+    hour = F.expr(f"ts_us div {HOUR}")
+    seen = s.groupBy(*SERIES, hour.alias("hour")).agg(F.max_by("used", "ts_us").alias("used")).withColumn("status", F.lit("OK"))
+    span = t.agg(F.min(hour).alias("a"), F.max(hour).alias("b"))  # one row
+    grid = forecast.watched(spark, t).crossJoin(F.broadcast(span)).select(*SERIES, F.explode(F.sequence("a", "b")).alias("hour"))
+    return projection.no_data(grid, seen, [*SERIES, "hour"]).select(*SERIES, "hour", "used", "status")
 
 
 def _forecasts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -594,7 +597,7 @@ def rpc_results(spark, d):
 
 @query
 def dashboard_rows(spark, d):
-    """V1-V6: cells of both models' forecasts at replayed moments."""
+    """V1-V4, V6: cells of both models' forecasts at replayed moments."""
     from burnline.plans import dashboard
 
     _, _, lin, sim = _forecasts(spark, d)
@@ -608,13 +611,15 @@ def dashboard_rows(spark, d):
 
 @query
 def dashboard_cells(spark, d):
-    """V1, V2, V4-V6: cells of the linear model's forecasts at every replayed moment."""
+    """V1, V2, V4-V6: cells of the linear model's forecasts at every replayed moment; the clock is that of the working hours."""
     from burnline.plans import dashboard
 
-    lin = forecast.linear(*_replay(spark, d))
+    lin = projection.work_hours_eta(forecast.linear(*_replay(spark, d)), KEYS, "UTC", 9.0, 17.0, frozenset(range(5)))
+    none = lambda kind: F.lit(None).cast(kind)
+    eta = dashboard.eta_cell(none("bigint"), none("bigint"), none("string"), none("double"), none("bigint"), none("bigint"), F.col("work_us"), "UTC").alias("eta_cell")
     over, cost = burn.overage_tokens(F.col("used")), burn.overage_cost(F.col("used"), {"claude": PRICES["claude"]})
     lin = lin.withColumn("burn_per_hour", r6("burn_per_hour"))  # sums in another order differ in the last place
-    return lin.select(*KEYS, dashboard.used_cell(over, cost).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), dashboard.row_style().alias("style"))
+    return lin.select(*KEYS, dashboard.used_cell(over, cost).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), eta, dashboard.row_style().alias("style"))
 
 
 @query
