@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from burnline.config import Predictor
 from burnline.dims import SERIES
-from burnline.operators import burn, cycles, montecarlo, projection
+from burnline.operators import burn, cycles, projection
 from burnline.operators.lookups import as_of_each
-from burnline.storage import settle
 
 KEYS = [*SERIES, "now_us"]
 
@@ -38,10 +37,6 @@ def linear(samples: DataFrame, tokens: DataFrame, origins: DataFrame, tz: str =
     return projection.linear(facts(samples, tokens, origins), tz)
 
 
-def montecarlo_forecast(samples: DataFrame, tokens: DataFrame, origins: DataFrame, runs: int, tz: str = "UTC", seed: int = 0) -> DataFrame:
-    return montecarlo.montecarlo(settle(facts(samples, tokens, origins)), samples, tokens, KEYS, runs, tz, seed)
-
-
 def stored(linear_: DataFrame, simulated: DataFrame) -> DataFrame:
     """Both models' forecasts as stored rows: (series, model, made_us, used, status, burn, eta, p90, risk, predicted)."""
     cols = [*SERIES, "model", F.col("now_us").alias("made_us"), "used", "status", "burn_per_hour", "eta_us"]
