@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from burnline.dims import DAY, DEFAULT_LIMIT, DURATION_US, HOUR, MIN_HISTORY_US, PARTS, SAFETY
+from burnline.operators.folds import ordered_fold
 from burnline.operators.lookups import as_of_each
 
 
@@ -20,35 +24,127 @@ def by_moment(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys, "ts_us").agg(*sums, F.count(F.lit(1)).alias("n"))
 
 
-def running_anchors(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
+#: A shard's length, in block lengths.
+SHARD_BLOCKS = 16
+_BEFORE_ALL = -(1 << 62)
+
+
+def _shard_exits(rows: DataFrame, keys: list[str], length_us: int, shard_us: int) -> DataFrame:
+    """(keys, _shard, upto, went): a chain of blocks that enters the shard after the last `upto` and by this one leaves it with anchor `went`.
+
+    Blocks reach into a shard by less than their length, so the chain enters at an event of the shard's first length or at the next
+    one after it. All these chains go through the sorted events together; those that meet at an anchor go on as one."""
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("_shard", LongType()), StructField("upto", LongType()), StructField("went", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, entries, into, chains = None, [], {}, deque()  # chains: (anchor, number), the oldest anchor first
+        open_, made = True, {n: [] for n in arrow.names}
+
+        def close() -> None:
+            ends = {number: anchor for anchor, number in chains}
+            for i, at in enumerate(entries):
+                root = i
+                while root in into:
+                    root = into[root]
+                if i in into:
+                    into[i] = root
+                if i and made["went"][-1] == ends[root]:
+                    made["upto"][-1] = at
+                    continue
+                for n, v in zip(arrow.names, (*group, at, ends[root]), strict=True):
+                    made[n].append(v)
+
+        for b in batches:
+            ts = b.column(b.schema.get_field_index("ts_us")).to_numpy()
+            times, columns = ts.tolist(), [b.column(b.schema.get_field_index(k)) for k in (*keys, "_shard")]
+            ends = sorted(set().union(*(pc.run_end_encode(c).run_ends.to_pylist() for c in columns)))
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                name = tuple(c[lo].as_py() for c in columns)
+                if name != group:
+                    if group is not None:
+                        close()
+                    group, entries, into, chains, open_ = name, [], {}, deque(), True
+                while lo < hi:
+                    if not open_ and times[lo] < chains[0][0] + length_us:  # nothing happens before the oldest block has ended
+                        lo += int(np.searchsorted(ts[lo:hi], chains[0][0] + length_us))
+                        continue
+                    at, number = times[lo], None
+                    while chains and chains[0][0] + length_us <= at:
+                        ended = chains.popleft()[1]
+                        if number is None:
+                            number = ended
+                        else:
+                            into[ended] = number
+                    if open_ and not (entries and entries[-1] == at):
+                        entries.append(at)
+                        if number is None:
+                            number = len(entries) - 1
+                        else:
+                            into[len(entries) - 1] = number
+                        open_ = at < group[-1] * shard_us + length_us
+                    if number is not None:
+                        chains.append((at, number))
+                    lo += 1
+            if len(made["upto"]) > 10_000:
+                yield pa.RecordBatch.from_pydict(made, schema=arrow)
+                made = {n: [] for n in arrow.names}
+        if group is not None:
+            close()
+        yield pa.RecordBatch.from_pydict(made, schema=arrow)
+
+    return rows.repartition(*keys, "_shard").sortWithinPartitions(*keys, "_shard", "ts_us").mapInArrow(run, schema)
+
+
+def running_anchors(events: DataFrame, keys: list[str], length_us: int, shard_us: int | None = None) -> DataFrame:
     """`events` (keys, ts_us, ...) with anchor_us: the start of the fixed block that each falls in.
 
     A block starts with the first event that is its length or more after the last
-    start. That is a fold in time order: the sorted events of a partition stream
-    through a task that holds one batch and the last start, and jumps from start to
-    start by bisection, so neither a long series nor a busy one is gathered."""
-    out = StructType([*events.schema.fields, StructField("anchor_us", LongType())])
-    names, at = [events.columns.index(k) for k in keys], events.columns.index("ts_us")
+    start, a fold in time order. Time is cut into shards, dealt by key and shard: each
+    works out with which anchor it would be left for every way to enter it; a fold
+    over these few rows a shard says how each is entered; then shards number their own
+    events by bisection. A hot key is so spread over as many tasks as it has shards.
+    Events of one time are in one block, and ts_us is never null."""
+    span = shard_us or SHARD_BLOCKS * length_us
+    rows = events.withColumn("_shard", F.expr(f"ts_us div {span}"))
+
+    def enter(state: tuple, row: dict) -> tuple[tuple, dict | None]:
+        shard, came, went, through = state
+        out = None
+        if row["_shard"] != shard:
+            shard, came, through = row["_shard"], went, False
+            out = {"_shard": shard, "_came": came}
+        if not through and (came is None or came + length_us <= row["upto"]):
+            went, through = row["went"], True
+        return (shard, came, went, through), out
+
+    exits = _shard_exits(rows.select(*keys, "_shard", "ts_us"), keys, length_us, span)
+    entered = ordered_fold(exits, keys, ["_shard", "upto"], (None, None, None, False), enter, "_shard bigint, _came bigint")
+    marks = entered.select(*keys, "_shard", F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"), "_came", F.lit(True).alias("_mark"))
+    both = rows.withColumn("_came", F.lit(None).cast("bigint")).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    out, events_names = StructType([*events.schema.fields, StructField("anchor_us", LongType())]), list(events.columns)
+    width, at, came_at, mark_at = len(events.columns), events.columns.index("ts_us"), both.columns.index("_came"), both.columns.index("_mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, anchor = None, 0
+        anchor = None
         for b in batches:
-            ts, anchors = b.column(at).to_numpy(), np.empty(b.num_rows, np.int64)
-            key = list(zip(*(b.column(i).to_pylist() for i in names), strict=True))
-            cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if lo == hi:
-                    continue
-                anchor, last = (anchor if key[lo] == last else int(ts[lo])), key[lo]
+            ts, anchors, mark = b.column(at).to_numpy(), np.empty(b.num_rows, np.int64), b.column(mark_at).to_numpy(zero_copy_only=False)
+            heads = [int(i) for i in np.flatnonzero(mark)]
+            for lo, hi in zip([0, *heads], [*heads, b.num_rows], strict=True):
+                if lo < hi and mark[lo]:
+                    anchor, lo = b.column(came_at)[lo].as_py(), lo + 1
                 while lo < hi:
+                    if anchor is None:
+                        anchor = int(ts[lo])
                     to = lo + int(np.searchsorted(ts[lo:hi], anchor + length_us))
                     anchors[lo:to] = anchor
                     if to < hi:
                         anchor = int(ts[to])
                     lo = to
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anchors)], names=[*b.schema.names, "anchor_us"])
+            kept = pa.array(~mark)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(anchors)], names=[*events_names, "anchor_us"]).filter(kept)
 
-    return events.repartition(*keys).sortWithinPartitions(*keys, "ts_us").mapInArrow(run, out)
+    return both.repartition(*keys, "_shard").sortWithinPartitions(*keys, "_shard", "ts_us").mapInArrow(run, out)
 
 
 def block_anchors(events: DataFrame, keys: list[str], length_us: int) -> DataFrame:
