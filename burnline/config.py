@@ -33,12 +33,14 @@ class Claude:
     source: str = "auto"
     limit_mode: str = "p90"
     plan_limit_tokens: int = 88_000
+    config_dir: str = ""
     prices: Prices = field(default_factory=Prices)
 
 
 @dataclass(frozen=True)
 class Codex:
     enabled: bool = True
+    home: str = ""
     prices: Prices = field(default_factory=Prices)
 
 

@@ -193,15 +193,20 @@ def used_percent(tokens: Column, limit: Column) -> Column:
     return F.when(limit <= 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), tokens * F.lit(100.0) / limit))
 
 
-def token_readings(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Estimated readings of both kinds at now_us from tokens alone; kinds without a limit are left out."""
+def token_readings(events: DataFrame, keys: list[str], plan: dict[str, int | None] | None = None) -> DataFrame:
+    """Estimated readings of both kinds at now_us from tokens alone; kinds without a limit are left out.
+
+    The limits are those of a `plan` by kind, or else estimated."""
     anchors = block_anchors(events, keys, DURATION_US["w5h"])
     rows = events.join(anchors, keys, "left")
     start = {"w5h": F.coalesce("anchor_us", "now_us"), "weekly": F.col("now_us") - 7 * DAY}
     out = None
     for kind, from_us in start.items():
         seen = rows.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("ts_us") >= from_us, F.col("total_tokens"))), F.lit(0)).alias("tokens"), F.max("ts_us").alias("source_us"), F.max("anchor_us").alias("anchor_us"))
-        one = seen.join(limit_estimates(rows, keys, kind, from_us), keys).where("limit_tokens IS NOT NULL")
+        if plan is None:
+            one = seen.join(limit_estimates(rows, keys, kind, from_us), keys).where("limit_tokens IS NOT NULL")
+        else:
+            one = seen.withColumn("limit_tokens", F.lit(plan[kind]).cast("bigint")).where("limit_tokens IS NOT NULL")
         resets = F.col("anchor_us") + 5 * HOUR if kind == "w5h" else F.lit(None).cast("bigint")
         one = one.select(*keys, F.lit(kind).alias("kind"), used_percent(F.col("tokens"), F.col("limit_tokens")).alias("used"), resets.alias("resets_us"), "source_us", F.lit(True).alias("is_estimated"), "tokens", "limit_tokens")
         out = one if out is None else out.unionByName(one)

@@ -19,10 +19,12 @@ from burnline.config import Config, priced, time_zone
 from burnline.dims import DAY, DENSE_US, DURATION_US, PARTS, SERIES, by_kind
 from burnline.operators import alerts, burn, cycles, montecarlo, projection, scoring, store
 from burnline.plans.forecast import KEYS, facts
+from burnline.sources.increments import EventLog
+from burnline.sources.providers import READINGS, Provider
 from burnline.storage import settle
 
 SAMPLES = "account string, provider string, kind string, ts_us bigint, used double, resets_us bigint, is_estimated boolean, captured_us bigint"
-EVENTS = "account string, provider string, request_id string, message_id string, ts_us bigint, model string, " + ", ".join(f"{p} bigint" for p in PARTS) + ", total_tokens bigint, captured_us bigint"
+EVENTS = "account string, provider string, request_id string, message_id string, ts_us bigint, model string, " + ", ".join(f"{p} bigint" for p in PARTS) + ", total_tokens bigint, captured_us bigint, gone boolean"
 FORECASTS = "account string, provider string, kind string, model string, made_us bigint, used double, status string, burn_per_hour double, eta_us bigint, p90_us bigint, risk double, predicted_used double, confidence string"
 STATE = alerts.STATE + ", seen_us bigint, made_us bigint"
 
@@ -105,9 +107,9 @@ class Store:
         return self.read("samples", SAMPLES, days, own).where(F.col("ts_us") >= self.floor())
 
     def token_events(self, days: tuple[int, int] | None = None, own: bool = False) -> DataFrame:
-        """The last row written of each event."""
+        """The last row written of each event, unless it takes the event back."""
         rows = self.read("token_events", EVENTS, days, own).where(F.col("ts_us") >= self.floor())
-        return store.keep_last(rows, store.EVENT_KEY, F.col("captured_us")).drop("captured_us")
+        return store.keep_last(rows, store.EVENT_KEY, F.col("captured_us")).where(~F.coalesce("gone", F.lit(False))).drop("captured_us", "gone")
 
     def forecasts(self, days: tuple[int, int] | None = None, own: bool = False) -> DataFrame:
         return self.read("forecasts", FORECASTS, days, own).where(F.col("made_us") >= self.floor())
@@ -141,7 +143,7 @@ def tick(spark: SparkSession, path: str, readings: DataFrame, tokens: DataFrame,
     """Judge every watched series at `now_us`, which is also the tick's name: the same moment again is the same tick.
 
     `readings` (series, ts_us, used, resets_us, is_estimated) and `tokens` (token events) are what was read since the
-    last tick; rows that are stored already change nothing, nor do those of providers that aren't enabled, or below
+    last tick; an event with `gone` true takes a stored one back. Rows that are stored already change nothing, nor do those of providers that aren't enabled, or below
     retention or the floor. `model` spares the grading where it is known."""
     kept, tz = Store(spark, path, now_us), time_zone(cfg)
     enabled = [p for p, on in (("claude", cfg.claude.enabled), ("codex", cfg.codex.enabled)) if on]
@@ -155,6 +157,7 @@ def tick(spark: SparkSession, path: str, readings: DataFrame, tokens: DataFrame,
     span = new.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
     known = kept.samples((span.a // DAY, span.b // DAY)) if span.a is not None else None
     kept.write("samples", settle(store.keep_first(new, known, store.SAMPLE_KEY, "captured_us")), "ts_us")
+    tokens = tokens if "gone" in tokens.columns else tokens.withColumn("gone", F.lit(False))
     kept.write("token_events", settle(store.keep_last(tokens, store.EVENT_KEY, F.col("ts_us")).withColumn("captured_us", F.lit(now_us))), "ts_us")
     samples = kept.samples(days, own=True).where(F.col("ts_us") > floor).drop("captured_us")
     events = kept.token_events(days, own=True).where(F.col("ts_us") > floor)
@@ -196,6 +199,15 @@ def tick(spark: SparkSession, path: str, readings: DataFrame, tokens: DataFrame,
     return Ticked(out, both, retained, fired)
 
 
+def poll(spark: SparkSession, path: str, providers: list[Provider], now_us: int, cfg: Config = Config(), model: str | None = None) -> Ticked:
+    """A tick over what the enabled providers read; their logs are read from where the last poll began to."""
+    log = EventLog(spark, f"{path}/logs")
+    enabled = [p for p in providers if getattr(cfg, p.name).enabled]
+    none = spark.createDataFrame([], SAMPLES).drop("captured_us").select(READINGS)
+    readings = settle(reduce(DataFrame.unionByName, [p.read(spark, cfg, log, now_us) for p in enabled], none))
+    return tick(spark, path, readings, log.changes(now_us, own=True).drop("log", "scan"), now_us, cfg, model)
+
+
 def notify(ticked: Ticked, send) -> None:
     """Hand every alert of a tick to `send(rows)`, a partition at a time, where it was made; a failing sender fails no tick."""
 

@@ -21,10 +21,10 @@ RPC = f"rateLimits struct<primary: {_RPC}, secondary: {_RPC}>"
 
 
 def lines(spark: SparkSession, paths: list[str], name: str, modified_after: str | None = None) -> DataFrame:
-    """(file, mtime, pos, line) of every line of the files below `paths` whose name matches; only newer ones if asked."""
+    """(file, mtime, pos, line) of every line of the files below `paths` whose name matches; only those modified after a time in UTC if asked."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
     if modified_after:
-        read = read.option("modifiedAfter", modified_after)
+        read = read.option("modifiedAfter", modified_after).option("timeZone", "UTC")
     whole = read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.unix_micros("_metadata.file_modification_time").alias("mtime"), "value")
     return whole.select("file", "mtime", F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
 
@@ -48,14 +48,27 @@ def _reading(block: Column, ts_us: Column) -> Column:
     return F.struct(kind.alias("kind"), block["used_percent"].alias("used"), block["window_minutes"].cast("int").alias("window_minutes"), resets.alias("resets_us"))
 
 
-def rollout_readings(events: DataFrame, newest: int = CANDIDATE_FILES) -> DataFrame:
-    """Each kind's winning reading among the last snapshots of the newest files."""
+def newest_files(spark: SparkSession, paths: list[str], name: str, newest: int = CANDIDATE_FILES) -> list[str]:
+    """The few files below `paths` that were modified last; none is opened."""
+    if not paths:
+        return []
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(paths)
+    return [r.path for r in found.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).limit(newest).collect()]
+
+
+def rollout_candidates(events: DataFrame, newest: int = CANDIDATE_FILES) -> DataFrame:
+    """The last snapshots of the newest files as candidates of each kind, the newest file first."""
     last = events.where("payload.rate_limits IS NOT NULL").groupBy("file").agg(F.max("mtime").alias("mtime"), F.max_by(F.struct("stamp", "payload"), "pos").alias("s"))
     top = last.orderBy(F.desc("mtime"), F.desc("file")).limit(newest).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mtime"), F.desc("file"))))  # a few files
     rows = top.withColumn("ts_us", iso_to_us(F.col("s.stamp"))).where("ts_us IS NOT NULL")
     limits = F.col("s.payload.rate_limits")
     each = F.explode(F.array(_reading(limits["primary"], F.col("ts_us")), _reading(limits["secondary"], F.col("ts_us")))).alias("r")
-    return arbitrate(rows.select("rank", "ts_us", each).where("r.kind IS NOT NULL").select("rank", "ts_us", "r.*"), ["kind"])
+    return rows.select("rank", "ts_us", each).where("r.kind IS NOT NULL").select("rank", "ts_us", "r.kind", "r.used", "r.resets_us")
+
+
+def rollout_readings(events: DataFrame, newest: int = CANDIDATE_FILES) -> DataFrame:
+    """Each kind's winning reading among the last snapshots of the newest files."""
+    return arbitrate(rollout_candidates(events, newest), ["kind"])
 
 
 def suppress_repeats(events: DataFrame, file: str = "file", order: str = "pos", total: str = "total") -> DataFrame:
@@ -64,13 +77,24 @@ def suppress_repeats(events: DataFrame, file: str = "file", order: str = "pos",
     return events.withColumn("_before", before).where(~F.coalesce(F.col(total) == F.col("_before"), F.lit(False))).drop("_before")
 
 
+def rollout_changes(events: DataFrame) -> DataFrame:
+    """Token events by step, and repeats of a cumulative total as `gone`: their identity is taken back, should it be stored.
+
+    The file's stem and the time's text identify an event; what the last line of an identity says counts, and of equal stems
+    the file modified first is heard last. Caches count as none."""
+    total = F.col("payload.info.total_token_usage.total_tokens").cast("bigint")
+    rows = events.withColumn("total", total).withColumn("before", F.last("total", ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
+    use, stem = F.col("payload.info.last_token_usage"), F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = rows.withColumn("gone", F.coalesce(F.col("total") == F.col("before"), F.lit(False))).withColumn("ts_us", iso_to_us(F.col("stamp")))
+    rows = rows.where(F.col("ts_us").isNotNull() & (F.col("gone") | (use["input_tokens"].isNotNull() & use["output_tokens"].isNotNull())))
+    counts = [use["input_tokens"].cast("bigint").alias("input_tokens"), use["output_tokens"].cast("bigint").alias("output_tokens"), F.lit(0).cast("bigint").alias("cache_creation"), F.lit(0).cast("bigint").alias("cache_read")]
+    rows = rows.select(F.lit("codex").alias("provider"), stem.alias("request_id"), F.col("stamp").alias("message_id"), "ts_us", *counts, "gone", F.struct((-F.col("mtime")).alias("m"), "file", "pos").alias("at"))
+    return rows.groupBy("provider", "request_id", "message_id").agg(F.max_by(F.struct("*"), "at").alias("r")).select("r.*").drop("at")
+
+
 def rollout_token_events(events: DataFrame) -> DataFrame:
-    """Per-step token events; the file's stem and the time's text identify one. Caches count as none."""
-    rows = suppress_repeats(events.withColumn("total", F.col("payload.info.total_token_usage.total_tokens")))
-    use = F.col("payload.info.last_token_usage")
-    rows = rows.where(use["input_tokens"].isNotNull() & use["output_tokens"].isNotNull() & F.col("stamp").isNotNull())
-    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
-    return rows.select(F.lit("codex").alias("provider"), stem.alias("request_id"), F.col("stamp").alias("message_id"), iso_to_us(F.col("stamp")).alias("ts_us"), use["input_tokens"].cast("bigint").alias("input_tokens"), use["output_tokens"].cast("bigint").alias("output_tokens"), F.lit(0).cast("bigint").alias("cache_creation"), F.lit(0).cast("bigint").alias("cache_read"), "file", "pos").where("ts_us IS NOT NULL")
+    """Per-step token events without repeats."""
+    return rollout_changes(events).where(~F.col("gone")).drop("gone")
 
 
 def transcript_token_events(lines_: DataFrame) -> DataFrame:

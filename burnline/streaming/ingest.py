@@ -1,6 +1,7 @@
 """Incremental ingest of log files: a file stream whose checkpoint is the cursor.
 
-A changed file is read again whole, so the sink writes keep-last by key. New
+For files that come whole: a file stream doesn't look at a file again once it has seen it. Logs that
+grow go through `sources.increments`. An id may come again, so the sink writes keep-last by key. New
 lines of a finished batch are visible only once the batch is committed."""
 
 from __future__ import annotations
