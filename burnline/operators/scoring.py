@@ -82,13 +82,18 @@ def matched_moments(forecasts: DataFrame, models: list[str], horizon_h: Column,
     return out.withColumn("prediction", F.when(F.col("recorded") > 0, F.col("predicted_used")).otherwise(clamp(F.col("used") + F.col("burn_per_hour") * horizon_h))).drop("recorded")
 
 
-def dense_scores(forecasts: DataFrame, segmented: DataFrame, models: list[str], horizon_us: Column, by: list[str], keys: list[str] = SERIES, legacy: bool = True) -> DataFrame:
-    """(by, model, moments, mae, bias, persistence_mae) over matched moments whose truth is known."""
+def dense_errors(forecasts: DataFrame, segmented: DataFrame, models: list[str], horizon_us: Column, keys: list[str] = SERIES, legacy: bool = True) -> DataFrame:
+    """Rows of matched moments whose truth is known, with error and level_error: those of the prediction and of the level staying."""
     rows = matched_moments(forecasts, models, horizon_us / float(HOUR), keys, legacy)
     moments = rows.select(*keys, "made_us").distinct().withColumn("target_us", F.col("made_us") + horizon_us)
     truths = used_at(moments, segmented, keys, "made_us", "target_us").where("truth IS NOT NULL").select(*keys, "made_us", "truth", F.col("origin.used").alias("origin_used"))
-    e, p = F.col("prediction") - F.col("truth"), F.col("origin_used") - F.col("truth")
-    return rows.join(truths, [*keys, "made_us"]).groupBy(*by, "model").agg(F.count(F.lit(1)).alias("moments"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(F.abs(p)).alias("persistence_mae"))
+    return rows.join(truths, [*keys, "made_us"]).withColumn("error", F.col("prediction") - F.col("truth")).withColumn("level_error", F.col("origin_used") - F.col("truth"))
+
+
+def dense_scores(forecasts: DataFrame, segmented: DataFrame, models: list[str], horizon_us: Column, by: list[str], keys: list[str] = SERIES, legacy: bool = True) -> DataFrame:
+    """(by, model, moments, mae, bias, persistence_mae) over matched moments whose truth is known."""
+    rows = dense_errors(forecasts, segmented, models, horizon_us, keys, legacy)
+    return rows.groupBy(*by, "model").agg(F.count(F.lit(1)).alias("moments"), F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"), F.avg(F.abs("level_error")).alias("persistence_mae"))
 
 
 def pool_scores(scores: DataFrame) -> DataFrame:

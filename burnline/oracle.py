@@ -269,6 +269,19 @@ errors AS (SELECT kind, model, CASE WHEN recorded > 0 THEN predicted_used ELSE l
 dense AS (SELECT kind, model, count(*) AS moments, avg(abs(e)) AS mae, avg(e) AS bias, avg(abs(pe)) AS persistence_mae FROM errors GROUP BY ALL),
 pooled AS (SELECT model, CAST(sum(moments) AS BIGINT) AS moments, sum(mae * moments) / sum(moments) AS mae, sum(bias * moments) / sum(moments) AS bias, sum(persistence_mae * moments) / sum(moments) AS persistence_mae FROM dense GROUP BY model)"""
 RECORDED = DENSE.replace("(count(predicted_used) = 2 OR (count(predicted_used) = 0 AND count(burn_per_hour) = 2))", "count(predicted_used) = 2")
+BY_SERIES = RECORDED.replace("errors AS (SELECT kind, model,", "errors AS (SELECT account, provider, kind, model,")
+REPORT = """
+head AS (SELECT account, provider, kind, count(*) AS readings, (max(ts_us) - min(ts_us)) / 3600000000.0::DOUBLE AS span_h, max(block) + 1 AS blocks FROM blocked GROUP BY ALL HAVING count(*) >= 3),
+told AS (SELECT s.*, k.realized_h, CASE WHEN s.risk IS NOT NULL THEN k.outcome END AS outcome, (s.eta_us - s.made_us) / 3600000000.0::DOUBLE - k.realized_h AS late,
+                CASE WHEN s.eta_us IS NOT NULL AND s.p90_us IS NOT NULL THEN CAST(k.realized_h <= (s.p90_us - s.made_us) / 3600000000.0::DOUBLE AS INT) END AS held
+         FROM stored s JOIN known k ON s.account = k.account AND s.provider = k.provider AND s.kind = k.kind AND s.made_us = k.ts_us),
+models AS (SELECT account, provider, kind, model, count(*) AS moments, count(eta_us) AS with_eta, count(eta_us) / count(*)::DOUBLE AS coverage, count(late) AS scored, avg(abs(late)) AS mae_h, avg(late) AS bias_h, count(held) AS p90_checked, avg(held) AS p90_held,
+                  count(outcome) AS risk_n, avg(CASE WHEN outcome IS NOT NULL THEN pow(risk - outcome, 2) END) AS brier, avg(outcome) AS base_rate FROM told GROUP BY ALL),
+points AS (SELECT account, provider, kind, model, count(*) AS dense_moments, avg(abs(e)) AS dense_mae, avg(e) AS dense_bias FROM (SELECT account, provider, kind, model, e FROM errors UNION ALL SELECT account, provider, kind, 'persistence', pe FROM errors WHERE model = 'linear') GROUP BY ALL),
+report AS (SELECT account, provider, kind, model, readings, round(span_h, 4) AS span_h, CAST(blocks AS BIGINT) AS blocks, (SELECT count(*) FROM tok t WHERE t.account = h.account AND t.provider = h.provider) AS events, coalesce(moments, 0) AS moments, coalesce(with_eta, 0) AS with_eta, round(coverage, 4) AS coverage,
+                  coalesce(scored, 0) AS scored, round(mae_h, 4) AS mae_h, round(bias_h, 4) AS bias_h, coalesce(p90_checked, 0) AS p90_checked, round(p90_held, 4) AS p90_held, coalesce(risk_n, 0) AS risk_n, round(brier, 4) AS brier, round(base_rate, 4) AS base_rate, round(base_rate * (1 - base_rate), 4) AS base_brier,
+                  coalesce(dense_moments, 0) AS dense_moments, round(dense_mae, 4) AS dense_mae, round(dense_bias, 4) AS dense_bias
+           FROM head h JOIN (SELECT * FROM models FULL JOIN points USING (account, provider, kind, model)) USING (account, provider, kind))"""
 CLAIMS = """
 claims AS (SELECT c.*, g.outcome, g.ts_us + g.realized_h * 3600000000.0::DOUBLE AS exhausted_us FROM (SELECT * FROM stored WHERE model = 'linear' AND risk IS NOT NULL) c ASOF LEFT JOIN known g ON c.account = g.account AND c.provider = g.provider AND c.kind = g.kind AND c.made_us >= g.ts_us)"""
 
@@ -285,7 +298,7 @@ def folded(origins: str, parts: list[str], inputs: str, first: str, step: str, s
 
 
 READY = "(f.armed OR i.cleared OR (NOT i.rolling AND coalesce(i.resets_us > f.at_us + 1000000, false)))"
-ALERTS = folded(
+FIRED = folded(
     replay(1),
     [SEGMENTS, FACTS, LINEAR],
     """SELECT *, row_number() OVER (PARTITION BY key ORDER BY now_us) AS n FROM (
@@ -294,8 +307,9 @@ ALERTS = folded(
             coalesce(status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL AND used >= 25 AND (eta_us - now_us) / 3600000000.0::DOUBLE <= 1, false), provider = 'codex' AND kind = 'weekly' AND used < 25 FROM lin WHERE status <> 'IDLE' OR in_cycle)""",
     "true AS armed, NULL::DOUBLE AS at_us, false AS fired",
     f"{READY} AND NOT i.cond, CASE WHEN {READY} AND i.cond THEN i.resets_us ELSE f.at_us END, {READY} AND i.cond",
-    "SELECT account, provider, kind, alert, now_us AS fired_us, used FROM fold JOIN inputs USING (key, n) WHERE fired",
+    ", fired AS (SELECT account, provider, kind, alert, now_us AS fired_us, used FROM fold JOIN inputs USING (key, n) WHERE fired)",
 )
+ALERTS = FIRED + " SELECT * FROM fired"
 WINS = """CASE WHEN x.resets_us IS NOT NULL AND s.resets_us IS NOT NULL AND abs(x.resets_us - s.resets_us) > 60000000 THEN x.resets_us > s.resets_us WHEN (x.resets_us IS NULL) <> (s.resets_us IS NULL) THEN x.resets_us IS NOT NULL ELSE x.ts_us > s.ts_us END"""
 TRIED = "i.ts_us >= f.next_us"
 WAIT = "CASE WHEN i.ok THEN 180 ELSE least(f.wait_s * 2, 1800) END"
@@ -307,6 +321,7 @@ SQL |= {
     "risk_outcomes": f"WITH {BASE}, {TRUTHS} SELECT account, provider, kind, ts_us, outcome FROM known",
     "used_at_horizon": chain(replay(1), TRUTHS, "\nm0 AS (SELECT account, provider, kind, now_us + 60000000 AS made_us, now_us + 60000000 + dense_us AS target_us FROM orig JOIN kinds USING (kind))", truth("m0"), select="SELECT account, provider, kind, made_us, origin_us, round(truth, 6) AS truth FROM truths"),
     "dense_score_linear": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
+    "merged_score_linear": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", DENSE),
     "dense_score_recorded": graded("SELECT kind, model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM dense", RECORDED),
     "pool_score_linear": graded("SELECT model, moments, round(mae, 4) AS mae, round(bias, 4) AS bias, round(persistence_mae, 4) AS persistence_mae FROM pooled", DENSE),
     "better_model_linear": graded("""SELECT CASE WHEN reason = 'passes every gate' AND vetoed_by IS NULL THEN challenger ELSE 'linear' END AS chosen, challenger, CASE WHEN reason = 'passes every gate' AND vetoed_by IS NOT NULL THEN 'worse on a window kind' ELSE reason END AS reason, vetoed_by, round(gain, 4) AS gain, round(over_persistence, 4) AS over_persistence FROM (
@@ -338,6 +353,11 @@ SQL |= {
         coalesce('hours ' || strftime(make_timestamp(CAST(CASE WHEN w < horizon_us THEN w END AS BIGINT)), '%a %H:%M'), '—') AS eta_cell
         FROM (SELECT *, b6 // 10000 + CASE WHEN b6 % 10000 > 5000 OR (b6 % 10000 = 5000 AND (b6 // 10000) % 2 = 1) THEN 1 ELSE 0 END AS cents FROM (SELECT *, CAST(round(abs(burn_per_hour) * 1e6) AS BIGINT) AS b6 FROM done))
         JOIN (SELECT account, provider, kind, ts_us AS now_us, is_estimated FROM smp) USING ({K})"""),
+    "last_ten_alerts": FIRED + " SELECT * FROM fired QUALIFY row_number() OVER (PARTITION BY account ORDER BY fired_us DESC, provider DESC, kind DESC, alert DESC) <= 10",
+    "dashboard_table": graded("""SELECT account, made_us, row_number() OVER (PARTITION BY account, made_us ORDER BY provider, kind) AS position, provider, kind,
+        CASE WHEN count(risk) OVER (PARTITION BY account, made_us) > 0 THEN coalesce(CAST(CAST(round(risk * 100) AS INT) AS VARCHAR) || '%', '—') END AS risk_cell FROM stored WHERE model = 'linear'"""),
+    "backtest_table_linear": graded("SELECT * FROM report", BY_SERIES, REPORT),
+    "backtest_verdict_linear": graded("SELECT best, 500::BIGINT AS needed, best >= 500 AS enough FROM (SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS best FROM (SELECT sum(dense_moments) AS n FROM report WHERE model <> 'persistence' GROUP BY model))", BY_SERIES, REPORT),
     "dashboard_mood": linear("SELECT account, now_us, CASE WHEN bool_or(status = 'OK' AND eta_us IS NOT NULL AND resets_us IS NOT NULL) THEN 'burning' WHEN bool_or((status <> 'IDLE' OR in_cycle) AND used >= 90) THEN 'alert' ELSE 'calm' END AS mood FROM lin GROUP BY account, now_us"),
     "latest_non_idle": linear("SELECT account, provider, kind, max(now_us) AS made_us, max(now_us) AS id, arg_max(used, now_us) AS used, arg_max(status, now_us) AS status FROM lin WHERE status <> 'IDLE' AND now_us <= 1705000000000000 GROUP BY ALL"),
     "snapshot_arbitration": f"""WITH {BASE}, r AS (SELECT *, ts_us // 86400000000 AS day, row_number() OVER (PARTITION BY account, provider, kind, ts_us // 86400000000 ORDER BY ts_us DESC) AS rank FROM smp),

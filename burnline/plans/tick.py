@@ -1,7 +1,7 @@
 """One tick of the monitor over many accounts: read, store, forecast with all models, retain, alert, prune.
 
-A store is a folder of Parquet tables in the shared file system: samples, token_events, forecasts, alert_state and
-floor. Rows lie in folders of their day and of the tick that wrote them. A tick reads what earlier ticks wrote and
+A store is a folder of Parquet tables in the shared file system: samples, token_events, forecasts, alert_state, floor,
+and what grading came to (grades, graded). Rows lie in folders of their day and of the tick that wrote them. A tick reads what earlier ticks wrote and
 writes its own folders over, so a tick that is run again, whole or after it broke off, leaves what one run leaves.
 Days below retention are dropped folder by folder; `reset` sets a floor, below which no row is read or written again.
 `tick` is a batch, and the body of `foreachBatch`."""
@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from burnline.config import Config, priced, time_zone
 from burnline.dims import DAY, DENSE_US, DURATION_US, PARTS, SERIES, by_kind
-from burnline.operators import alerts, burn, cycles, montecarlo, projection, scoring, store
+from burnline.operators import alerts, burn, grading, montecarlo, projection, scoring, store
 from burnline.plans.forecast import KEYS, facts
 from burnline.sources.increments import EventLog
 from burnline.sources.providers import READINGS, Provider
@@ -27,6 +27,7 @@ SAMPLES = "account string, provider string, kind string, ts_us bigint, used doub
 EVENTS = "account string, provider string, request_id string, message_id string, ts_us bigint, model string, " + ", ".join(f"{p} bigint" for p in PARTS) + ", total_tokens bigint, captured_us bigint, gone boolean"
 FORECASTS = "account string, provider string, kind string, model string, made_us bigint, used double, status string, burn_per_hour double, eta_us bigint, p90_us bigint, risk double, predicted_used double, confidence string"
 STATE = alerts.STATE + ", seen_us bigint, made_us bigint"
+GRADED = grading.FRONTIER + ", made_us bigint"
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,7 @@ class Store:
     A table that was never written is empty."""
 
     TABLES = ("samples", "token_events", "forecasts", "alert_state")
+    DERIVED = ("grades", "graded")
 
     def __init__(self, spark: SparkSession, path: str, now_us: int | None = None):
         self.spark, self.path, self.now_us = spark, path, now_us
@@ -86,7 +88,7 @@ class Store:
 
     def prune(self, cutoff_us: int) -> None:
         """Drop the days that lie below the cutoff as a whole."""
-        for name in self.TABLES:
+        for name in self.TABLES + self.DERIVED:
             for day in self.days(name):
                 if (day + 1) * DAY <= cutoff_us:
                     fs, at = self._folder(name, f"day={day}")
@@ -98,7 +100,7 @@ class Store:
         The floor comes first and is one file, so a reset that breaks off has happened: readers pass over what it left."""
         gone = sum(self.read(name, "x int").count() for name in self.TABLES)
         Store(self.spark, self.path, now_us).write("floor", self.spark.createDataFrame([(now_us,)], "floor_us bigint"), "floor_us")
-        for name in self.TABLES:
+        for name in self.TABLES + self.DERIVED:
             fs, at = self._folder(name)
             fs.delete(at, True)
         return gone
@@ -114,28 +116,60 @@ class Store:
     def forecasts(self, days: tuple[int, int] | None = None, own: bool = False) -> DataFrame:
         return self.read("forecasts", FORECASTS, days, own).where(F.col("made_us") >= self.floor())
 
-    def alert_state(self) -> DataFrame:
-        """Each alert's state after the last tick: a tick writes the states of all keys, so one folder holds them."""
-        days = [d for d in self.days("alert_state") if self.now_us is None or d <= self.now_us // DAY]
+    def _newest(self, name: str, ddl: str) -> DataFrame:
+        """A table of which every tick writes all rows: those of the last tick that wrote it."""
+        days = [d for d in self.days(name) if self.now_us is None or d <= self.now_us // DAY]
         for day in reversed(days):
-            ticks = [t for t in self._listed("alert_state", f"day={day}", prefix="tick=") if self.now_us is None or t < self.now_us]
+            ticks = [t for t in self._listed(name, f"day={day}", prefix="tick=") if self.now_us is None or t < self.now_us]
             if ticks:
-                rows = self.spark.read.schema(STATE).parquet(f"{self.path}/alert_state/day={day}/tick={max(ticks)}")
+                rows = self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/day={day}/tick={max(ticks)}")
                 return rows.where(F.col("made_us") >= self.floor())
-        return self.spark.createDataFrame([], STATE)
-
+        return self.spark.createDataFrame([], ddl)
 
-def choose(spark: SparkSession, kept: Store, cfg: Config) -> tuple[str, str]:
+    def alert_state(self) -> DataFrame:
+        """Each alert's state after the last tick."""
+        return self._newest("alert_state", STATE)
+
+    def grades(self) -> DataFrame:
+        """What ticks graded, as sums that add up."""
+        return self.read("grades", grading.SUMS).where(F.col("made_us") >= self.floor())
+
+    def graded(self) -> DataFrame:
+        """How far each series has been graded."""
+        return self._newest("graded", GRADED)
+
+
+def grade(kept: Store, touched: DataFrame | None = None) -> DataFrame:
+    """Both models' scores by kind over all stored forecasts that can be decided.
+
+    Only what earlier ticks have not decided is graded, for the series in `touched` (None: all); a tick's store keeps
+    the sums and the frontier. Days are read from a horizon before the oldest frontier of these series on."""
+    frontier, horizon = settle(kept.graded().drop("made_us")), by_kind(DENSE_US)
+    samples, forecasts = kept.samples(own=True), kept.forecasts(own=True)
+    going = frontier
+    if touched is not None:
+        touched = settle(touched.select(*SERIES).distinct())
+        since = touched.join(frontier, SERIES, "left").agg(F.min(F.coalesce(F.col("upto_us") - horizon, F.lit(0))).alias("t")).first().t
+        days = (since or 0) // DAY, (1 << 62) // DAY
+        samples = kept.samples(days, own=True).join(touched, SERIES, "left_semi")
+        forecasts = kept.forecasts(days, own=True).join(touched, SERIES, "left_semi")
+        going = frontier.join(touched, SERIES, "left_semi")
+    sums, after = map(settle, grading.advance(going, samples, forecasts, list(scoring.MODELS), horizon))
+    after = after.unionByName(frontier.join(after, SERIES, "left_anti"))
+    every = kept.grades().unionByName(sums)
+    if kept.now_us is not None:
+        kept.write("grades", sums, "made_us")
+        kept.write("graded", after.withColumn("made_us", F.lit(kept.now_us)), "made_us")
+    return grading.merged_scores(every, after, ["kind"])
+
+
+def choose(spark: SparkSession, kept: Store, cfg: Config, touched: DataFrame | None = None) -> tuple[str, str]:
     """The model of the settings; `auto` grades what is stored, both models at the same moments."""
     if cfg.predictor.model != "auto":
         return scoring.select_model(cfg.predictor.model, None)
-    samples = kept.samples(own=True)
-    rows = scoring.gradable(kept.forecasts(own=True), samples)
-    if rows.isEmpty():
+    if kept.forecasts(own=True).isEmpty():
         return scoring.select_model("auto", None)
-    seg = cycles.segment(samples, SERIES)
-    per_kind = scoring.dense_scores(rows, seg, list(scoring.MODELS), by_kind(DENSE_US), ["kind"])
-    row = scoring.graded_choice(per_kind).first()
+    row = scoring.graded_choice(settle(grade(kept, touched))).first()
     return row.chosen, row.reason
 
 
@@ -182,7 +216,7 @@ def tick(spark: SparkSession, path: str, readings: DataFrame, tokens: DataFrame,
     stored = [c.split()[0] for c in FORECASTS.split(", ")]
     kept.write("forecasts", both.withColumn("made_us", F.col("now_us")).select(stored), "made_us")
 
-    chosen = model or choose(spark, kept, cfg)[0]
+    chosen = model or choose(spark, kept, cfg, readings)[0]
     mine = both.where(F.col("model") == chosen)
     pairs = spark.createDataFrame([(p, k) for p in enabled for k in cfg.windows.watch], "provider string, kind string")
     accounts = samples.select("account").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from burnline import config
 from burnline.dims import DAY, DENSE_US, DURATION_US, HOUR, LOOKBACK_US, SERIES, by_kind
 from burnline.functions.times import utc_text
-from burnline.operators import alerts, arbitration, burn, cycles, montecarlo, projection, scoring, store, tokens
+from burnline.operators import alerts, arbitration, burn, cycles, grading, montecarlo, projection, scoring, store, tokens
 from burnline.plans import forecast
 from burnline.plans.forecast import KEYS
 from burnline.sources import adapters
@@ -288,6 +288,20 @@ def dense_score_linear(spark, d):
     return _rounded(_dense(*_linear_forecasts(spark, d), "flat"), "kind", "model")
 
 
+@query
+def merged_score_linear(spark, d):
+    """G5, G12 by increments: the same as dense_score_linear, graded in three ticks of which each passes on sums and frontiers."""
+    rows, _ = _linear_forecasts(spark, d)
+    s = adapters.samples(spark, d).select(*SERIES, *grading.READING)
+    span = s.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    cuts = [span.a + (span.b - span.a) * i // 3 for i in (1, 2, 3)] if span.a is not None else []
+    frontier, sums = spark.createDataFrame([], grading.FRONTIER), spark.createDataFrame([], grading.SUMS)
+    for cut in cuts:
+        more, frontier = map(settle, grading.advance(frontier, s.where(F.col("ts_us") <= cut), rows.where(F.col("made_us") <= cut), ["linear", "flat"], by_kind(DENSE_US)))
+        sums = sums.unionByName(more)
+    return _rounded(grading.merged_scores(sums, frontier, ["kind"]), "kind", "model")
+
+
 @query
 def dense_score_recorded(spark, d):
     """X5 where only recorded predictions count."""
@@ -522,9 +536,16 @@ def reset_history_count(spark, d):
     return store.reset_history({"samples": s, "token_events": t}, 0.0)[0]
 
 
+@query
+def last_ten_alerts(spark, d):
+    """V8: each account's ten newest alerts over every tick."""
+    fired = alerts.alert_log(forecast.linear(*_replay(spark, d))).withColumn("_at", F.struct("fired_us", "provider", "kind", "alert"))
+    return store.last_n(fired, 10, ["account"], "_at").drop("_at")
+
+
 @query
 def last_alerts(spark, d):
-    """V8: the ten newest resets of each series."""
+    """The ten newest resets of each series."""
     return store.last_n(_seg(spark, d).where("is_reset"), 10, SERIES, "ts_us").select(*SERIES, "ts_us")
 
 
@@ -622,6 +643,34 @@ def dashboard_cells(spark, d):
     return lin.select(*KEYS, dashboard.used_cell(over, cost).alias("used_cell"), dashboard.status_cell().alias("status_cell"), dashboard.burn_cell(F.col("basis")).alias("burn_cell"), eta, dashboard.row_style().alias("style"))
 
 
+@query
+def dashboard_table(spark, d):
+    """V7: each account's table at every replayed moment, in order, with a risk column only where a row has a risk."""
+    from burnline.plans import dashboard
+
+    rows, _ = _linear_forecasts(spark, d)
+    return dashboard.arranged(rows.where("model = 'linear'"), ["account", "made_us"]).select("account", "made_us", "position", "provider", "kind", "risk_cell")
+
+
+@query
+def backtest_table_linear(spark, d):
+    """The replay's tables, linear against flat, with the level that stays."""
+    from burnline.plans import backtest
+
+    rows, seg = _linear_forecasts(spark, d)
+    out = backtest.report(rows, seg, adapters.token_events(spark, d), ["linear", "flat"], by_kind(DENSE_US))
+    return out.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t != "string" else F.col(c) for c, t in out.dtypes))
+
+
+@query
+def backtest_verdict_linear(spark, d):
+    """Whether the replay has enough dense moments to choose a model by."""
+    from burnline.plans import backtest
+
+    rows, seg = _linear_forecasts(spark, d)
+    return backtest.verdict(backtest.report(rows, seg, adapters.token_events(spark, d), ["linear", "flat"], by_kind(DENSE_US)))
+
+
 @query
 def dashboard_mood(spark, d):
     """V5, V7: the mascot of each account over the latest moment's rows."""
