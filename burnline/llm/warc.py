@@ -5,6 +5,9 @@ under another name and renamed, so a retried task leaves whole files only). Of
 records with equal payloads of at least `least` bytes, the one with the largest
 page_id is the response and the others are revisits that name it.
 
+Workers open the shared folder by `open_store`, which knows the names that Hadoop has for file systems; where keys or
+end points have to be given, pass an opener of your own.
+
 The reader streams an archive: it inflates a member at a time in small steps,
 parses the header, frames the block by its Content-Length, and verifies block
 and payload digests. Memory is bounded by one record.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha1
 
 import pyarrow as pa
@@ -114,12 +117,28 @@ def parse(raw: bytes) -> dict:
     return {"page_id": _page(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload": None if revisit else payload, "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": _page(fields["WARC-Refers-To"]) if revisit else None}
 
 
-def _write(path: str):
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as the URI by which workers reach it: s3a and s3n are s3, dbfs is mounted on each worker, no scheme is a local path."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon:
+        return f"file://{path}"
+    if scheme in ("s3a", "s3n"):
+        return f"s3:/{rest}"
+    return f"file:///dbfs/{rest.lstrip('/')}" if scheme == "dbfs" else path
+
+
+def open_store(path: str):
+    """(file system, path there) of a folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(path))
+
+
+def _write(path: str, opener: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = opener(path)
         out, name, n, size = None, f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, 0
         held = f"{root}/.{uuid.uuid4().hex}.writing"
         for b in batches:
@@ -138,7 +157,7 @@ def _write(path: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, least: int = 0, opener: Callable = open_store) -> DataFrame:
     """Write (page_id, url, html) under `path`: one row (archive, records, bytes) for each archive."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint"), "url", html.alias("html"), F.octet_length(html).alias("n"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"))
@@ -148,19 +167,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     tops = shares.groupBy("digest", "n").agg(F.max("top").alias("top"), F.sum("k").alias("k")).where("k > 1 and top is not null").select("digest", "n", "top")
     told = rows.join(shares.select("digest", "n", "share").join(tops, ["digest", "n"]), ["digest", "n", "share"], "left")
     told = told.select("page_id", "url", "html", "top", (F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).alias("revisit"))
-    uri = path if ":/" in path else f"file://{path}"
-    return told.mapInArrow(_write(uri), "archive string, records bigint, bytes bigint")
+    return told.mapInArrow(_write(path, opener), "archive string, records bigint, bytes bigint")
 
 
-def read_archives(spark: SparkSession, path: str, archives: list[str] | DataFrame) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, archives: list[str] | DataFrame, opener: Callable = open_store) -> DataFrame:
     """Every record of the archives, a task for each archive: see RECORDS."""
     schema = arrow_schema(RECORDS)
-    uri = path if ":/" in path else f"file://{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(uri)
+        store, _ = opener(path)
         for b in batches:
             for name in b.column(0).to_pylist():
                 held, size = [], 0
