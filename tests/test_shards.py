@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from burnline.dims import HOUR, SERIES
 from burnline.operators import cycles, lookups, scoring
+from burnline.queries import Q
+
+SF = "/root/testdata/sf0.001"
 
 READ = "account string, provider string, kind string, ts_us bigint, used double, resets_us bigint, is_estimated boolean"
 
@@ -84,3 +87,22 @@ def test_one_series_is_spread_over_tasks(spark, step):
         assert "rowframe, 1, unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["robust_slope", "alert_log", "retained_prediction_linear", "episode_score_linear", "backtest_table_linear"])
+def test_tasks_follow_rows(spark, monkeypatch, name):
+    """Tasks were as many as Spark's setting, whatever the rows, so that a task's memory grew with them."""
+    want = sorted(map(str, Q[name](spark, SF).collect()))
+    monkeypatch.setattr(lookups, "MANY_ROWS", 100)
+    monkeypatch.setattr(lookups, "TASK_ROWS", 100)
+    out = Q[name](spark, SF)
+    assert sorted(map(str, out.collect())) == want and want
+    if name == "robust_slope":
+        assert lookups.tasks(2000) == 20 and out.rdd.getNumPartitions() == 20
+
+
+def test_lookups_are_dealt_to_as_many_tasks_as_told(spark):
+    s = spark.range(2000).select(F.lit("a").alias("k"), (F.col("id") * HOUR).alias("ts_us"), F.col("id").alias("v"))
+    m = s.select("k", F.col("ts_us").alias("at"))
+    out = lookups.as_of_each(m, ["k", "at"], s, ["k"], {"x": F.col("at")}, ["v"], n=15)
+    assert out.rdd.getNumPartitions() == 15 and out.where("x.v * %d = at" % HOUR).count() == 2000
