@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnline.dims import HOUR, SERIES
-from burnline.operators import cycles, lookups, scoring
+from burnline.operators import alerts, cycles, lookups, scoring
+from burnline.operators.folds import ordered_fold
 from burnline.queries import Q
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,19 @@ def test_lookups_are_dealt_to_as_many_tasks_as_told(spark):
     m = s.select("k", F.col("ts_us").alias("at"))
     out = lookups.as_of_each(m, ["k", "at"], s, ["k"], {"x": F.col("at")}, ["v"], n=15)
     assert out.rdd.getNumPartitions() == 15 and out.where("x.v * %d = at" % HOUR).count() == 2000
+
+
+def test_a_fold_over_changes_fires_what_one_over_all_ticks_does(spark, monkeypatch):
+    """The fold sorted and read all ticks of a key in one task before."""
+    rng, rows, used, resets = random.Random(7), [], 0.0, 5.0
+    for i in range(3000):
+        used = 0.0 if rng.random() < 0.01 else min(100.0, used + rng.choice([0.0, 0.0, 0.0, 2.0]))
+        resets = rng.choice([resets] * 60 + [None, (resets or 0.0) + 2e6, i * 1e7])
+        rows.append(("a", rng.choice(["claude", "codex"]), "weekly", i * HOUR // 50, used, resets, "OK", True, i * HOUR // 50 + HOUR, i * HOUR // 50))
+    ticks = spark.createDataFrame(rows, "account string, provider string, kind string, now_us bigint, used double, resets_us double, status string, exhausts boolean, eta_us bigint, source_us bigint")
+    folded = []
+    monkeypatch.setattr(alerts, "ordered_fold", lambda r, *a: folded.append(r.count()) or ordered_fold(r, *a))
+    got = sorted(map(tuple, alerts.alert_log(ticks).collect()))
+    monkeypatch.setattr(alerts, "changes", lambda inputs, n=None: inputs)
+    assert got == sorted(map(tuple, alerts.alert_log(ticks).collect())) and len(got) > 20
+    assert folded[1] == 6000 and folded[0] < 2000
