@@ -123,3 +123,32 @@ def test_a_fold_over_changes_fires_what_one_over_all_ticks_does(spark, monkeypat
     monkeypatch.setattr(alerts, "changes", lambda inputs, n=None: inputs)
     assert got == sorted(map(tuple, alerts.alert_log(ticks).collect())) and len(got) > 20
     assert folded[1] == 6000 and folded[0] < 2000
+
+
+def test_tasks_read_little_while_tables_are_written(spark, tmp_path):
+    """A task read a share of the whole, 128 MiB at most, and held it all to write its shuffle."""
+    from burnline.storage import settle, written
+
+    at, name = str(tmp_path / "many"), "spark.sql.files.maxPartitionBytes"
+    spark.range(0, 80, 1, 80).write.parquet(at)
+    had = spark.conf.get(name)
+    for cut in (written, settle):
+        rows = cut(spark.read.parquet(at).withColumn("task", F.spark_partition_id()))
+        assert rows.count() == 80 and rows.select("task").distinct().count() >= 10
+        assert spark.conf.get(name) == had
+
+
+def test_moments_without_a_rate_are_the_same(spark):
+    """Queries that show no rate fitted slopes all the same."""
+    from burnline import queries as q
+    from burnline.operators import burn
+
+    d, cols = "/root/testdata/sf0.001", [*q.KEYS, "n_block", "started_us", "anchor_us", "resets_us", "over_tokens"]
+    want = sorted(map(str, q._facts(spark, d).select(cols).collect()))
+    fit = burn.with_slope
+    try:
+        burn.with_slope = lambda *a, **k: 1 / 0
+        assert sorted(map(str, q._situations(spark, d).select(cols).collect())) == want
+        assert q.Q["current_block"](spark, d).count() == len(want)
+    finally:
+        burn.with_slope = fit
