@@ -152,3 +152,10 @@ def test_moments_without_a_rate_are_the_same(spark):
         assert q.Q["current_block"](spark, d).count() == len(want)
     finally:
         burn.with_slope = fit
+
+
+@pytest.mark.parametrize("name", ["dense_score_linear", "dense_score_recorded", "better_model_linear"])
+def test_scores_are_computed_by_tasks_that_read_little(spark, name):
+    """The last stages read as much as the session's setting says, and a choice graded anew for each of its reads."""
+    plan = Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in plan and "Window" not in plan
